@@ -50,11 +50,13 @@ def score(
 ) -> Column:
     """Rule score: 100 for a watch-list company, else at most 99 and possibly negative."""
     yoe, pay, name = _col(years_of_experience), _col(salary), F.lower(blank(title))
-    policy, tech = F.lower(blank(remote_policy)), F.transform(_col(tech_stack), F.lower)
+    policy = F.lower(blank(remote_policy))
+    # lowercased without a lambda; joining leaves out NULL elements, which would make
+    # the overlap NULL instead of false
+    tech = F.split(F.lower(F.array_join(_col(tech_stack), "\0")), "\0")
 
     def overlaps(words) -> Column:
-        # NULL elements make the overlap NULL instead of false
-        return F.coalesce(F.arrays_overlap(tech, F.array(*[F.lit(w) for w in words])), F.lit(False))
+        return F.arrays_overlap(tech, F.array(*[F.lit(w) for w in words]))
 
     def names(words) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Inside of a character class: every character that counts as white space (ASCII,
@@ -21,6 +21,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(rows: DataFrame, *names: str) -> DataFrame:
+    """Keep costly columns from being copied.
+
+    The optimizer moves a filter below the projection it reads from by repeating the
+    expressions inside of it, so a filter on a derived column would run the regular
+    expressions behind it once more per mention. An expression that depends on the
+    partition number stays where it is.
+    """
+    here = F.spark_partition_id() >= 0
+    return rows.withColumns({n: F.when(here, F.col(n)) for n in names})
+
+
 def blank(c: Column | str) -> Column:
     """NULL as empty string."""
     return F.coalesce(_col(c), F.lit(""))

@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsieve.functions.extract import hints as hints_of
+from postsieve.functions.extract import with_hints
 from postsieve.functions.normalize import (
     normalize_certs,
     normalize_currency,
     normalize_remote,
     normalize_tech,
 )
-from postsieve.functions.text import CUT_TEXT, blank
+from postsieve.functions.text import CUT_TEXT, blank, computed_once
 
 BATCH_SIZE = 20  # postings per request
 
@@ -167,8 +167,10 @@ def validate_parsed(rows: DataFrame, payload: str = "payload", hints: str | None
     for name in ("certifications_required", "certifications_preferred"):
         values[name] = normalize_certs(values[name])
     parsed = F.struct(*[c.alias(n) for n, c in values.items()])
-    checked = rows.withColumn("_d", decoded).withColumn("is_valid", F.coalesce(ok, F.lit(False)))
-    return checked.withColumn("parsed", F.when(F.col("is_valid"), parsed)).drop("_d")
+    held = computed_once(rows.withColumn("_d", decoded), "_d")
+    checked = held.withColumns({"is_valid": F.coalesce(ok, F.lit(False)), "parsed": parsed}).drop("_d")
+    checked = computed_once(checked, "is_valid", "parsed")
+    return checked.withColumn("parsed", F.when(F.col("is_valid"), F.col("parsed")))
 
 
 def fallback_parse(checked: DataFrame, hints: str = "hints") -> DataFrame:
@@ -195,4 +197,4 @@ def fallback_parse(checked: DataFrame, hints: str = "hints") -> DataFrame:
 
 def parse_postings(rows: DataFrame, payload: str = "payload", text: str = "raw_text") -> DataFrame:
     """Hints, validation and fallback in one map-only step."""
-    return fallback_parse(validate_parsed(rows.withColumn("hints", hints_of(text)), payload, "hints"))
+    return fallback_parse(validate_parsed(with_hints(rows, text), payload, "hints"))

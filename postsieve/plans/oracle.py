@@ -221,7 +221,7 @@ def _parsed(valid: str, num: str, policy: str, tech: str) -> str:
         return f"case when {valid} then {x} end"
 
     return f"""{when_valid("coalesce(json_extract_string(j, '$.title'), '')")} as title,
-  {when_valid(num)} as salary_min, {when_valid(_currency("json_extract_string(j, '$.currency')"))} as currency,
+  ({when_valid(num)})::varchar as salary_min, {when_valid(_currency("json_extract_string(j, '$.currency')"))} as currency,
   {when_valid(_policy(policy))} as policy, {when_valid(_csv(_cleaned(tech)))} as tech,
   {when_valid(_csv(_certs('cv')))} as certs"""
 
@@ -301,7 +301,7 @@ LINKS = rf"""links as (select page_id, link, pos,
 ORACLE = {
     "alert_queue_top10": f"""with {JOBS}, {ALERTS} select id, company, title, score, {_csv('tech_stack')} as tech,
   {_time('ingested_at')} as ingested_at from {QUEUE.format(s=80, n=10)}""",
-    "recent_jobs": f"""with {JOBS} select id, company, title, score, salary_min as salary_low, salary_max as salary_high,
+    "recent_jobs": f"""with {JOBS} select id, company, title, score, salary_min::varchar as salary_low, salary_max::varchar as salary_high,
   remote_policy, {_csv('tech_stack')} as tech_stack, location, url, source_name as source, source_tier as tier,
   strftime(ingested_at, '%Y-%m-%dT%H:%M:%S') as ingested_at, is_dream as is_dream_company from jobs
   where ingested_at between {AS_OF} - interval 168 hours and {AS_OF} and score >= 20 and remote_policy = 'remote'
@@ -322,9 +322,9 @@ select '📊 <b>Daily summary (2001-07-01)</b>' || chr(10) || chr(10)
     "alerts_per_channel": f"""with {JOBS}, {ALERTS} select id as job_id, channel, score as alert_score, company,
   true as delivered from {QUEUE.format(s=80, n=10)}, (values ('telegram'), ('email')) c(channel)""",
     "score_all": f"with {JOBS} select k, score, is_dream from jobs",
-    "salary_extract": f"""with {POSTINGS} select k, {_low('raw_text')} as salary_min, {_high('raw_text')} as salary_max,
+    "salary_extract": f"""with {POSTINGS} select k, ({_low('raw_text')})::varchar as salary_min, ({_high('raw_text')})::varchar as salary_max,
   {HAS_SALARY.format(x='raw_text')} as has_salary from postings""",
-    "salary_extract_documents": f"""select doc_id, {_low('text')} as salary_min, {_high('text')} as salary_max,
+    "salary_extract_documents": f"""select doc_id, ({_low('text')})::varchar as salary_min, ({_high('text')})::varchar as salary_max,
   {HAS_SALARY.format(x='text')} as has_salary from documents""",
     "policy_extract": f"""with {POSTINGS}, x as (select k, {_phrase('raw_text')} as phrase from postings)
   select k, phrase, {_policy('phrase')} as policy from x""",
@@ -348,7 +348,7 @@ select '📊 <b>Daily summary (2001-07-01)</b>' || chr(10) || chr(10)
   {_parsed('(sound and s_ok and t_ok)', 's_num', 'pv', 't_val')} from typed""",
     "merge_hints": f"""with {DECODED} select k, {_parsed(MERGED_OK, MERGED_NUM, MERGED_POLICY, MERGED_TECH)}
   from typed where {MERGED_OK}""",
-    "fallback_parse": f"""with {DECODED} select k, company, title, h_min as salary_min, 'USD' as currency,
+    "fallback_parse": f"""with {DECODED} select k, company, title, h_min::varchar as salary_min, 'USD' as currency,
   {_policy('h_policy')} as policy, {_csv('h_tech')} as tech, '' as certs from typed where not {MERGED_OK}""",
     "split_title_company": f"""with {POSTINGS} select k, title,
   case when k % 3 = 0 then '' else company end as company from (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from postsieve.functions.text import (
     canonical_hash,
     coalesce_blank,
     company_from_slug,
+    computed_once,
     dedup_hash,
     split_title_company,
     strip_tags,
@@ -71,25 +73,30 @@ def alert_queue_top10(spark, sf_dir):
 
 @query
 def recent_jobs(spark, sf_dir):
-    recent = topk.recent_jobs(views.jobs(spark, sf_dir), AS_OF, hours=168, min_score=20, remote_only=True, limit=50)
-    view = topk.job_view(recent)
-    return view.withColumn("tech_stack", _csv("tech_stack"))
+    jobs = views.jobs(spark, sf_dir, AS_OF - timedelta(hours=168), AS_OF)
+    recent = topk.recent_jobs(jobs, AS_OF, hours=168, min_score=20, remote_only=True, limit=50)
+    view = topk.job_view(recent).withColumn("tech_stack", _csv("tech_stack"))
+    return view.withColumns({c: F.col(c).cast("string") for c in ("salary_low", "salary_high")})
+
+
+def _jobs_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.jobs(spark, sf_dir, *topk.local_day_bounds(AS_OF))
 
 
 @query
 def daily_digest(spark, sf_dir):
-    top = topk.daily_digest(views.jobs(spark, sf_dir), views.alerts(spark, sf_dir), AS_OF)
+    top = topk.daily_digest(_jobs_of_day(spark, sf_dir), views.alerts(spark, sf_dir), AS_OF)
     return top.select("id", "company", "title", "score", _time("ingested_at"))
 
 
 @query
 def digest_remainder(spark, sf_dir):
-    return topk.digest_remainder(views.jobs(spark, sf_dir), views.alerts(spark, sf_dir), AS_OF, min_score=0, n=5)
+    return topk.digest_remainder(_jobs_of_day(spark, sf_dir), views.alerts(spark, sf_dir), AS_OF, min_score=0, n=5)
 
 
 @query
 def digest_text(spark, sf_dir):
-    jobs, alerts = views.jobs(spark, sf_dir), views.alerts(spark, sf_dir)
+    jobs, alerts = _jobs_of_day(spark, sf_dir), views.alerts(spark, sf_dir)
     top = topk.daily_digest(jobs, alerts, AS_OF, min_score=0, n=5)
     return topk.render_digest(top, topk.digest_remainder(jobs, alerts, AS_OF, min_score=0, n=5), AS_OF)
 
@@ -118,8 +125,8 @@ def score_all(spark, sf_dir):
 @query
 def salary_extract(spark, sf_dir):
     low, high = extract_salary("raw_text")
-    return views.postings(spark, sf_dir).select(
-        "k", low.alias("salary_min"), high.alias("salary_max"), has_salary("raw_text").alias("has_salary")
+    return computed_once(views.postings(spark, sf_dir), "raw_text").select(
+        "k", low.cast("string").alias("salary_min"), high.cast("string").alias("salary_max"), has_salary("raw_text").alias("has_salary")
     )
 
 
@@ -127,19 +134,19 @@ def salary_extract(spark, sf_dir):
 def salary_extract_documents(spark, sf_dir):
     low, high = extract_salary("text")
     return views.table(spark, sf_dir, "documents").select(
-        "doc_id", low.alias("salary_min"), high.alias("salary_max"), has_salary("text").alias("has_salary")
+        "doc_id", low.cast("string").alias("salary_min"), high.cast("string").alias("salary_max"), has_salary("text").alias("has_salary")
     )
 
 
 @query
 def policy_extract(spark, sf_dir):
     phrase = extract_remote_policy("raw_text")
-    return views.postings(spark, sf_dir).select("k", phrase.alias("phrase"), normalize_remote(phrase).alias("policy"))
+    return computed_once(views.postings(spark, sf_dir), "raw_text").select("k", phrase.alias("phrase"), normalize_remote(phrase).alias("policy"))
 
 
 @query
 def keyword_scan(spark, sf_dir):
-    return views.postings(spark, sf_dir).select("k", _csv(scan_keywords("raw_text")).alias("tech"))
+    return computed_once(views.postings(spark, sf_dir), "raw_text").select("k", _csv(scan_keywords("raw_text")).alias("tech"))
 
 
 @query
@@ -202,7 +209,7 @@ def _parsed_columns() -> list[Column]:
     p = "parsed"
     return [
         F.col(f"{p}.title").alias("title"),
-        F.col(f"{p}.salary_min").alias("salary_min"),
+        F.col(f"{p}.salary_min").cast("string").alias("salary_min"),
         F.col(f"{p}.currency").alias("currency"),
         F.col(f"{p}.remote_policy").alias("policy"),
         _csv(f"{p}.tech_stack").alias("tech"),
@@ -602,8 +609,9 @@ def ttl_dedup_batch(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a pattern, because a stream takes a plain path for a folder and the table may be one file
+    schema = views.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 @query

@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.functions.extract import extract_remote_policy, extract_salary, scan_keywords
+from postsieve.functions.extract import with_hints
 from postsieve.functions.normalize import normalize_remote
 from postsieve.functions.scoring import is_dream, score, watchlist_match
-from postsieve.functions.text import canonical_hash
+from postsieve.functions.text import canonical_hash, computed_once
 from postsieve.operators.dedup import can_key, ext_key
 
 AS_OF = datetime(2001, 7, 1, 12, 0, 0)
@@ -69,17 +69,24 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored postings in the shape of the jobs table, one row per posting."""
+def jobs(
+    spark: SparkSession, sf_dir: str, since: datetime | None = None, until: datetime | None = None
+) -> DataFrame:
+    """Scored postings in the shape of the jobs table, one row per posting.
+
+    Callers that want a time range name it here, ahead of the extraction.
+    """
     rows = postings(spark, sf_dir)
-    low, high = extract_salary("raw_text")
+    if since is not None:
+        rows = rows.where(F.col("ingested_at").between(F.lit(since), F.lit(until)))
+    rows = with_hints(computed_once(rows, "raw_text"))
     rows = rows.withColumns(
         {
             "id": F.col("external_id"),
-            "salary_min": low,
-            "salary_max": high,
-            "remote_policy": normalize_remote(extract_remote_policy("raw_text")),
-            "tech_stack": scan_keywords("raw_text"),
+            "salary_min": F.col("hints.salary_min"),
+            "salary_max": F.col("hints.salary_max"),
+            "remote_policy": normalize_remote("hints.remote_policy"),
+            "tech_stack": F.col("hints.tech_stack"),
             "certifications_required": F.when(F.col("k") % 3 == 0, F.array(F.lit("CISSP"))).otherwise(
                 F.array().cast("array<string>")
             ),
@@ -87,7 +94,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "salary_period": pick(F.col("k"), 3, "YEARLY", None, ""),
             "canonical_hash": canonical_hash("title", "company", "location"),
         }
-    )
+    ).drop("hints")
     rows = rows.withColumn("score", score(watchlist_match("company", WATCHLIST)))
     return rows.withColumn("is_dream", is_dream())
 
