@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, blank, strip
+from .text import _col, any_of, blank, strip
 
 # Certificate spellings and their display names.
 CERTIFICATES = {
@@ -23,16 +21,12 @@ CERTIFICATES = {
 }
 
 
-def _any_of(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-
-
 def normalize_remote(policy: Column | str) -> Column:
     p = F.lower(blank(policy))
     return (
         F.when(F.contains(p, F.lit("hybrid")), "hybrid")
         .when(F.contains(p, F.lit("remote")), "remote")
-        .when(_any_of(p, ["onsite", "office", "in-person", "in person"]), "onsite")
+        .when(p.rlike(any_of(["onsite", "office", "in-person", "in person"])), "onsite")
         .otherwise("unknown")
     )
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, blank, strip
+from .text import _col, any_of, blank, strip
 
 # Skill groups and title words of the rules.
 PREMIUM_SKILLS = [
@@ -51,15 +49,15 @@ def score(
     """Rule score: 100 for a watch-list company, else at most 99 and possibly negative."""
     yoe, pay, name = _col(years_of_experience), _col(salary), F.lower(blank(title))
     policy = F.lower(blank(remote_policy))
-    # lowercased without a lambda; joining leaves out NULL elements, which would make
-    # the overlap NULL instead of false
-    tech = F.split(F.lower(F.array_join(_col(tech_stack), "\0")), "\0")
+    # elements between NUL characters: one pattern then tests a whole word list, where a
+    # condition per word would outgrow what the JVM compiles
+    tech = F.concat(F.lit("\0"), F.lower(F.array_join(_col(tech_stack), "\0")), F.lit("\0"))
 
     def overlaps(words) -> Column:
-        return F.arrays_overlap(tech, F.array(*[F.lit(w) for w in words]))
+        return tech.rlike(f"\0(?:{any_of(words)})\0")
 
     def names(words) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words])
+        return name.rlike(any_of(words))
 
     base = (
         F.lit(50)

@@ -26,11 +26,12 @@ def computed_once(rows: DataFrame, *names: str) -> DataFrame:
 
     The optimizer moves a filter below the projection it reads from by repeating the
     expressions inside of it, so a filter on a derived column would run the regular
-    expressions behind it once more per mention. An expression that depends on the
-    partition number stays where it is.
+    expressions behind it once more per mention. Filters do not pass an expression that
+    depends on the partition number, and as it names the column twice it is not merged
+    with the projection below, where common parts are still evaluated together.
     """
     here = F.spark_partition_id() >= 0
-    return rows.withColumns({n: F.when(here, F.col(n)) for n in names})
+    return rows.withColumns({n: F.when(here, F.col(n)).otherwise(F.col(n)) for n in names})
 
 
 def blank(c: Column | str) -> Column:
@@ -43,6 +44,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def any_of(words) -> str:
+    """Pattern that hits where one of the words occurs."""
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
 def is_blank(c: Column | str) -> Column:
     return blank(c) == ""
 

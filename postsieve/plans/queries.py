@@ -14,7 +14,7 @@ from postsieve.functions.extract import (
     extract_salary,
     has_company,
     has_salary,
-    scan_keywords,
+    with_keywords,
     worth_parsing,
 )
 from postsieve.functions.normalize import normalize_certs, normalize_currency, normalize_remote, normalize_tech
@@ -23,7 +23,6 @@ from postsieve.functions.text import (
     canonical_hash,
     coalesce_blank,
     company_from_slug,
-    computed_once,
     dedup_hash,
     split_title_company,
     strip_tags,
@@ -125,7 +124,7 @@ def score_all(spark, sf_dir):
 @query
 def salary_extract(spark, sf_dir):
     low, high = extract_salary("raw_text")
-    return computed_once(views.postings(spark, sf_dir), "raw_text").select(
+    return views.texts(spark, sf_dir).select(
         "k", low.cast("string").alias("salary_min"), high.cast("string").alias("salary_max"), has_salary("raw_text").alias("has_salary")
     )
 
@@ -133,7 +132,7 @@ def salary_extract(spark, sf_dir):
 @query
 def salary_extract_documents(spark, sf_dir):
     low, high = extract_salary("text")
-    return views.table(spark, sf_dir, "documents").select(
+    return views.documents(spark, sf_dir).select(
         "doc_id", low.cast("string").alias("salary_min"), high.cast("string").alias("salary_max"), has_salary("text").alias("has_salary")
     )
 
@@ -141,29 +140,30 @@ def salary_extract_documents(spark, sf_dir):
 @query
 def policy_extract(spark, sf_dir):
     phrase = extract_remote_policy("raw_text")
-    return computed_once(views.postings(spark, sf_dir), "raw_text").select("k", phrase.alias("phrase"), normalize_remote(phrase).alias("policy"))
+    return views.texts(spark, sf_dir).select("k", phrase.alias("phrase"), normalize_remote(phrase).alias("policy"))
 
 
 @query
 def keyword_scan(spark, sf_dir):
-    return computed_once(views.postings(spark, sf_dir), "raw_text").select("k", _csv(scan_keywords("raw_text")).alias("tech"))
+    rows = views.texts(spark, sf_dir)
+    return with_keywords(rows).select("k", _csv("tech_stack").alias("tech"))
 
 
 @query
 def keyword_scan_documents(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", _csv(scan_keywords("text")).alias("tech"))
+    docs = views.documents(spark, sf_dir)
+    return with_keywords(docs, "text").select("doc_id", _csv("tech_stack").alias("tech"))
 
 
 @query
 def company_extract(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.documents(spark, sf_dir)
     return docs.select("doc_id", extract_company("text").alias("company"), has_company("text").alias("has_company"))
 
 
 @query
 def message_prefilter(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").where(worth_parsing("text")).select("doc_id")
+    return views.documents(spark, sf_dir).where(worth_parsing("text")).select("doc_id")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +191,11 @@ def latest_messages(spark, sf_dir):
 
 @query
 def normalize_fields(spark, sf_dir):
-    rows, k = views.postings(spark, sf_dir), F.col("k")
-    policy = views.pick(k, 6, "Fully Remote", " HYBRID remote", "In-Office", "in person", "", None)
-    currency = views.pick(k, 7, "usd", "EUR ", " us dollars", "", None, "gbp", " chf")
-    tech = F.split(views.pick(k, 3, " Rust |GO||go", "", "C++| "), r"\|")
-    certs = F.split(views.pick(k, 4, "sec+| CISSP ||Own Cert|cissp", "", "Security+|ceh", "AWS Certified Security"), r"\|")
+    rows = views.postings(spark, sf_dir)
+    policy = views.pick("k", 6, "Fully Remote", " HYBRID remote", "In-Office", "in person", "", None)
+    currency = views.pick("k", 7, "usd", "EUR ", " us dollars", "", None, "gbp", " chf")
+    tech = F.split(views.pick("k", 3, " Rust |GO||go", "", "C++| "), r"\|")
+    certs = F.split(views.pick("k", 4, "sec+| CISSP ||Own Cert|cissp", "", "Security+|ceh", "AWS Certified Security"), r"\|")
     return rows.select(
         "k",
         normalize_remote(policy).alias("policy"),
@@ -275,7 +275,7 @@ def canonical_hash_query(spark, sf_dir):
 
 @query
 def blank_fallback(spark, sf_dir):
-    parsed = views.pick(F.col("k"), 3, "", None, "Parsed title")
+    parsed = views.pick("k", 3, "", None, "Parsed title")
     return views.postings(spark, sf_dir).select("k", coalesce_blank(parsed, "title").alias("title"))
 
 
@@ -285,7 +285,7 @@ def blank_fallback(spark, sf_dir):
 @query
 def page_links_positional(spark, sf_dir):
     rows = payloads.extract_mail_postings(
-        views.table(spark, sf_dir, "pages"), link=r'href="(/[^"]+)"', title=r"<h1[^>]*>([^<]+)</h1>",
+        views.pages(spark, sf_dir), link=r'href="(/[^"]+)"', title=r"<h1[^>]*>([^<]+)</h1>",
         company=r"<b[^>]*>([^<]+)<", keep=("page_id",),
     )
     return rows.select("page_id", "external_id", "url", "title", "company", F.md5("raw_text").alias("text_md5"))
@@ -293,7 +293,7 @@ def page_links_positional(spark, sf_dir):
 
 @query
 def page_cards(spark, sf_dir):
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.pages(spark, sf_dir)
     menu = payloads.extract_page_cards(pages, "li", title="a", keep=("page_id",))
     body = payloads.extract_page_cards(pages, "article", title="h1", company="p", keep=("page_id",))
     return menu.unionByName(body).select("page_id", "external_id", "title", F.md5("raw_text").alias("text_md5"))
@@ -301,7 +301,7 @@ def page_cards(spark, sf_dir):
 
 @query
 def strip_tags_subject(spark, sf_dir):
-    return views.table(spark, sf_dir, "pages").select(
+    return views.pages(spark, sf_dir).select(
         "page_id", F.md5(strip_tags("html")).alias("text_md5"), subject_line("html").alias("subject")
     )
 

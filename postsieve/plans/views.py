@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.extract import with_hints
 from postsieve.functions.normalize import normalize_remote
-from postsieve.functions.scoring import is_dream, score, watchlist_match
+from postsieve.functions.scoring import score, watchlist_match
 from postsieve.functions.text import canonical_hash, computed_once
 from postsieve.operators.dedup import can_key, ext_key
 
@@ -23,17 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(key: Column, n: int, *values: str | None) -> Column:
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a plain scan on all cores, ahead of costly work per row.
+
+    A table of a single file with one row group is read by one task. Only such inputs,
+    with fewer splits than cores, are shuffled; larger ones stay as they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def pick(key: str, n: int, *values: str | None) -> Column:
     """The value at position `key % n`; the last one stands for all further positions."""
-    choice = F.lit(values[-1])
-    for i, value in reversed(list(enumerate(values[:-1]))):
-        choice = F.when(key % n == i, F.lit(value)).otherwise(choice)
-    return choice
+    texts = ["null" if v is None else "'" + v.replace("'", "\\'") + "'" for v in values]
+    cases = " ".join(f"when {i} then {t}" for i, t in enumerate(texts[:-1]))
+    return F.expr(f"case {key} % {n} {cases} else {texts[-1]} end")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
     """Postings made of orders: `k` is the order key, the customer is the company."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(orders) if spread_out else orders
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -41,16 +51,16 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k = F.col("k")
     title = F.concat(
-        pick(k, 5, "Senior ", "Junior ", "", "Lead ", "Associate "),
-        pick(k, 4, "SOC Analyst", "Security Engineer", "Backend Developer", "Network Architect"),
+        pick("k", 5, "Senior ", "Junior ", "", "Lead ", "Associate "),
+        pick("k", 4, "SOC Analyst", "Security Engineer", "Backend Developer", "Network Architect"),
     )
     salary = pick(
-        k, 7, "$120,000 - $180,000 USD", "$120k - $160k", "$95k to $110k", "competitive pay", "$50/hr",
+        "k", 7, "$120,000 - $180,000 USD", "$120k - $160k", "$95k to $110k", "competitive pay", "$50/hr",
         "€70,000", "$155,000",
     )
-    policy = pick(k, 6, "Fully Remote", "Hybrid 2 days", "onsite", "in-office", "remote-first", "flexible")
+    policy = pick("k", 6, "Fully Remote", "Hybrid 2 days", "onsite", "in-office", "remote-first", "flexible")
     tech = pick(
-        k, 3, "CISSP, SIEM and Python", "cloud security, AWS, Kubernetes", "JavaScript, storage, Google Docs"
+        "k", 3, "CISSP, SIEM and Python", "cloud security, AWS, Kubernetes", "JavaScript, storage, Google Docs"
     )
     rows = rows.select(
         F.col("o_orderkey").alias("k"), F.col("c_name").alias("company"), F.col("n_name").alias("location"),
@@ -76,7 +86,7 @@ def jobs(
 
     Callers that want a time range name it here, ahead of the extraction.
     """
-    rows = postings(spark, sf_dir)
+    rows = postings(spark, sf_dir, spread_out=True)
     if since is not None:
         rows = rows.where(F.col("ingested_at").between(F.lit(since), F.lit(until)))
     rows = with_hints(computed_once(rows, "raw_text"))
@@ -91,12 +101,13 @@ def jobs(
                 F.array().cast("array<string>")
             ),
             "salary_currency": F.lit("USD"),
-            "salary_period": pick(F.col("k"), 3, "YEARLY", None, ""),
+            "salary_period": pick("k", 3, "YEARLY", None, ""),
             "canonical_hash": canonical_hash("title", "company", "location"),
         }
     ).drop("hints")
-    rows = rows.withColumn("score", score(watchlist_match("company", WATCHLIST)))
-    return rows.withColumn("is_dream", is_dream())
+    # the top score is reserved to the list, so the flag needs no score
+    rows = rows.withColumn("is_dream", watchlist_match("company", WATCHLIST))
+    return rows.withColumn("score", score("is_dream"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +150,21 @@ def seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with an untidy parser answer: every kind of wrong, odd or missing field."""
-    rows, k = postings(spark, sf_dir), F.col("k")
+    rows, k = postings(spark, sf_dir, spread_out=True), F.col("k")
     parts = [
         F.lit('{"title":"'), F.col("title"),
-        F.lit('","currency":"'), pick(k, 6, "usd", "EUR ", " us dollars", "", "gbp", "USD"), F.lit('"'),
-        pick(k, 5, ',"remote_policy":"Fully Remote"', ',"remote_policy":"HYBRID 3 days"',
+        F.lit('","currency":"'), pick("k", 6, "usd", "EUR ", " us dollars", "", "gbp", "USD"), F.lit('"'),
+        pick("k", 5, ',"remote_policy":"Fully Remote"', ',"remote_policy":"HYBRID 3 days"',
              ',"remote_policy":"In-Office"', ',"remote_policy":""', ',"remote_policy":"unknown"'),
-        pick(k, 11, ',"salary_min":-5', ',"salary_min":"90000"', ',"salary_min":null', ',"salary_min":0',
+        pick("k", 11, ',"salary_min":-5', ',"salary_min":"90000"', ',"salary_min":null', ',"salary_min":0',
              ',"salary_min":120000.0', ',"salary_min":"lots"', ""),
-        pick(k, 7, ',"tech_stack":[]', ',"tech_stack":[" Rust ","GO",""]', ',"tech_stack":null',
+        pick("k", 7, ',"tech_stack":[]', ',"tech_stack":[" Rust ","GO",""]', ',"tech_stack":null',
              ',"tech_stack":["a",7]', ""),
-        pick(k, 4, ',"certifications_required":["sec+"," CISSP ","","Own Cert","cissp"]',
+        pick("k", 4, ',"certifications_required":["sec+"," CISSP ","","Own Cert","cissp"]',
              ',"certifications_required":[]', "", ',"certifications_required":["CEH","ceh "]'),
         F.when(k % 29 == 0, "").otherwise("}"),
     ]
-    return rows.withColumn("payload", F.concat(*parts))
+    return computed_once(rows.withColumn("payload", F.concat(*parts)), "payload", "raw_text")
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +180,19 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose text is settled before anything reads it."""
+    return computed_once(postings(spark, sf_dir, spread_out=True), "raw_text")
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
     return e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "props")
