@@ -33,6 +33,7 @@ def to_jobs(parsed: DataFrame, watchlist: DataFrame, as_of: datetime) -> DataFra
         )
     }
     fields["salary_currency"] = F.col("parsed.currency")
+    fields["external_id"] = F.nullif(F.col("external_id"), F.lit(""))  # unique where given
     fields["description_raw"] = F.substring("raw_text", 1, CUT_DESCRIPTION)
     rows = parsed.withColumns(fields)
     rows = rows.withColumn("canonical_hash", canonical_hash("title", "company", "location"))
