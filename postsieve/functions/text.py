@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # cover less, and scraped text is full of no-break spaces.
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
+# The same characters one by one: all that lie below the CJK planes and count as space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Cut lengths of the stored and rendered texts.
 CUT_TEXT = 3000
 CUT_DESCRIPTION = 5000
@@ -40,8 +43,11 @@ def blank(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(_col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Remove leading and trailing white space, Unicode spaces included.
+
+    A trim over a character set looks at the two ends only; a pattern would walk the text.
+    """
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def any_of(words) -> str:
