@@ -354,12 +354,19 @@ def first_wins_batch(spark, sf_dir):
     return first.select("k", "external_id", "canonical_hash")
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows as a written table, for inputs that several branches read."""
+    path = scratch_dir(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @query
 def upsert_jobs(spark, sf_dir):
     jobs = views.jobs(spark, sf_dir).withColumn("last_seen_at", F.col("ingested_at"))
     old = dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF)))
     new = dedup.first_wins(jobs.where((F.col("ingested_at") >= F.lit(CUT_OFF)) | (F.col("k") % 7 == 3)))
-    merged = tables.upsert_jobs(old, new, AS_OF)
+    merged = tables.upsert_jobs(_stored(old), _stored(new), AS_OF)
     return merged.select("canonical_hash", "external_id", "score", _time("ingested_at"), _time("last_seen_at"))
 
 
