@@ -288,8 +288,12 @@ def _cards(tag: str) -> str:
     return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
 
 
-def _inner(tag: str) -> str:
-    return _strip(f"regexp_replace(regexp_extract(card, '{_cards(tag)}', 1), '<[^>]+>', '', 'g')")
+# a paragraph ends where the next one starts
+PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</?p[\s>]|$)"
+
+
+def _inner(pattern: str) -> str:
+    return _strip(f"regexp_replace(regexp_extract(card, '{pattern}', 1), '<[^>]+>', '', 'g')")
 
 
 LINKS = rf"""links as (select page_id, link, pos,
@@ -366,9 +370,9 @@ select '📊 <b>Daily summary (2001-07-01)</b>' || chr(10) || chr(10)
   link as url, {_strip('t')} as title, {_strip('c')} as company, md5(t || ' ' || c || ' ' || body) as text_md5 from links""",
     "page_cards": f"""with li as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('li')}', 1))[1:30]) as card from pages),
 art as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('article')}', 1))[1:30]) as card from pages),
-c as (select page_id, url, {_inner('a')} as title, '' as company from li where regexp_matches(card, '{_cards('a')}')
-  union all select page_id, url, {_inner('h1')}, {_inner('p')} from art
-  where regexp_matches(card, '{_cards('h1')}') and regexp_matches(card, '{_cards('p')}'))
+c as (select page_id, url, {_inner(_cards('a'))} as title, '' as company from li where regexp_matches(card, '{_cards('a')}')
+  union all select page_id, url, {_inner(_cards('h1'))}, {_inner(PARAGRAPH)} from art
+  where regexp_matches(card, '{_cards('h1')}') and regexp_matches(card, '{PARAGRAPH}'))
 select page_id, 'pw_' || substring(md5(url || title), 1, 16) as external_id, title,
   md5(title || ' ' || company || ' ') as text_md5 from c""",
     "strip_tags_subject": rf"""with x as (select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as t from pages)

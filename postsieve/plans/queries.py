@@ -363,7 +363,10 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 @query
 def upsert_jobs(spark, sf_dir):
-    jobs = views.jobs(spark, sf_dir).withColumn("last_seen_at", F.col("ingested_at"))
+    jobs = views.jobs(spark, sf_dir).select(
+        "k", "external_id", "title", "company", "location", "score", "source_tier", "ingested_at",
+        F.col("ingested_at").alias("last_seen_at"),
+    )
     old = dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF)))
     new = dedup.first_wins(jobs.where((F.col("ingested_at") >= F.lit(CUT_OFF)) | (F.col("k") % 7 == 3)))
     merged = tables.upsert_jobs(_stored(old), _stored(new), AS_OF)

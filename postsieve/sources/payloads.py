@@ -32,6 +32,10 @@ CARDS_PER_PAGE = 30
 MAILS_PER_BOX = 50
 MESSAGES_PER_CHANNEL = 50
 
+# Markup: tags whose end may be left out, and how deep a tag may contain itself.
+ENDS_ITSELF = {"p", "dt", "dd", "option"}
+NESTING = 24
+
 
 def _raw(rows: DataFrame, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
     """Select `keep` and the raw schema; fields not given are NULL."""
@@ -180,10 +184,26 @@ def latest_per(rows: DataFrame, box: str, order: str, n: int) -> DataFrame:
 
 
 def _element(selector: str) -> str:
-    """Pattern of the inside of an element for a selector `tag` or `tag.class`."""
+    """Pattern of an element for a selector `tag`, `.class` or `tag.class`; group 1 is
+    the tag, group 2 the inside.
+
+    Inside of the element, elements of the same tag must be closed, up to NESTING deep;
+    a tag of ENDS_ITSELF ends where the next one of its kind starts. The possessive
+    loops neither backtrack nor recurse over the text.
+    """
     tag, _, cls = selector.partition(".")
-    attrs = rf"""[^>]*?\bclass=["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*""" if cls else r"(?:\s[^>]*)?"
-    return rf"(?is)<{tag}{attrs}>(.*?)</{tag}\s*>"
+    attrs = r"(?:\s[^>]*+)?"
+    if cls:
+        word = rf"""(?:"(?:[^"]*\s)?{cls}(?:\s[^"]*)?"|'(?:[^']*\s)?{cls}(?:\s[^']*)?'|{cls}(?=[\s>]))"""
+        attrs = rf"\s(?:[^>]*\s)?class\s*=\s*{word}[^>]*+"
+    start = rf"(?is)<({tag or '[a-z][a-z0-9]*'}){attrs}>"
+    other = r"[^<]++|<(?!/?\1\b)"
+    if tag.lower() in ENDS_ITSELF:
+        return rf"{start}((?:{other})*+)(?=</?\1\b|\z)"
+    inside = rf"(?:{other})*+"
+    for _ in range(NESTING):
+        inside = rf"(?:{other}|<\1\b[^>]*+>{inside}</\1\s*+>)*+"
+    return rf"{start}({inside})</\1\s*+>"
 
 
 def extract_page_cards(
@@ -199,13 +219,13 @@ def extract_page_cards(
 ) -> DataFrame:
     """The first thirty cards of each stored page.
 
-    Selectors are `tag` or `tag.class`; cards must not contain their own tag. An empty
-    selector gives an empty field, one that hits nothing drops its card.
+    Selectors are `tag`, `.class` or `tag.class`; a card inside of a card is part of the
+    outer one. An empty selector gives an empty field, one that hits nothing drops its card.
     """
     cards = pages.select(
         *keep,
         F.col(url).alias("url"),
-        F.posexplode(F.slice(F.regexp_extract_all(html, F.lit(_element(items)), F.lit(1)), 1, CARDS_PER_PAGE)).alias("pos", "card"),
+        F.posexplode(F.slice(F.regexp_extract_all(html, F.lit(_element(items)), F.lit(2)), 1, CARDS_PER_PAGE)).alias("pos", "card"),
     )
     fields = {"title": title, "company": company, "location": location}
     for field, selector in fields.items():
@@ -213,8 +233,8 @@ def extract_page_cards(
             cards = cards.withColumn(field, F.lit(""))
             continue
         pattern = _element(selector)
-        text = strip(strip_tags(F.regexp_extract("card", pattern, 1)))
-        cards = cards.where(F.col("card").rlike(pattern)).withColumn(field, text)
+        found = cards.withColumn(field, F.regexp_extract("card", pattern, 0)).where(F.col(field) != "")
+        cards = found.withColumn(field, strip(strip_tags(F.regexp_extract(field, pattern, 2))))
     return _raw(
         cards,
         keep,

@@ -86,6 +86,19 @@ def test_cards(spark):
     assert (rows[3].title, rows[3].company, rows[3].raw_text) == ("T3", "", "T3  P&amp;3")
 
 
+def test_nested_cards(spark):
+    html = """<div class="list"><div class="card job-card"><div class='t'><div>Deep</div> Cook</div><div><b class=co>Owl</b></div>
+    </div><section class="job-card"><div class="t">Guard</div><b class="co"></b></section><div class="job-cards">no</div></div>"""
+    pages = spark.createDataFrame([("http://p", html)], "url string, html string")
+    rows = payloads.extract_page_cards(pages, ".job-card", title=".t", company="b.co").collect()
+    assert [(r.title, r.company) for r in rows] == [("Deep Cook", "Owl"), ("Guard", "")]
+    plain = payloads.extract_page_cards(pages, "div.list", title="p").collect()
+    assert plain == []
+    big = "<ul>" + "".join(f"<li><p>t{i}<p>{'x < y ' * 20000}</li>" for i in range(3)) + "</ul>"
+    pages = spark.createDataFrame([("u", big)], "url string, html string")
+    assert [r.title for r in payloads.extract_page_cards(pages, "li", title="p").collect()] == ["t0", "t1", "t2"]
+
+
 def test_messages(spark):
     rows = [("sec_jobs_daily", 9, "Blue Whale hires a guard at Harbour, pays $90k"), ("sec_jobs_daily", 10, "hi")]
     raw = payloads.messages_to_raw(spark.createDataFrame(rows, "channel string, msg_id long, text string")).collect()
