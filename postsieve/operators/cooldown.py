@@ -39,8 +39,10 @@ def accept_per_ttl(
         F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(row_id).alias("id")
     ).where("k is not null")
     if blocked is not None:
-        until = blocked.groupBy(F.col(key).alias("k")).agg(F.max(F.unix_micros("blocked_until")).alias("u"))
-        slim = slim.join(until, "k", "left").where("u is null or t >= u").drop("u")
+        # only blocks of keys at hand, one per key; the state outgrows the input
+        until = blocked.select(F.col(key).alias("k"), F.unix_micros("blocked_until").alias("u"))
+        until = until.join(slim.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.max("u").alias("u"))
+        slim = salted_left_join(slim, until, "k", "id").where("u is null or t >= u").select("k", "t", "id")
     ttl = ttl_seconds * 1_000_000
 
     hot = slim.groupBy("k").count().where(F.col("count") > hot_key_rows).select("k")

@@ -367,9 +367,10 @@ def upsert_jobs(spark, sf_dir):
         "k", "external_id", "title", "company", "location", "score", "source_tier", "ingested_at",
         F.col("ingested_at").alias("last_seen_at"),
     )
+    jobs = _stored(jobs)
     old = dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF)))
     new = dedup.first_wins(jobs.where((F.col("ingested_at") >= F.lit(CUT_OFF)) | (F.col("k") % 7 == 3)))
-    merged = tables.upsert_jobs(_stored(old), _stored(new), AS_OF)
+    merged = tables.upsert_jobs(old, new, AS_OF)
     return merged.select("canonical_hash", "external_id", "score", _time("ingested_at"), _time("last_seen_at"))
 
 
