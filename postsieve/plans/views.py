@@ -181,11 +181,12 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # held, or a filter on the text would move back below the shuffle
+    return computed_once(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return computed_once(spread(table(spark, sf_dir, "pages")), "html")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
