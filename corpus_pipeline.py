@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import shared_dir, table
-from postsieve.llm.lines import judge_documents, with_row_key
+from postsieve.llm.lines import judge_documents
 from postsieve.llm.mixing import plan_mix, training_order
 from postsieve.llm.near import near_duplicates
 from postsieve.llm.phrases import decontaminate
 from postsieve.llm.pii import sanitise
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a digest of the whole row in _key."""
+    return docs.withColumn("_key", F.md5(F.to_json(F.struct(*docs.columns))))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -33,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a passage of the benchmark."""
-    rows, key = with_row_key(docs, "text")
-    found = decontaminate(rows, table(spark, sf_dir, "benchmark")).where("contaminated").select(key).distinct()
-    return rows.join(found, key, "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    found = decontaminate(rows.select("_key", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("_key").distinct()
+    return rows.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and pass in training order, with size, source_size, target, taken, pass and position."""
-    rows, key = with_row_key(docs, "text")
-    return training_order(rows, plan_mix(rows.select(key, "text", "source")), key).drop(key)
+    rows = _keyed(docs)
+    return training_order(rows, plan_mix(rows.select("_key", "text", "source")), "_key").drop("_key")
 
 
 STAGES = [

@@ -71,3 +71,20 @@ def row_spread(rows: DataFrame) -> Column:
     """Hash of a row's plain columns: spreads equal keys, and is the same when a lost task runs again."""
     plain = [F.col(f"`{n}`") for n, kind in rows.dtypes if not any(k in kind for k in ("map<", "variant", "void"))]
     return F.xxhash64(*plain) if plain else F.lit(0)
+
+
+def packed(docs: DataFrame, without: tuple[str, ...], **columns: Column) -> DataFrame:
+    """The columns of `docs` in one struct `row` (but for `without`), beside named ones: no name of theirs meets one used inside."""
+    carried = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return docs.select(F.struct(F.lit(0).alias("_"), *carried).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, *new: str) -> DataFrame:
+    """The columns that `packed` put away, followed by new ones."""
+    names = [n for n in rows.schema["row"].dataType.names if n != "_"]
+    return rows.select(*[F.col("row").getField(n).alias(n) for n in names], *new)
+
+
+def row_key(text: Column) -> Column:
+    """Digest of a packed row and its text: rows that repeat share it, and get equal results by it."""
+    return F.md5(F.concat(F.to_json("row"), F.lit("|"), F.coalesce(text, F.lit("\x00"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import SPACE, SPACE_CHARS, held, own_column, salted_join, stored, words_of
+from postsieve.llm.common import SPACE, SPACE_CHARS, held, packed, row_key, salted_join, stored, unpacked, words_of
 
 LINE_LIMIT = 20  # distinct documents of a host
 LEAST_DIFFERENT = 0.25  # share of distinct documents among all that hold the line
@@ -21,65 +21,54 @@ def normalized_line(line: Column) -> Column:
     return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
-def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the columns FIGURES and fingerprint (the smallest hash of a three-word window), row by row.
+def with_figures(rows: DataFrame) -> DataFrame:
+    """`rows` (text and others) with the columns FIGURES and fingerprint (the smallest hash of a three-word window), row by row.
 
     NULL and empty texts have no words. A word is a run without white space; equal lines are equal characters.
     Each array is made once and kept in a column, since a lambda would make it again for every element.
     """
-    body, words, windows, pairs, again = (own_column(docs, n) for n in ("q_body", "q_words", "q_windows", "q_pairs", "q_again"))
-    rows = docs.withColumn(body, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = held(rows, **{words: words_of(F.col(body))})
-    w, n = F.col(words), F.size(words)
-    at = lambda i: F.element_at(w, i)
-    rows = held(
-        rows,
-        **{
-            windows: F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>"))
-        },
-    )
-    h = F.col(windows)
+    rows = rows.withColumn("body", F.coalesce("text", F.lit("")))
+    rows = held(rows, words=words_of(F.col("body")))
+    n = F.size("words")
+    at = lambda i: F.element_at("words", i)
+    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+    rows = held(rows, windows=F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    h = F.col("windows")
     indexed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     some = F.size(F.array_distinct(h)) < F.size(h)
-    rows = held(rows, **{pairs: F.when(some, indexed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))})
-    p = F.col(pairs)
-    equal = lambda x, j: F.coalesce(F.get(p, j)["h"] == x["h"], F.lit(False))
-    repeated = F.filter(p, lambda x, j: equal(x, j - 1) | equal(x, j + 1))
-    rows = held(rows, **{again: F.sort_array(F.transform(repeated, lambda x: x["i"]))})
+    rows = held(rows, pairs=F.when(some, indexed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    equal = lambda x, j: F.coalesce(F.get("pairs", j)["h"] == x["h"], F.lit(False))
+    repeated = F.filter("pairs", lambda x, j: equal(x, j - 1) | equal(x, j + 1))
+    rows = held(rows, again=F.sort_array(F.transform(repeated, lambda x: x["i"])))
     # words of windows that overlap count once
     state = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
     repeat_words = F.aggregate(
-        again, state, lambda s, i: F.struct((s["sum"] + i + 3 - F.greatest(i, s["end"])).alias("sum"), (i + 3).alias("end")),
+        "again", state, lambda s, i: F.struct((s["sum"] + i + 3 - F.greatest(i, s["end"])).alias("sum"), (i + 3).alias("end")),
         lambda s: s["sum"].cast("long"),
     )
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    rows = rows.withColumns(
+    lines = F.filter(F.split("body", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
+    rows = held(rows, lines=lines).withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.translate(body, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
+            "word_chars": F.length(F.translate("body", SPACE_CHARS, "")).cast("long"),
+            "n_symbols": (F.length("body") - F.length(F.translate("body", "#*$%&|<>", ""))).cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": repeat_words,
-            "fingerprint": F.coalesce(F.array_min(h), F.xxhash64(body)),
+            "fingerprint": F.coalesce(F.array_min(h), F.xxhash64("body")),
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).drop(body, words, windows, pairs, again)
-
-
-def line_rows(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """A row per line with a word: key, host, line (hashes), fingerprint and the line's number of words."""
-    each = F.filter(
-        F.transform(
-            F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"),
-            lambda x: F.struct(F.xxhash64(normalized_line(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE)).alias("words"),
-                               (F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias("some")),
-        ),
-        lambda x: x["some"],
-    )
-    host = F.xxhash64(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x00no host")))
-    rows = docs.select(key, host.alias("host"), "fingerprint", F.explode(each).alias("each"))
-    return rows.select(key, "host", "fingerprint", "each.line", "each.words")
+    return rows.withColumn("base_failed", failed).drop("body", "words", "windows", "pairs", "again", "lines")
+
+
+def line_rows(rows: DataFrame) -> DataFrame:
+    """A row per line with a word of (key, text, source, fingerprint): key, host, line (hashes), fingerprint and number of words."""
+    words = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
+    each = F.transform(lines, lambda x: F.struct(F.xxhash64(normalized_line(x)).alias("line"), words(x).alias("words")))
+    host = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\x00no host")))
+    rows = rows.select("key", host.alias("host"), "fingerprint", F.explode(each).alias("each"))
+    return rows.select("key", "host", "fingerprint", "each.line", "each.words")
 
 
 def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT, least_different: float = LEAST_DIFFERENT) -> DataFrame:
@@ -93,14 +82,6 @@ def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT, least_different: f
     return counts.where((F.col("distinct") > limit) & (F.col("distinct") >= least_different * F.col("all"))).select("host", "line")
 
 
-def with_row_key(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
-    """`docs` with a digest of the whole row; rows that repeat share it, and get equal results by it."""
-    key = own_column(docs, "row_key")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    ids = F.to_json(F.struct(*others)) if others else F.lit("")
-    return docs.withColumn(key, F.md5(F.concat(ids, F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit("\x00"))))), key
-
-
 def judge_documents(
     docs: DataFrame, text: str = "text", source: str = "source", limit: int = LINE_LIMIT, rewrite: bool = False,
     least_words: int = LEAST_LEFT_WORDS, least_share: float = LEAST_LEFT_SHARE,
@@ -112,30 +93,26 @@ def judge_documents(
     texts fail the base rules. Every row stays, repeated ones with equal results; no rows give no rows. Columns of `docs`
     called like the new ones are replaced.
     """
-    docs = docs.drop(*[n for n in (*FIGURES, "left_words", "kept", "fingerprint") if n not in (text, source)])
-    rows, key = with_row_key(docs, text)
-    rows = with_figures(rows, text)
-    # the figures are not needed here, so that this branch makes the fingerprint only
-    lines = line_rows(rows.select(key, text, source, "fingerprint"), key, text, source)
-    lines = stored(lines, "lines")
+    new = (*FIGURES, "left_words", "kept")
+    rows = packed(docs, (*new, text), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
+    rows = with_figures(rows.withColumn("key", row_key(F.col("text"))))
+    lines = stored(line_rows(rows.select("key", "text", "source", "fingerprint")), "lines")
     often = frequent_lines(lines, limit).withColumn("frequent", F.lit(True))
-    hits = salted_join(lines, often, ["host", "line"], F.col(key), "left")
-    taken = hits.groupBy(key).agg(
+    hits = salted_join(lines, often, ["host", "line"], F.col("key"), "left")
+    taken = hits.groupBy("key").agg(
         F.sum(F.when(F.col("frequent"), F.col("words"))).alias("taken"), F.sum("words").alias("listed"),
         F.collect_set(F.when(F.col("frequent"), F.col("line"))).alias("taken_lines"),
     ).where("taken is not null")
     if rewrite:
-        rows = rows.join(taken, key, "left")
-        stay = lambda x: ~F.coalesce(F.array_contains("taken_lines", F.xxhash64(normalized_line(x))), F.lit(False))
-        left = F.array_join(F.filter(F.split(text, "\n"), stay), "\n")
-        rows = rows.withColumn(text, F.when(F.col("taken").isNotNull(), left).otherwise(F.col(text)))
+        rows = rows.join(taken, "key", "left")
+        stay = lambda x: ~F.array_contains("taken_lines", F.xxhash64(normalized_line(x)))
+        left = F.array_join(F.filter(F.split("text", "\n"), stay), "\n")
+        rows = rows.withColumn(text, F.when(F.col("taken").isNotNull(), left).otherwise(F.col("text")))
     else:
-        rows = rows.drop(text).join(taken.drop("taken_lines"), key, "left")
+        rows = rows.drop("text").join(taken.drop("taken_lines"), "key", "left")
     # sums over repeated rows are multiples of one row's
     share = F.coalesce(1 - F.col("taken") / F.col("listed"), F.lit(1.0))
     rows = rows.withColumn("left_words", F.round(F.col("n_words") * share).cast("long"))
-    depleted = (F.col("left_words") < least_words) | (share < least_share)
-    taken_some = F.col("taken").isNotNull()
-    return rows.withColumn("kept", ~F.col("base_failed") & ~(taken_some & depleted)).drop(
-        key, "fingerprint", "taken", "listed", "taken_lines"
-    )
+    depleted = F.col("taken").isNotNull() & ((F.col("left_words") < least_words) | (share < least_share))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return unpacked(rows, *([text] if rewrite else []), *new)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import held, own_column, row_spread, stored, words_of
+from postsieve.llm.common import held, packed, stored, unpacked, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Weight of a source over training time as (time, weight) knots, straight in between: early, even and late sources in turn.
@@ -82,47 +84,44 @@ def plan_mix(
     all rows is many tasks' work. No rows give no rows. Columns of `docs` called like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "taken", "positions")
-    docs = docs.drop(*[n for n in new if n not in (text, source)])
-    rows = held(docs, size=word_count(F.col(f"`{text}`"))).drop(text)
-    order, bucket, start = (own_column(docs, n) for n in ("mix_order", "mix_bucket", "mix_start"))
-    rows = rows.withColumn(order, F.xxhash64(F.lit(seed), row_spread(docs.drop(text)), "size"))
+    rows = packed(docs, (*new, text), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
+    rows = held(rows, size=word_count(F.col("text"))).drop("text")
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), F.to_json("row"), "size"))
     # ranges of the hash: its upper bits
-    rows = rows.withColumn(bucket, F.floor((F.col(order) / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
-    slim = rows.groupBy(F.col(f"`{source}`").alias("source"), bucket).agg(F.sum("size").alias("bucket_size"))
-    slim = stored(slim, "bucket-sizes")
-    targets = source_targets(slim.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, most, weights)
+    rows = rows.withColumn("bucket", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
+    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "bucket-sizes")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, most, weights)
     targets = targets.withColumn("segments", _schedule_columns(F.col("turn"), schedules)).drop("turn", "weight", "cap")
-    earlier = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    slim = slim.withColumn(start, F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    per_bucket = _null_safe(slim, targets)
-    per_bucket = stored(per_bucket.withColumnRenamed("source", "_source").drop("bucket_size"), "bucket-starts")
-    inside = Window.partitionBy(f"`{source}`", bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.withColumn("_bucket", F.col(bucket)).drop(bucket)
-    joined = rows.join(per_bucket, F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col(bucket)))
-    offset = F.col(start) + F.col("_inside")
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
+    inside = Window.partitionBy("source", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    joined = _null_safe(rows, stored(_null_safe(starts, targets), "bucket-starts"), "bucket")
+    offset = F.col("start") + F.col("inside")
     end = F.round("target").cast("long")
     part = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), end - (offset + p * F.col("source_size"))))
-    passes = range(max(1, -int(-most // 1)))
+    passes = range(math.ceil(most))
     taken = sum((part(p) for p in passes), F.lit(0)).cast("long")
-    at = [F.when(part(p) > 0, time_of((offset + p * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0)), F.col("segments"))) for p in passes]
-    joined = joined.withColumns({"taken": taken, "positions": F.array_compact(F.array(*at))})
-    return joined.drop("_inside", "_bucket", "_source", "segments", order, bucket, start)
+    asked = lambda p: (offset + p * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
+    at = [F.when(part(p) > 0, time_of(asked(p), F.col("segments"))) for p in passes]
+    return unpacked(joined.withColumns({"taken": taken, "positions": F.array_compact(F.array(*at))}), *new)
 
 
-def _null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = right.withColumnRenamed("source", "_right")
-    return left.join(right, F.col("source").eqNullSafe(F.col("_right"))).drop("_right")
+def _null_safe(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on source, where NULL meets NULL, and on `keys`."""
+    right = right.withColumnsRenamed({n: f"right_{n}" for n in ("source", *keys)})
+    same = F.col("source").eqNullSafe(F.col("right_source"))
+    for n in keys:
+        same &= F.col(n) == F.col(f"right_{n}")
+    return left.join(right, same).drop("right_source", *[f"right_{n}" for n in keys])
 
 
-def training_order(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
+def training_order(docs: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """Texts of `docs` in training order by a range sort: a row per document and pass of `plan`, with position and pass.
 
-    taken is then the words of that pass. Rows of `docs` that share a key meet every plan row of that key once: keys should be
-    unique, as they are in the tables here; a NULL key is a key.
+    taken is then the words of that pass. `key` (not NULL) tells the rows of `docs`; each meets the plan rows with its key.
     """
-    numbered = plan.select(F.col(key).alias("_key"), "size", "source_size", "target", "taken", F.posexplode("positions").alias("pass", "position"))
-    last = F.when(F.col("pass") == 0, F.least("taken", "size")).otherwise(F.col("taken") - F.col("size") * F.col("pass"))
-    numbered = numbered.withColumn("taken", F.least(last, F.col("size")))
-    out = docs.drop("size", "source_size", "target", "taken", "pass", "position").join(numbered, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    return out.orderBy("position", key, "pass")
+    names = ("size", "source_size", "target", "taken", "pass", "position")
+    rows = plan.select(key, *names[:4], F.posexplode("positions").alias("pass", "position"))
+    rows = rows.withColumn("taken", F.least(F.col("taken") - F.col("size") * F.col("pass"), F.col("size")))
+    return docs.drop(*names).join(rows, key).orderBy("position", key, "pass")

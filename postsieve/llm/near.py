@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import own_column, row_spread, salted_join, stored
+from postsieve.llm.common import packed, salted_join, stored, unpacked
 from postsieve.llm.components import components
 from postsieve.llm.hashing import BASE, PLAIN, in_batches, mixed, word_hashes
 
@@ -186,17 +186,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     each group the rows with the smallest key are is_first. A NULL text is no copy of anything; texts without words are
     copies only if equal. A NULL key is larger than any key. Columns of `docs` called like the new ones are replaced.
     """
-    docs = docs.drop(*[n for n in ("class_id", "is_first") if n not in (text, key)])
-    id_ = own_column(docs, "text_id")
-    some = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_id"), F.col(text).alias("body"), F.col(key).alias("k"))
+    new = ("class_id", "is_first")
+    own = F.coalesce(F.md5(text), F.concat(F.lit("none-"), F.col(key).cast("string")), F.lit("none"))
+    rows = packed(docs, (*new, text), text_id=own, body=F.col(text), k=F.col(key))
+    some = rows.where("body is not null").select("text_id", "body", "k")
     links = near_links(some.select("text_id", "body"), least)
-    roots = components(links.select("a", "b"))
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
     heads = some.groupBy("text_id").agg(F.min("k").alias("k"))
-    classes = heads.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    classes = stored(classes, "classes")
-    least_key = classes.groupBy("root").agg(F.min("k").alias("class_id"))
-    classes = salted_join(classes.select("text_id", "root"), least_key, ["root"], F.col("text_id"), "inner").select("text_id", "class_id")
-    rows = docs.withColumn(id_, F.coalesce(F.md5(text), F.concat(F.lit("none-"), row_spread(docs).cast("string")))).drop(text)
-    rows = salted_join(rows, classes.withColumnRenamed("text_id", id_), [id_], row_spread(rows.drop(id_)), "left").drop(id_)
-    rows = rows.withColumn("class_id", F.coalesce("class_id", key))
-    return rows.withColumn("is_first", F.col("class_id").eqNullSafe(F.col(key)))
+    classes = stored(heads.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "classes")
+    first = classes.groupBy("root").agg(F.min("k").alias("class_id"))
+    classes = salted_join(classes.select("text_id", "root"), first, ["root"], F.col("text_id"), "inner").select("text_id", "class_id")
+    rows = salted_join(rows.drop("body"), classes, ["text_id"], F.col("row"), "left")
+    rows = rows.withColumn("class_id", F.coalesce("class_id", "k"))
+    return unpacked(rows.withColumn("is_first", F.col("class_id").eqNullSafe(F.col("k"))), *new)

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import salted_join, stored
+from postsieve.llm.common import packed, row_key, salted_join, stored, unpacked
 from postsieve.llm.hashing import PLAIN, in_batches, word_hashes
-from postsieve.llm.lines import with_row_key
 
 WINDOW = 10
 SLOP = 3
@@ -175,8 +174,8 @@ def decontaminate(
     results; no documents give no rows, no items no hits. Columns of `docs` called like the new ones are replaced.
     """
     new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "item_ids", "spans")
-    docs, key = with_row_key(docs.drop(*[n for n in new if n != text]), text)
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = packed(docs, (*new, text), text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("key", row_key(F.col("text")))
+    texts = rows.select("key", "text")
     index = stored(build_index(texts), "index")
     asked = stored(item_terms(items, item, item_text), "items")
     exact, near = search(index, asked, window, slop)
@@ -186,10 +185,9 @@ def decontaminate(
     only_near = only_near.groupBy("key").agg(F.count(F.lit(1)).alias("n_near"))
     sizes = index.where("term is null").select(F.explode(F.arrays_zip("keys", "sizes")).alias("d"))
     sizes = sizes.groupBy(F.col("d.keys").alias("key")).agg(F.max("d.sizes").cast("long").alias("n_words"))
-    named = lambda rows: rows.withColumnRenamed("key", key)
-    rows = docs.drop(text).join(named(sizes), key).join(named(hits), key, "left").join(named(only_near), key, "left").drop(key)
+    rows = rows.drop("text").join(sizes, "key").join(hits, "key", "left").join(only_near, "key", "left")
     none = F.array().cast("array<string>")
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "n_hit": F.coalesce("n_hit", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0)),
             "item_ids": F.coalesce("item_ids", none), "n_items": F.size(F.coalesce("item_ids", none)).cast("long"),
@@ -197,3 +195,4 @@ def decontaminate(
             "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False)),
         }
     )
+    return unpacked(rows, *new)

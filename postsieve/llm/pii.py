@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import held, own_column, salted_join, stored
-from postsieve.llm.lines import with_row_key
+from postsieve.llm.common import held, packed, row_key, salted_join, stored, unpacked
 
 # Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -79,11 +78,9 @@ def is_phone(value: Column) -> Column:
     return F.length(digits_of(value)).between(10, 15)
 
 
-def with_base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """`docs` with the spans of the fixed patterns in `out`, sorted by start and kind. NULL is an empty text."""
-    body, raw = own_column(docs, "pii_body"), own_column(docs, "pii_raw")
-    rows = docs.withColumn(body, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    t = F.col(body)
+def with_base_spans(rows: DataFrame) -> DataFrame:
+    """`rows` (text and others) with the spans of the fixed patterns in base, sorted by start and kind."""
+    t, raw = F.col("text"), "raw"
     has_digit, has_at = t.rlike("[0-9]"), t.contains("@")
     rows = held(
         rows,
@@ -101,8 +98,8 @@ def with_base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
 
     rules = (lambda v: F.lit(True), is_ip, is_card, is_phone)
     parts = [of_kind(k, rule) for k, rule in enumerate(rules)]
-    rows = held(rows, **{out: F.sort_array(F.concat(*parts)).cast(SPANS)})
-    return rows.drop(body, *[f"{raw}{k}" for k in range(4)])
+    rows = held(rows, base=F.sort_array(F.concat(*parts)).cast(SPANS))
+    return rows.drop(*[f"{raw}{k}" for k in range(4)])
 
 
 def listed(spans: Column) -> Column:
@@ -110,10 +107,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def contexts(rows: DataFrame, key: str, text: str, spans: str) -> DataFrame:
-    """A row per entity of the base spans and term near it on its line: key, entity, term, start, end, line (hash)."""
-    each = rows.where(F.size(spans) > 0).select(key, text, F.explode(spans).alias("s"))
-    t = F.col(text)
+def contexts(rows: DataFrame) -> DataFrame:
+    """A row per entity of (key, text, base) and term near it on its line: key, entity, term, start, end, line (hash)."""
+    key, t = "key", F.col("text")
+    each = rows.where(F.size("base") > 0).select(key, "text", F.explode("base").alias("s"))
     first = F.greatest(F.col("s.start") - NEAR, F.lit(0))
     before = t.substr(first + 1, F.col("s.start") - first)
     after = t.substr(F.col("s.end") + 1, F.lit(NEAR))
@@ -140,7 +137,7 @@ def contexts(rows: DataFrame, key: str, text: str, spans: str) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, least_lines: int, generalise_at: float) -> DataFrame:
+def disclosing_terms(texts: DataFrame, near: DataFrame, least_lines: int, generalise_at: float) -> DataFrame:
     """(entity, term, ratio) of terms that tell at least `generalise_at` of an entity's information.
 
     ratio = PMI(entity, term) / IC(entity), from line counts over the whole corpus: 1 if the term occurs only with the entity.
@@ -150,7 +147,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, least_lines: i
     pair = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= least_lines)
     entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pair = stored(pair.join(entity, "entity"), "entity-terms")
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("l")).where(F.length("l") > 0)
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") > 0)
     terms = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("l"), F.lit(TERM), 0))).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = lines.agg(F.count(F.lit(1)).cast("double").alias("n_lines"))
@@ -170,23 +167,23 @@ def find_personal_data(
     stays, repeated ones with equal results; no rows give no rows. Columns of `docs` called like the new ones are replaced.
     """
     new = ("found", "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
-    docs = docs.drop(*[n for n in new if n != text])
-    rows, key = with_row_key(docs, text)
-    rows = with_base_spans(rows, text, "found")
-    near = stored(contexts(rows.select(key, F.col(f"`{text}`").alias("text"), "found"), key, "text", "found"), "contexts")
-    telling = disclosing_terms(docs, near, text, least_lines, generalise_at)
-    hits = salted_join(near.drop("line"), telling, ["entity", "term"], F.col(key), "inner")
-    terms = hits.groupBy(key, "start", "end").agg(F.max("ratio").alias("ratio"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = packed(docs, new if keep_text else (*new, text), text=body)
+    rows = with_base_spans(rows.withColumn("key", row_key(F.col("text"))))
+    near = stored(contexts(rows.select("key", "text", "base")), "contexts")
+    telling = disclosing_terms(docs.select(body.alias("text")), near, least_lines, generalise_at)
+    hits = salted_join(near.drop("line"), telling, ["entity", "term"], F.col("key"), "inner")
+    terms = hits.groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
     one = F.struct("start", F.lit(4).alias("kind"), "end", F.col("ratio").cast("string").alias("value"))
-    terms = terms.groupBy(key).agg(F.collect_list(one).cast(SPANS).alias("_terms"))
-    rows = (rows if keep_text else rows.drop(text)).join(terms, key, "left")
-    outside = lambda t: ~F.exists("_base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
-    added = F.filter(F.coalesce("_terms", F.array().cast(SPANS)), outside)
-    rows = held(rows.withColumnRenamed("found", "_base"), found=F.sort_array(F.concat(F.col("_base"), added)))
+    terms = terms.groupBy("key").agg(F.collect_list(one).cast(SPANS).alias("terms"))
+    rows = rows.drop("text").join(terms, "key", "left")
+    outside = lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
+    added = F.filter(F.coalesce("terms", F.array().cast(SPANS)), outside)
+    rows = held(rows, found=F.sort_array(F.concat(F.col("base"), added)))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     figures = {f"n_{name}": count(k) for k, name in enumerate(KINDS)}
-    figures |= {"base_sha256": F.sha2(listed(F.col("_base")), 256), "spans": listed(F.col("found"))}
-    return rows.withColumns(figures).drop(key, "_terms", "_base")
+    figures |= {"base_sha256": F.sha2(listed(F.col("base")), 256), "spans": listed(F.col("found"))}
+    return unpacked(rows.withColumns(figures), *new)
 
 
 def sanitise(docs: DataFrame, text: str = "text", remove_at: float = REMOVE_AT, **options) -> DataFrame:
