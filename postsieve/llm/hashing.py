@@ -9,6 +9,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be inverted modulo 2^64
 BATCH_BYTES = 2_000_000
+PIECE = 1 << 19
 
 
 def byte_classes(separators: Iterable[int]) -> np.ndarray:
@@ -51,20 +52,33 @@ def words_and_ends(texts: list[str | None], classes: np.ndarray) -> tuple[np.nda
     """As `word_hashes`, and a number below 2^16 made of the last two bytes of each word."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
+    hashes, firsts, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        # a piece ends between words, so that the arrays for a piece stay small beside those for a text
+        stop = at + PIECE
+        while stop < len(data) and classes[data[stop]]:
+            stop += 1
+        h, first, end = _piece(data[at:stop], classes)
+        hashes.append(h)
+        firsts.append(first + at)
+        ends.append(end)
+        at = stop
+    lengths = np.array([len(p) + 1 for p in parts], np.int64)
+    offsets = np.searchsorted(np.concatenate(firsts), np.concatenate(([0], np.cumsum(lengths))))
+    return np.concatenate(hashes), offsets, np.concatenate(ends)
+
+
+def _piece(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and end numbers of the words of some bytes."""
     kept = classes[data]
-    inside = np.concatenate(([0], (kept != 0).view(np.int8), [0]))
-    edges = np.diff(inside)
+    edges = np.diff(np.concatenate(([0], (kept != 0).view(np.int8), [0])))
     first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    up, down = _powers(1 << (len(data) - 1).bit_length())
+    up, down = _powers(max(PIECE * 2, 1 << (len(data) - 1).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(kept.astype(np.uint64) * up[: len(data)], out=sums[1:])
+    np.cumsum(kept * up[: len(data)], out=sums[1:])
     hashes = mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
-    lengths = np.array([len(p) + 1 for p in parts], np.int64)
-    offsets = np.searchsorted(first, np.concatenate(([0], np.cumsum(lengths))))
     ends = kept[end - 1].astype(np.int64) * 256 + kept[np.maximum(end - 2, first)] if len(end) else np.zeros(0, np.int64)
-    return hashes, offsets, ends
+    return hashes, first, ends
 
 
 def in_batches(texts: list[str | None], size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
