@@ -172,9 +172,12 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
     main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"))
     apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
-    outside = apart.where("root <> main").select("bucket", F.col("text_id").alias("x"), F.col("root").alias("x_root"))
-    others = apart.select("bucket", F.col("text_id").alias("y"), F.col("root").alias("y_root"), "leader", "main")
-    rest = outside.join(others, "bucket").where("x_root <> y_root and x <> leader and y <> leader and (y_root = main or x < y)")
+    own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
+    apart = stored(apart.join(own, "text_id"), "apart-groups")
+    outside = apart.where("root <> main").select("bucket", F.col("text_id").alias("x"), F.col("root").alias("x_root"), F.col("own").alias("x_own"))
+    others = apart.select("bucket", F.col("text_id").alias("y"), F.col("root").alias("y_root"), "leader", "main", F.col("own").alias("y_own"))
+    differ = F.expr("x_root <> y_root and x <> leader and y <> leader and (y_root = main or x < y)")
+    rest = outside.join(others, "bucket").where(differ & (F.size(F.array_intersect("x_own", "y_own")) > 1))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return links.unionByName(verified(rest, bodies, least))
 
