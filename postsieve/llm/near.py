@@ -18,6 +18,7 @@ K = 5  # words in a k-mer
 KEPT = 5  # k-mers of a sketch, in text order
 SKETCHES = 20
 SIMILARITY = 0.8
+TURNS = 2
 
 _ODD = (np.random.default_rng(20240501).integers(0, 2**63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -164,14 +165,16 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bodies = stored(bodies, "bodies")
     first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
     links = stored(verified(first, bodies, least), "links")
-    roots = components(links.select("a", "b"))
-    # what is left: members of a group that are not in its largest component, against the others
-    placed = led.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    placed = stored(placed, "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"))
-    apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
+    for turn in range(TURNS + 1):
+        roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
+        placed = stored(led.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("text_id", F.xxhash64("text_id", F.lit(turn))).alias("drawn"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "drawn")).alias("top"), F.count(F.lit(1)).alias("parts"))
+        main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"), F.col("top.drawn").alias("drawn"))
+        apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
+        if turn < TURNS:
+            again = apart.where("root <> main").select(F.least("text_id", "drawn").alias("a"), F.greatest("text_id", "drawn").alias("b")).distinct()
+            links = stored(links.unionByName(verified(again, bodies, least)), "links")
     own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
     apart = stored(apart.join(own, "text_id"), "apart-groups")
     outside = apart.where("root <> main").select("bucket", F.col("text_id").alias("x"), F.col("root").alias("x_root"), F.col("own").alias("x_own"))
