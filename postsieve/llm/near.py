@@ -150,7 +150,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float, together: int =
 
 
 def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between different texts of (text_id, body), enough to connect all that share a sketch and are similar.
+    """Links (a, b) between different texts of (text_id, body), enough to connect those that share a sketch and are similar.
 
     Rows that repeat a text count once. In each group of texts with an equal sketch, all are compared with the smallest id.
     Texts that this leaves outside of the group's largest component are then compared with every member of another
@@ -159,29 +159,34 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     per_text = sketch_rows(texts).groupBy("text_id").agg(F.first("sketch").alias("sketch"))
     members = per_text.select("text_id", F.posexplode("sketch").alias("n", "h"))
     members = stored(members.select("text_id", F.xxhash64("n", "h").alias("bucket")), "sketches")
-    groups = members.groupBy("bucket").agg(F.min("text_id").alias("leader"), F.count(F.lit(1)).alias("size"))
-    led = stored(salted_join(members, groups.where("size > 1").drop("size"), ["bucket"], F.col("text_id"), "inner"), "groups")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(salted_join(members, sizes, ["bucket"], F.col("text_id"), "inner"), "shared")
+    # the text whose sketches most others have stands in the middle of its group, and leads it
+    weight = shared.groupBy("text_id").agg(F.sum("size").alias("weight"))
+    shared = shared.drop("size").join(weight, "text_id")
+    leaders = shared.groupBy("bucket").agg(F.max(F.struct("weight", "text_id")).alias("top")).select("bucket", F.col("top.text_id").alias("leader"))
+    led = stored(salted_join(shared, leaders, ["bucket"], F.col("text_id"), "inner"), "groups")
     bodies = distinct_bodies(texts).join(led.select("text_id").distinct(), "text_id", "left_semi")
     bodies = stored(bodies, "bodies")
-    first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
+    first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()  # a has the partners
     links = stored(verified(first, bodies, least), "links")
     for turn in range(TURNS + 1):
         roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
         placed = stored(led.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("text_id", F.xxhash64("text_id", F.lit(turn))).alias("drawn"))
+        order = F.struct("weight", "text_id") if turn == 0 else F.struct(F.xxhash64("text_id", F.lit(turn)), "text_id")
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by("text_id", order).alias("drawn"))
         main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "drawn")).alias("top"), F.count(F.lit(1)).alias("parts"))
         main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"), F.col("top.drawn").alias("drawn"))
         apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
         if turn < TURNS:
-            again = apart.where("root <> main").select(F.least("text_id", "drawn").alias("a"), F.greatest("text_id", "drawn").alias("b")).distinct()
+            again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
             links = stored(links.unionByName(verified(again, bodies, least)), "links")
     own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
     apart = stored(apart.join(own, "text_id"), "apart-groups")
-    outside = apart.where("root <> main").select("bucket", F.col("text_id").alias("x"), F.col("root").alias("x_root"), F.col("own").alias("x_own"))
-    others = apart.select("bucket", F.col("text_id").alias("y"), F.col("root").alias("y_root"), "leader", "main", F.col("own").alias("y_own"))
-    differ = F.expr("x_root <> y_root and x <> leader and y <> leader and (y_root = main or x < y)")
-    rest = outside.join(others, "bucket").where(differ & (F.size(F.array_intersect("x_own", "y_own")) > 1))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    outside = apart.where("root <> main").select("bucket", "text_id", "root", "own")
+    other = outside.select("bucket", F.col("text_id").alias("y"), F.col("root").alias("y_root"), F.col("own").alias("y_own"))
+    rest = outside.join(other, "bucket").where(F.expr("root <> y_root and text_id < y") & (F.size(F.array_intersect("own", "y_own")) > 1))
+    rest = rest.select(F.col("text_id").alias("a"), F.col("y").alias("b")).distinct()
     return links.unionByName(verified(rest, bodies, least))
 
 
