@@ -27,14 +27,13 @@ def _col(c: Column | str) -> Column:
 def computed_once(rows: DataFrame, *names: str) -> DataFrame:
     """Keep costly columns from being copied.
 
-    The optimizer moves a filter below the projection it reads from by repeating the
-    expressions inside of it, so a filter on a derived column would run the regular
-    expressions behind it once more per mention. Filters do not pass an expression that
-    depends on the partition number, and as it names the column twice it is not merged
-    with the projection below, where common parts are still evaluated together.
+    The optimizer moves a filter below the projection it reads from by repeating the expressions inside of it,
+    so a filter on a derived column would run the regular expressions behind it once more per mention. A generator
+    of one row holds them: filters on its output stay above it, filters on other columns pass it and reach the scan.
     """
-    here = F.spark_partition_id() >= 0
-    return rows.withColumns({n: F.when(here, F.col(n)).otherwise(F.col(n)) for n in names})
+    kept = [c for c in rows.columns if c not in names]
+    out = rows.select(*kept, F.explode(F.array(F.struct(*names))).alias("_once"))
+    return out.select(*[F.col("_once")[c].alias(c) if c in names else F.col(c) for c in rows.columns])
 
 
 def blank(c: Column | str) -> Column:

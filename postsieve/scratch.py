@@ -11,10 +11,12 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's checkpoint folder, readable by every executor.
 
-    Only where the session names none (tests, a single machine) a local folder is made.
+    A session on a cluster must name that folder; only a local session may go without.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="postsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

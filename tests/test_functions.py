@@ -199,3 +199,15 @@ class TestTexts:
         shown = render.format_tech("t", "c")
         assert one(spark, shown, t=list("abcdefghij"), c=["CEH"]) == "🔧 a · b · c · d · e · f · g · h\n📜 Req: CEH"
         assert one(spark, shown, t=[], c=[]) == "🔧 Not specified"
+
+
+def test_filters_pass_held_columns(spark, tmp_path):
+    from postsieve.functions.extract import with_hints
+
+    path = str(tmp_path / "lake")
+    spark.range(4).selectExpr("cast(id as string) raw_text", "id % 2 p").write.partitionBy("p").parquet(path)
+    rows = with_hints(spark.read.parquet(path))
+    plan = rows.where("p = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan
+    plan = rows.where("hints.salary_min > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(coalesce(raw_text") <= 2
