@@ -33,9 +33,13 @@ def format_salary(
     return F.when(_given(lo), shown).otherwise("💰 Not disclosed")
 
 
-def format_tech(tech: Column | str = "tech_stack", certs: Column | str = "certifications_required") -> Column:
+def format_tech(
+    tech: Column | str = "tech_stack", certs: Column | str = "certifications_required", most: int | None = None
+) -> Column:
+    """Lines of skills (the first `most` of them if given) and of required certificates."""
     t, c = _col(tech), _col(certs)
-    skills = F.when(F.size(t) > 0, F.concat(F.lit("🔧 "), F.array_join(F.slice(t, 1, 8), " · ")))
+    shown = t if most is None else F.slice(t, 1, most)
+    skills = F.when(F.size(t) > 0, F.concat(F.lit("🔧 "), F.array_join(shown, " · ")))
     needed = F.when(F.size(c) > 0, F.concat(F.lit("📜 Req: "), F.array_join(c, ", ")))
     # concat_ws leaves out the line that is NULL
     return coalesce_blank(F.concat_ws("\n", skills, needed), F.lit("🔧 Not specified"))

@@ -13,12 +13,6 @@ SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 # The same characters one by one: all that lie below the CJK planes and count as space.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-# Cut lengths of the stored and rendered texts.
-CUT_TEXT = 3000
-CUT_DESCRIPTION = 5000
-CUT_MAIL_BODY = 2000
-CUT_TITLE = 100
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -99,21 +93,25 @@ def split_title_company(title: Column | str) -> tuple[Column, Column]:
     return name, company
 
 
+def cut(c: Column | str, length: int | None = None) -> Column:
+    """The first `length` characters; without a length the whole text."""
+    return _col(c) if length is None else F.substring(_col(c), 1, length)
+
+
 def compose_text(*parts: Column | str, length: int | None = None) -> Column:
     """Space-joined fields, cut when a length is given."""
-    text = F.concat_ws(" ", *[blank(p) for p in parts])
-    return text if length is None else F.substring(text, 1, length)
+    return cut(F.concat_ws(" ", *[blank(p) for p in parts]), length)
 
 
 def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(_col(html), "<[^>]+>", "")
 
 
-def subject_line(html: Column | str, default: str = "Posting alert") -> Column:
-    """First non-blank line of the text without tags, stripped, at most 100 characters.
+def subject_line(html: Column | str, default: str = "Posting alert", length: int | None = None) -> Column:
+    """First non-blank line of the text without tags, stripped, cut if a length is given.
 
     The first non-space character lies on that line, so one match from there to the
     line end gives it without splitting the whole text.
     """
     line = strip(F.regexp_extract(strip_tags(html), rf"[^{SPACE}][^\n]*", 0))
-    return coalesce_blank(F.substring(line, 1, 100), F.lit(default))
+    return coalesce_blank(cut(line, length), F.lit(default))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,23 +28,29 @@ def accept_per_ttl(
 ) -> DataFrame:
     """Accepted rows as (key, ts, row_id); equal times are settled by the lower id.
 
-    `blocked` (key, blocked_until) carries earlier acceptances into this call. Rows
-    they block are dropped first and the rest depends on this input only.
+    `blocked` (key, blocked_until) carries earlier acceptances into this call; each blocks
+    its key for the TTL before `blocked_until`. Rows inside of a block are dropped first
+    and the rest depends on this input only, so a late row before all blocks is accepted.
 
     The walk along a key is sequential. Keys are counted first: an ordinary key goes
     through one sorted, streaming pass; a key with more than `hot_key_rows` rows is
     resolved window by window with plain aggregates, so that no task holds it.
     """
-    spark = rows.sparkSession
+    spark, ttl = rows.sparkSession, ttl_seconds * 1_000_000
     slim = rows.select(
         F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(row_id).alias("id")
     ).where("k is not null")
     if blocked is not None:
-        # only blocks of keys at hand, one per key; the state outgrows the input
-        until = blocked.select(F.col(key).alias("k"), F.unix_micros("blocked_until").alias("u"))
-        until = until.join(slim.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.max("u").alias("u"))
-        slim = salted_left_join(slim, until, "k", "id").where("u is null or t >= u").select("k", "t", "id")
-    ttl = ttl_seconds * 1_000_000
+        # a block lies in two stretches of a TTL at most: equal stretches meet, which spreads a hot key over time;
+        # only blocks of stretches at hand matter, as the state outgrows the input
+        slim = slim.withColumn("w", F.floor(F.col("t") / ttl).cast("long"))
+        blocks = blocked.select(F.col(key).alias("k"), F.unix_micros("blocked_until").alias("u")).distinct()
+        first = F.floor((F.col("u") - ttl) / ttl).cast("long")
+        blocks = blocks.select("k", "u", F.explode(F.array(first, first + 1)).alias("w"))
+        blocks = blocks.join(slim.select("k", "w").distinct(), ["k", "w"], "left_semi")
+        blocks = blocks.select(F.col("k").alias("bk"), F.col("w").alias("bw"), "u")
+        inside = F.expr(f"k = bk and w = bw and t >= u - {ttl} and t < u")
+        slim = slim.join(blocks, inside, "left_anti").select("k", "t", "id")
 
     hot = slim.groupBy("k").count().where(F.col("count") > hot_key_rows).select("k")
     if hot.isEmpty():
@@ -66,11 +73,15 @@ def _walk(slim: DataFrame, ttl: int) -> DataFrame:
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, until = None, 0
         for batch in batches:
-            kept = []
-            for pos, (k, t) in enumerate(zip(batch["k"].tolist(), batch["t"].tolist())):
-                if k != current or t >= until:
-                    current, until = k, t + ttl
+            k, t, kept = batch["k"].to_numpy(), batch["t"].to_numpy(), []
+            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)] if len(k) else []
+            for pos, end in zip(edges, edges[1:]):
+                if k[pos] != current:
+                    current, until = k[pos], t[pos]
+                # one step per accepted row, past all rows it blocks
+                while (pos := pos + np.searchsorted(t[pos:end], until)) < end:
                     kept.append(pos)
+                    until = t[pos] + ttl
             yield batch.iloc[kept]
 
     by_key = slim.repartition("k").sortWithinPartitions("k", "t", "id")

@@ -178,9 +178,12 @@ def live_key_counts(state: DataFrame, as_of: datetime) -> DataFrame:
     return live.groupBy("kind").agg(F.count("*").alias("entries"))
 
 
-def upsert_keyed(state: DataFrame, new: DataFrame, key: str, marked_at: str = "marked_at") -> DataFrame:
-    """State with the last mark of every key; partial aggregation keeps hot keys cheap."""
-    rest = [c for c in state.columns if c != key]
-    latest = F.max_by(F.struct(*rest), F.col(marked_at)).alias("_last")
-    merged = state.unionByName(new.select(*state.columns)).groupBy(key).agg(latest)
-    return merged.select(key, "_last.*").select(*state.columns)
+def upsert_keyed(state: DataFrame, new: DataFrame, keys: list[str], marked_at: str = "marked_at") -> DataFrame:
+    """State with the last mark of every key; partial aggregation keeps hot keys cheap.
+
+    Of marks of the same time the one whose other columns are largest (as JSON) stays.
+    """
+    rest = F.struct(*[c for c in state.columns if c not in keys])
+    latest = F.max_by(rest, F.struct(F.col(marked_at), F.to_json(rest))).alias("_last")
+    merged = state.unionByName(new.select(*state.columns)).groupBy(*keys).agg(latest)
+    return merged.select(*keys, "_last.*").select(*state.columns)

@@ -14,16 +14,17 @@ from postsieve.functions.normalize import (
     normalize_remote,
     normalize_tech,
 )
-from postsieve.functions.text import CUT_TEXT, blank, computed_once
+from postsieve.functions.text import blank, computed_once, cut
 
 BATCH_SIZE = 20  # postings per request
 
 
-def chunk(rows: DataFrame, order: str, size: int = BATCH_SIZE, buckets: int = 1) -> DataFrame:
+def chunk(rows: DataFrame, order: str, buckets: int, size: int = BATCH_SIZE) -> DataFrame:
     """Number rows in batches of `size`: adds bucket, batch_no (in the bucket) and pos.
 
-    Buckets are a hash of the unique `order` column, so they are even; choose their
-    number with the data. Within a bucket the input order holds.
+    Buckets are a hash of the unique `order` column, so they are even, and a row's bucket
+    does not depend on other rows. Each is sorted by one task: a fixed number that suits
+    the largest input keeps them small. Within a bucket the input order holds.
     """
     digest = F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 8), 16, 10).cast("long")
     w = Window.partitionBy("bucket").orderBy(order)
@@ -37,14 +38,14 @@ def chunk(rows: DataFrame, order: str, size: int = BATCH_SIZE, buckets: int = 1)
     )
 
 
-def parse_requests(chunked: DataFrame, text: str = "raw_text", length: int = CUT_TEXT) -> DataFrame:
-    """One request per batch: the numbered texts, each cut to what the parser accepts.
+def parse_requests(chunked: DataFrame, text: str = "raw_text", length: int | None = None) -> DataFrame:
+    """One request per batch: the numbered texts, each cut if the parser takes only a `length`.
 
     A batch has at most `size` rows, so the list per group is bounded.
     """
     entry = F.concat(
         F.lit("=== JOB "), (F.col("pos") + 1).cast("string"), F.lit(" ===\n"),
-        F.substring(blank(text), 1, length), F.lit("\n\n"),
+        cut(blank(text), length), F.lit("\n\n"),
     )
     listed = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"))))
     return chunked.groupBy("bucket", "batch_no").agg(
@@ -133,7 +134,9 @@ def _read_field(value: Column, expected: str) -> tuple[Column, Column]:
         return F.coalesce(items, F.array().cast("array<string>")), missing | typed
     whole = F.regexp_replace(F.trim(text), r"\.0*$", "").try_cast("int")
     flag = F.when(text == "true", 1).when(text == "false", 0)
-    number = F.when(kind == "BOOLEAN", flag).when(text.rlike(_INTEGRAL), whole)
+    value = text.try_cast("double")
+    spelled = F.when(value == F.floor(value), text.try_cast("decimal(38,18)").try_cast("int"))  # 1e8
+    number = F.when(kind == "BOOLEAN", flag).when(text.rlike(_INTEGRAL), whole).when(kind == "DOUBLE", spelled)
     good = number >= 0 if expected == "amount" else number.isNotNull()
     return number, absent | good
 

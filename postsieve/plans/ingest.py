@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.scoring import is_dream, score
-from postsieve.functions.text import CUT_DESCRIPTION, canonical_hash, coalesce_blank
+from postsieve.functions.text import canonical_hash, coalesce_blank
 from postsieve.operators.dedup import drop_seen, first_wins, key_marks
 from postsieve.operators.parsing import parse_postings
 from postsieve.schemas import JOBS
@@ -34,7 +34,7 @@ def to_jobs(parsed: DataFrame, watchlist: DataFrame, as_of: datetime) -> DataFra
     }
     fields["salary_currency"] = F.col("parsed.currency")
     fields["external_id"] = F.nullif(F.col("external_id"), F.lit(""))  # unique where given
-    fields["description_raw"] = F.substring("raw_text", 1, CUT_DESCRIPTION)
+    fields["description_raw"] = F.col("raw_text")
     rows = parsed.withColumns(fields)
     rows = rows.withColumn("canonical_hash", canonical_hash("title", "company", "location"))
     rows = flag_watchlist(rows, watchlist).withColumn("score", score("on_watchlist"))

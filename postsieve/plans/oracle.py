@@ -165,7 +165,7 @@ SALARY_TEXT = f"""case when coalesce(salary_min, 0) = 0 then '💰 Not disclosed
   || case when coalesce(salary_max, 0) = 0 then '' else ' – ' || {MONEY % 'salary_max'} end || ' USD'
   || case when k % 3 = 0 then ' / yearly' else '' end end"""
 TECH_TEXT = """case when len(tech_stack) = 0 and k % 3 <> 0 then '🔧 Not specified' else
-  case when len(tech_stack) > 0 then '🔧 ' || array_to_string(tech_stack[1:8], ' · ') else '' end
+  case when len(tech_stack) > 0 then '🔧 ' || array_to_string(tech_stack, ' · ') else '' end
   || case when len(tech_stack) > 0 and k % 3 = 0 then chr(10) else '' end
   || case when k % 3 = 0 then '📜 Req: CISSP' else '' end end"""
 ALERT_TEXT = f"""case when score >= 90 then '🔥' else '✅' end || ' <b>'
@@ -181,7 +181,7 @@ MESSAGES = "messages as (select 'channel_' || role as channel, conv_id * 1000 +
 HAS_COMPANY = f"(contains(text, '@') or contains(lower(text), 'company:') or regexp_matches(text, '{COMPANY}'))"
 HAS_SALARY = r"(regexp_matches({x}, '(?i)\$[\d,]+k?') or regexp_matches({x}, '(?i)\d+k'))"
 WORTH = f"length(text) >= 30 and ({HAS_COMPANY} or {HAS_SALARY.format(x='text')})"
-COMPANY_OF = f"substring({_strip(f'''regexp_extract(text, '{COMPANY}', 1)''')}, 1, 100)"
+COMPANY_OF = _strip(f"regexp_extract(text, '{COMPANY}', 1)")
 
 
 def _payload() -> str:
@@ -233,7 +233,7 @@ MERGED_OK = (
     "(sound and (s_ok or (s_silent and coalesce(h_min, 0) <> 0)) and (t_ok or (t_silent and len(h_tech) > 0)))"
 )
 
-BUCKET = "('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % greatest(1, (select count(*) from documents) // 1000)"
+BUCKET = "('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 64"
 CHUNKS = f"""chunks as (select doc_id, text, bucket, n // 20 as batch_no, n % 20 as pos from (
   select *, row_number() over (partition by bucket order by doc_id) - 1 as n
   from (select doc_id, text, {BUCKET} as bucket from documents)))"""
@@ -297,10 +297,10 @@ def _inner(pattern: str) -> str:
 
 
 LINKS = rf"""links as (select page_id, link, pos,
-  coalesce(({_links('<h1[^>]*>([^<]+)</h1>')})[pos], '') as t, substring(html, 1, 2000) as body,
+  coalesce(({_links('<h1[^>]*>([^<]+)</h1>')})[pos], '') as t, html as body,
   coalesce(({_links('<b[^>]*>([^<]+)<')})[pos], '') as c from (
     select page_id, html, unnest(ls) as link, generate_subscripts(ls, 1) as pos
-    from (select page_id, html, ({_links('href="(/[^"]+)"')})[1:10] as ls from pages)))"""
+    from (select page_id, html, ({_links('href="(/[^"]+)"')}) as ls from pages)))"""
 
 ORACLE = {
     "alert_queue_top10": f"""with {JOBS}, {ALERTS} select id, company, title, score, {_csv('tech_stack')} as tech,
@@ -337,8 +337,8 @@ select '📊 <b>Daily summary (2001-07-01)</b>' || chr(10) || chr(10)
     "company_extract": f"select doc_id, {COMPANY_OF} as company, {HAS_COMPANY} as has_company from documents",
     "message_prefilter": f"select doc_id from documents where {WORTH}",
     "messages_to_raw": f"""with {MESSAGES} select 'tg_' || msg_id || '_' || substring(channel, 1, 10) as external_id,
-  substring(text, 1, 100) as title, {COMPANY_OF} as company, 'https://t.me/' || channel || '/' || msg_id as url,
-  'telegram_' || channel as source_name, md5(substring(text, 1, 3000)) as text_md5 from messages where {WORTH}""",
+  text as title, {COMPANY_OF} as company, 'https://t.me/' || channel || '/' || msg_id as url,
+  'telegram_' || channel as source_name, md5(text) as text_md5 from messages where {WORTH}""",
     "latest_messages": f"""with {MESSAGES} select channel, msg_id from messages
   qualify row_number() over (partition by channel order by msg_id desc) <= 50""",
     "normalize_fields": rf"""with {POSTINGS}, x as (select k,
@@ -368,16 +368,16 @@ select '📊 <b>Daily summary (2001-07-01)</b>' || chr(10) || chr(10)
   from postings""",
     "page_links_positional": f"""with {LINKS} select page_id, 'li_' || substring(md5(link), 1, 16) as external_id,
   link as url, {_strip('t')} as title, {_strip('c')} as company, md5(t || ' ' || c || ' ' || body) as text_md5 from links""",
-    "page_cards": f"""with li as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('li')}', 1))[1:30]) as card from pages),
-art as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('article')}', 1))[1:30]) as card from pages),
+    "page_cards": f"""with li as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('li')}', 1))) as card from pages),
+art as (select page_id, url, unnest((regexp_extract_all(html, '{_cards('article')}', 1))) as card from pages),
 c as (select page_id, url, {_inner(_cards('a'))} as title, '' as company from li where regexp_matches(card, '{_cards('a')}')
   union all select page_id, url, {_inner(_cards('h1'))}, {_inner(PARAGRAPH)} from art
   where regexp_matches(card, '{_cards('h1')}') and regexp_matches(card, '{PARAGRAPH}'))
 select page_id, 'pw_' || substring(md5(url || title), 1, 16) as external_id, title,
   md5(title || ' ' || company || ' ') as text_md5 from c""",
     "strip_tags_subject": rf"""with x as (select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as t from pages)
-  select page_id, md5(t) as text_md5, coalesce(nullif(substring({_strip(f'''coalesce(list_filter(string_split(t, chr(10)),
-    lambda l: regexp_matches(l, '[^{SP}]'))[1], '')''')}, 1, 100), ''), 'Posting alert') as subject from x""",
+  select page_id, md5(t) as text_md5, coalesce(nullif({_strip(f'''coalesce(list_filter(string_split(t, chr(10)),
+    lambda l: regexp_matches(l, '[^{SP}]'))[1], '')''')}, ''), 'Posting alert') as subject from x""",
     "dedup_against_state": f"""with {POSTINGS}, {SEEN}, {INCOMING},
 a as (select *, {_can_hash()} as canonical_hash from incoming where not ({EXT_LIVE}) and not ({CAN_LIVE})),
 b as {_first('a', 'canonical_hash', 'ingested_at, external_id')},
@@ -390,11 +390,11 @@ select k, external_id, canonical_hash from c""",
     "key_marks": f"""with {POSTINGS} select 'ext' as kind, source_tier || ':' || external_id as key,
   {_time(f"{AS_OF} + interval 30 days")} as expires_at from postings
   union all select 'can', {DEDUP}, {_time(f"{AS_OF} + interval 60 days")} from postings""",
-    "upsert_keys": f"""with {POSTINGS}, {INCOMING}, m as (
-  select {DEDUP} as key, ingested_at from postings where ingested_at < {CUT}
-  union all select {DEDUP}, ingested_at from incoming)
-select key, {_time('max(ingested_at)')} as marked_at, {_time("max(ingested_at) + interval 60 days")} as expires_at
-  from m group by key""",
+    "upsert_keys": f"""with {POSTINGS}, {SEEN}, {INCOMING}, m as (
+  select kind, key, marked_at, expires_at from seen
+  union all select 'ext', source_tier || ':' || external_id, ingested_at, ingested_at + interval 30 days from incoming
+  union all select 'can', {DEDUP}, ingested_at, ingested_at + interval 60 days from incoming)
+select kind, key, {_time('max(marked_at)')} as marked_at, {_time("max(expires_at)")} as expires_at from m group by kind, key""",
     "first_wins_batch": f"""with {POSTINGS}, a as (select * replace (case when k % 10 = 9 then '' else 'o_' || (k // 3) end as external_id),
   {_can_hash()} as canonical_hash from postings),
 b as {_first('a', 'canonical_hash', 'ingested_at, external_id')},
@@ -422,13 +422,13 @@ cache as (select key, d from c where d % 5 not in (0, 1) and timestamp '2024-01-
 select doc_id, d is not null as cache_hit, case when d is not null then '{{"title":"t' || d || '"}}' end as payload
   from documents left join cache on sha256(text) = key""",
     "chunk_requests": f"""with {CHUNKS} select bucket, batch_no, count(*) as n_texts,
-  md5(string_agg('=== JOB ' || (pos + 1) || ' ===' || chr(10) || substring(text, 1, 3000) || chr(10) || chr(10), '' order by pos)) as request_md5
+  md5(string_agg('=== JOB ' || (pos + 1) || ' ===' || chr(10) || text || chr(10) || chr(10), '' order by pos)) as request_md5
   from chunks group by bucket, batch_no""",
     "align_results": f"""with {CHUNKS} select doc_id, case when pos < case when batch_no % 4 = 1 then 1 else 18 end
   then '{{"title":"d' || doc_id || '"}}' else '{{}}' end as payload from chunks""",
     "union_sources": f"""with {POSTINGS}, {MESSAGES}, {LINKS}
 select external_id, title, company, source_name, source_tier from postings
-union all select 'tg_' || msg_id || '_' || substring(channel, 1, 10), substring(text, 1, 100), {COMPANY_OF},
+union all select 'tg_' || msg_id || '_' || substring(channel, 1, 10), text, {COMPANY_OF},
   'telegram_' || channel, 4 from messages where {WORTH}
 union all select 'li_' || substring(md5(link), 1, 16), {_strip('t')}, '', 'linkedin_imap', 3 from links""",
     "seed_registry": f"""with {SOURCES} select name, tier, url, consecutive_failures, total_scraped, is_stale from sources
@@ -447,7 +447,7 @@ union all select 'src' || (n_nationkey + 7), cast(1 + (n_nationkey + 7) % 2 as i
   count(*) filter (ingested_at between {AS_OF} - interval 24 hours and {AS_OF}) as last_24h,
   count(*) filter (is_dream) as dream_jobs from jobs""",
     "jobs_by_tier": f"""with {POSTINGS} select t.tier, count(k) as jobs from (values (1), (2), (3), (4)) t(tier)
-  left join (select * from postings where source_tier <> 3) p on p.source_tier = t.tier group by t.tier""",
+  left join postings p on p.source_tier = t.tier group by t.tier""",
     "health_6h": f"""with {POSTINGS} select t.tier, count(k) as jobs from (values (1), (2), (3), (4)) t(tier)
   left join (select * from postings where ingested_at between {AS_OF} - interval 6 hours and {AS_OF}) p
   on p.source_tier = t.tier group by t.tier""",
@@ -475,7 +475,7 @@ select '🩺 <b>Health report</b>' || chr(10) || '🕐 2001-07-01 12:00 UTC' ||
   consecutive_failures as failures, is_stale, total_scraped from updated""",
     "failure_streak": f"""with {_totals()} select source, streak, scraped, error_message,
   {_micros('success_at')} as last_success_at, {_micros('failure_at')} as last_failure_at from totals""",
-    "source_totals": f"""with {_updated("source <> 'src3'")} select name, tier, consecutive_failures, total_scraped, is_stale,
+    "source_totals": f"""with {_updated()} select name, tier, consecutive_failures, total_scraped, is_stale,
   error_message from updated""",
     "latency_histogram": """select le, count(*) filter (value <= bound) as samples from events,
   (values ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('10.0', 10.0), ('30.0', 30.0), ('+Inf', 1e300)) b(le, bound)
@@ -495,4 +495,4 @@ select k_ as key, i_ as k, {_time('t_')} as ingested_at from acc""",
 select event_type, {_time('s')} as window_start, {_time("s + interval 24 hours")} as window_end, count(*) as n
   from w group by event_type, s""",
 }
-ORACLE["ttl_dedup_stream"] = ORACLE["error_cooldown"]
+ORACLE["ttl_dedup_stream"] = ORACLE["error_cooldown"].replace("events where event_type = 'error'", "events")

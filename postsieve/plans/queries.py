@@ -38,6 +38,7 @@ from postsieve.streaming import counts, dedup as stream_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DAY = 24 * 3600
+REQUEST_BUCKETS = 64
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -342,8 +343,8 @@ def upsert_keys(spark, sf_dir):
     """Key state after all postings are marked at their ingest time."""
     state = views.seen_keys(spark, sf_dir)
     later = dedup.key_marks(_incoming(spark, sf_dir), F.col("ingested_at"))
-    merged = dedup.upsert_keyed(state.where("kind = 'can'"), later.where("kind = 'can'"), "key")
-    return merged.select("key", _time("marked_at"), _time("expires_at"))
+    merged = dedup.upsert_keyed(state, later, ["kind", "key"])
+    return merged.select("kind", "key", _time("marked_at"), _time("expires_at"))
 
 
 @query
@@ -394,7 +395,7 @@ def constraint_violations(spark, sf_dir):
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    return parsing.chunk(docs, "doc_id", buckets=max(1, docs.count() // 1000))
+    return parsing.chunk(docs, "doc_id", buckets=REQUEST_BUCKETS)
 
 
 @query
@@ -507,8 +508,7 @@ def stats_overview(spark, sf_dir):
 
 @query
 def jobs_by_tier(spark, sf_dir):
-    jobs = views.postings(spark, sf_dir).where("source_tier <> 3")
-    return metrics.jobs_by_tier(jobs)
+    return metrics.jobs_by_tier(views.postings(spark, sf_dir))
 
 
 @query
@@ -569,8 +569,7 @@ def failure_streak(spark, sf_dir):
 
 @query
 def source_totals(spark, sf_dir):
-    log = views.outcomes(spark, sf_dir).where("source <> 'src3'")
-    updated = health.update_source_stats(views.sources(spark, sf_dir), log)
+    updated = health.update_source_stats(views.sources(spark, sf_dir), views.outcomes(spark, sf_dir))
     return updated.select("name", "tier", "consecutive_failures", "total_scraped", "is_stale", "error_message")
 
 
@@ -630,9 +629,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ttl_dedup_stream(spark, sf_dir):
     out = scratch_dir(spark, "accepted")
-    stream = _event_stream(spark, sf_dir).where("event_type = 'error'")
     stream_dedup.dedup_stream(
-        stream, "user_id", "ts", "event_id", DAY, out, scratch_dir(spark, "checkpoint")
+        _event_stream(spark, sf_dir), "user_id", "ts", "event_id", DAY, out, scratch_dir(spark, "checkpoint")
     ).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id", _micros("ts"))
 

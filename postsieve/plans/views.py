@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a plain scan on all cores, ahead of costly work per row.
+    """Rows of a plain scan ahead of costly work per row.
 
-    A table of a single file with one row group is read by one task. Only such inputs,
-    with fewer splits than cores, are shuffled; larger ones stay as they are read.
+    They stay as they are read, unless the session asks for a shuffle by `postsieve.input.partitions`; that helps
+    where a table is a single file with one row group.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    partitions = rows.sparkSession.conf.get("postsieve.input.partitions", None)
+    return rows.repartition(int(partitions)) if partitions else rows
 
 
 def pick(key: str, n: int, *values: str | None) -> Column:

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.extract import extract_company, worth_parsing
 from postsieve.functions.text import (
-    CUT_MAIL_BODY,
-    CUT_TEXT,
-    CUT_TITLE,
     blank,
     company_from_slug,
     compose_text,
+    cut,
     split_title_company,
     strip,
     strip_tags,
@@ -23,13 +21,10 @@ from postsieve.functions.text import (
 from postsieve.operators.dedup import first_per
 from postsieve.schemas import RAW_POSTING
 
-# What job mails look like, and how much of each container is read.
+# What job mails look like, and how many messages of a channel are polled.
 MAIL_LINK = r'href="(https://www\.linkedin\.com/jobs/view/[^"]+)"'
 MAIL_TITLE = r"<h3[^>]*>([^<]+)</h3>"
 MAIL_COMPANY = r"<h4[^>]*>([^<]+)</h4>"
-LINKS_PER_MAIL = 10
-CARDS_PER_PAGE = 30
-MAILS_PER_BOX = 50
 MESSAGES_PER_CHANNEL = 50
 
 # Markup: tags whose end may be left out, and how deep a tag may contain itself.
@@ -98,7 +93,11 @@ def read_postings_json(spark: SparkSession, path: str, slug: str | None = None)
     )
 
 
-def read_feed_xml(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def read_feed_xml(spark: SparkSession, path: str, name: str, text_length: int | None = None) -> DataFrame:
     """Feed items; the company follows the last " at " of the title."""
     schema = "title string, link string, location string, description string, `content:encoded` string"
     items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
@@ -111,7 +110,7 @@ def read_feed_xml(spark: SparkSession, path: str, name: str) -> DataFrame:
         company=F.col("_company"),
         location=blank("location"),
         url=blank("link"),
-        raw_text=compose_text("_title", "_company", "location", "description", "`content:encoded`", length=CUT_TEXT),
+        raw_text=compose_text("_title", "_company", "location", "description", "`content:encoded`", length=text_length),
         source_name=F.lit(name),
         source_tier=F.lit(2),
     )
@@ -145,10 +144,13 @@ def extract_mail_postings(
     company: str = MAIL_COMPANY,
     name: str = "linkedin_imap",
     keep: tuple[str, ...] = (),
+    limit: int | None = None,
+    body_length: int | None = None,
 ) -> DataFrame:
-    """The first ten links of each mail with the title and company at the same position.
+    """The links of each mail with the title and company at the same position.
 
-    Columns in `keep` are carried along in front.
+    Columns in `keep` are carried along in front. `limit` reads the first links of a mail only, `body_length` cuts
+    the mail's part of the text.
     """
 
     def all_of(pattern: str) -> Column:
@@ -156,10 +158,10 @@ def extract_mail_postings(
 
     found = mails.where(blank(html) != "").select(
         *keep,
-        F.substring(html, 1, CUT_MAIL_BODY).alias("body"),
-        F.slice(all_of(title), 1, LINKS_PER_MAIL).alias("titles"),
-        F.slice(all_of(company), 1, LINKS_PER_MAIL).alias("companies"),
-        F.slice(all_of(link), 1, LINKS_PER_MAIL).alias("links"),
+        cut(html, body_length).alias("body"),
+        _first(all_of(title), limit).alias("titles"),
+        _first(all_of(company), limit).alias("companies"),
+        _first(all_of(link), limit).alias("links"),
     )
     rows = found.select("*", F.posexplode("links").alias("pos", "link")).withColumns(
         {"t": blank(F.get("titles", F.col("pos"))), "c": blank(F.get("companies", F.col("pos")))}
@@ -216,8 +218,9 @@ def extract_page_cards(
     html: str = "html",
     url: str = "url",
     keep: tuple[str, ...] = (),
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first thirty cards of each stored page.
+    """The cards of each stored page, or the first `limit` of them.
 
     Selectors are `tag`, `.class` or `tag.class`; a card inside of a card is part of the
     outer one. An empty selector gives an empty field, one that hits nothing drops its card.
@@ -225,7 +228,7 @@ def extract_page_cards(
     cards = pages.select(
         *keep,
         F.col(url).alias("url"),
-        F.posexplode(F.slice(F.regexp_extract_all(html, F.lit(_element(items)), F.lit(2)), 1, CARDS_PER_PAGE)).alias("pos", "card"),
+        F.posexplode(_first(F.regexp_extract_all(html, F.lit(_element(items)), F.lit(2)), limit)).alias("pos", "card"),
     )
     fields = {"title": title, "company": company, "location": location}
     for field, selector in fields.items():
@@ -249,17 +252,19 @@ def extract_page_cards(
     )
 
 
-def messages_to_raw(messages: DataFrame) -> DataFrame:
-    """Channel messages (channel, msg_id, text) that pass the prefilter."""
+def messages_to_raw(
+    messages: DataFrame, title_length: int | None = None, text_length: int | None = None
+) -> DataFrame:
+    """Channel messages (channel, msg_id, text) that pass the prefilter; the text is the title too."""
     channel, number = F.col("channel"), F.col("msg_id").cast("string")
     return _raw(
         messages.where(worth_parsing("text")),
         external_id=F.concat_ws("_", F.lit("tg"), number, F.substring(channel, 1, 10)),
-        title=F.substring("text", 1, CUT_TITLE),
+        title=cut("text", title_length),
         company=extract_company("text"),
         location=F.lit(""),
         url=F.concat(F.lit("https://t.me/"), channel, F.lit("/"), number),
-        raw_text=F.substring("text", 1, CUT_TEXT),
+        raw_text=cut("text", text_length),
         source_name=F.concat(F.lit("telegram_"), channel),
         source_tier=F.lit(4),
     )

@@ -11,7 +11,8 @@ START = datetime(2024, 1, 1)
 
 
 def brute(rows, ttl, blocked=None):
-    until, kept = dict(blocked or {}), []
+    until, kept, span = {}, [], timedelta(seconds=ttl)
+    rows = [r for r in rows if not any(k == r[0] and u - span <= r[1] < u for k, u in (blocked or {}).items())]
     for key, ts, row_id in sorted(rows, key=lambda r: (r[1], r[2])):
         if key not in until or ts >= until[key]:
             kept.append((key, ts, row_id))
@@ -47,6 +48,13 @@ def test_earlier_blocks_count(spark, hot_key_rows):
     assert sorted(map(tuple, got.collect())) == brute(rows, ttl, blocked)
 
 
+def test_late_rows_are_blocked_only_inside_of_a_block(spark):
+    rows = [("a", START + timedelta(seconds=s), s) for s in (50, 99, 105, 110, 200)]
+    earlier = spark.createDataFrame([("a", START + timedelta(seconds=110))], "key string, blocked_until timestamp")
+    got = accept_per_ttl(frame(spark, rows), "key", "ts", "id", 10, earlier)
+    assert sorted(r.id for r in got.collect()) == [50, 99, 110, 200]
+
+
 def test_block_ends_at_ttl_and_is_not_extended(spark):
     rows = [("a", START + timedelta(seconds=s), s) for s in (0, 5, 9, 10, 19, 20)]
     got = accept_per_ttl(frame(spark, rows), "key", "ts", "id", 10)

@@ -59,7 +59,8 @@ class TestNames:
         html = "<p> \n</p>\n <b> Hello   there</b> \nmore"
         assert one(spark, text.subject_line("h"), h=html) == "Hello   there"
         assert one(spark, text.subject_line("h", "none"), h="<br> \n") == "none"
-        assert len(one(spark, text.subject_line("h"), h="y" * 300)) == 100
+        assert len(one(spark, text.subject_line("h"), h="y" * 300)) == 300
+        assert len(one(spark, text.subject_line("h", length=100), h="y" * 300)) == 100
 
 
 class TestExtraction:

@@ -17,6 +17,9 @@ def test_defaults(spark):
 
 
 def test_hints_fill_silent_fields_only(spark):
+    valid, p = parse(spark, '{"salary_min": 1e8, "title": "t"}')
+    assert valid and p.salary_min == 100_000_000
+    assert not parse(spark, '{"salary_min": 1.5e0}')[0]
     valid, p = parse(spark, '{"salary_min": 0, "salary_max": 200000, "remote_policy": "unknown", "tech_stack": []}')
     assert valid
     assert (p.salary_min, p.salary_max, p.remote_policy, p.tech_stack) == (120000, 200000, "unknown", ["go"])

@@ -74,7 +74,7 @@ def test_mail(spark):
     mails = spark.createDataFrame([(body,), ("",), (None,)], "html string")
     rows = payloads.extract_mail_postings(mails).collect()
     assert [(r.title, r.company) for r in rows[:3]] == [("One", "Co"), ("Two", ""), ("", "")]
-    assert len(rows) == 10 and rows[1].raw_text == f"Two  {body[:2000]}"
+    assert len(rows) == 12 and rows[1].raw_text == f"Two  {body}"
 
 
 def test_cards(spark):
@@ -82,7 +82,7 @@ def test_cards(spark):
     html = "".join(card.format(i) for i in range(40)) + "<li class='job'><i class='place'>no title</i></li><li>other</li>"
     pages = spark.createDataFrame([("http://p", html), ("http://q", "<li class='job'><i class='place'>x</i></li>")], "url string, html string")
     rows = payloads.extract_page_cards(pages, "li.job", title="h2", location="i.place").collect()
-    assert len(rows) == 30 and {r.url for r in rows} == {"http://p"}
+    assert len(rows) == 40 and {r.url for r in rows} == {"http://p"}
     assert (rows[3].title, rows[3].company, rows[3].raw_text) == ("T3", "", "T3  P&amp;3")
 
 
