@@ -152,9 +152,9 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float, together: int =
 def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between different texts of (text_id, body), enough to connect those that share a sketch and are similar.
 
-    Rows that repeat a text count once. In each group of texts with an equal sketch, all are compared with the smallest id.
-    Texts that this leaves outside of the group's largest component are then compared with every member of another
-    component, so no similar pair of a group stays unconnected, while a group of near copies costs one comparison each.
+    Rows that repeat a text count once. In each group of texts with an equal sketch, all are compared with the text in the
+    middle; those outside of the group's largest component then with TURNS drawn members of it. What is left is compared
+    among itself, each pair once, if it shares a second group.
     """
     per_text = sketch_rows(texts).groupBy("text_id").agg(F.first("sketch").alias("sketch"))
     members = per_text.select("text_id", F.posexplode("sketch").alias("n", "h"))
@@ -181,12 +181,15 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn < TURNS:
             again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
             links = stored(links.unionByName(verified(again, bodies, least)), "links")
-    own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"))  # at most SKETCHES
+    over = F.when(F.col("root") != F.col("main"), F.col("bucket"))
+    own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"), F.collect_set(over).alias("over"))  # at most SKETCHES
     apart = stored(apart.join(own, "text_id"), "apart-groups")
-    outside = apart.where("root <> main").select("bucket", "text_id", "root", "own")
-    other = outside.select("bucket", F.col("text_id").alias("y"), F.col("root").alias("y_root"), F.col("own").alias("y_own"))
-    rest = outside.join(other, "bucket").where(F.expr("root <> y_root and text_id < y") & (F.size(F.array_intersect("own", "y_own")) > 1))
-    rest = rest.select(F.col("text_id").alias("a"), F.col("y").alias("b")).distinct()
+    outside = apart.where("root <> main").select("bucket", "text_id", "root", "own", "over")
+    other = outside.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("text_id", "root", "own", "over")])
+    again = F.size(F.array_intersect("own", "y_own")) > 1
+    once = again & (F.array_min(F.array_intersect("over", "y_over")) == F.col("bucket"))  # from the first group both are left in
+    rest = outside.join(other, "bucket").where(F.expr("root <> y_root and text_id < y_text_id") & once)
+    rest = stored(rest.select(F.col("text_id").alias("a"), F.col("y_text_id").alias("b")), "leftovers")
     return links.unionByName(verified(rest, bodies, least))
 
 
