@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 ]
 
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}©\n]*(?:copyright(?: \(c\)| ©)? [0-9]|copyright by |\(c\) |© |all rights reserved)[^\n]*"
+EMPTY = sha256(b"").hexdigest()
 MARKS = r"[^\p{L}\p{N}]+"
 
 
@@ -61,8 +64,8 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """Digest of the canonical form; NULL for NULL and for texts without a letter or digit."""
-    form = canonical(text)
-    return F.when(F.length(form) > 0, F.sha2(form, 256))
+    # a filter over one value names the costly form only once
+    return F.get(F.filter(F.array(F.sha2(canonical(text), 256)), lambda d: d != F.lit(EMPTY)), F.lit(0))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
