@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.operators.salting import salted_left_join
-from postsieve.scratch import scratch_dir
+# TTLs in a segment of time; the segments of a key are walked side by side.
+SEGMENT_TTLS = 16
 
-# Rows of one key up to which a single task walks them.
-HOT_KEY_ROWS = 2_000_000
+
+def _stretch(t: str, length: int) -> Column:
+    """Number of the stretch of `length` microseconds that a time lies in, without rounding."""
+    return F.expr(f"({t} - pmod({t}, {length}L)) div {length}L")
 
 
 def accept_per_ttl(
@@ -24,7 +27,7 @@ def accept_per_ttl(
     row_id: str,
     ttl_seconds: int,
     blocked: DataFrame | None = None,
-    hot_key_rows: int = HOT_KEY_ROWS,
+    segment_ttls: int = SEGMENT_TTLS,
 ) -> DataFrame:
     """Accepted rows as (key, ts, row_id); equal times are settled by the lower id.
 
@@ -32,86 +35,153 @@ def accept_per_ttl(
     its key for the TTL before `blocked_until`. Rows inside of a block are dropped first
     and the rest depends on this input only, so a late row before all blocks is accepted.
 
-    The walk along a key is sequential. Keys are counted first: an ordinary key goes
-    through one sorted, streaming pass; a key with more than `hot_key_rows` rows is
-    resolved window by window with plain aggregates, so that no task holds it.
+    The walk along a key is sequential, so time is cut into segments of `segment_ttls` TTLs
+    that are walked side by side: a first pass tells which block leaves a segment for each
+    block that may enter it, these are chained per key, and a second pass walks each segment
+    from the block that does enter it.
     """
-    spark, ttl = rows.sparkSession, ttl_seconds * 1_000_000
+    ttl = ttl_seconds * 1_000_000
     slim = rows.select(
         F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(row_id).alias("id")
     ).where("k is not null")
     if blocked is not None:
         # a block lies in two stretches of a TTL at most: equal stretches meet, which spreads a hot key over time;
         # only blocks of stretches at hand matter, as the state outgrows the input
-        slim = slim.withColumn("w", F.floor(F.col("t") / ttl).cast("long"))
+        slim = slim.withColumn("w", _stretch("t", ttl))
         blocks = blocked.select(F.col(key).alias("k"), F.unix_micros("blocked_until").alias("u")).distinct()
-        first = F.floor((F.col("u") - ttl) / ttl).cast("long")
+        first = _stretch("u", ttl) - 1
         blocks = blocks.select("k", "u", F.explode(F.array(first, first + 1)).alias("w"))
         blocks = blocks.join(slim.select("k", "w").distinct(), ["k", "w"], "left_semi")
         blocks = blocks.select(F.col("k").alias("bk"), F.col("w").alias("bw"), "u")
         inside = F.expr(f"k = bk and w = bw and t >= u - {ttl} and t < u")
         slim = slim.join(blocks, inside, "left_anti").select("k", "t", "id")
 
-    hot = slim.groupBy("k").count().where(F.col("count") > hot_key_rows).select("k")
-    if hot.isEmpty():
-        accepted = _walk(slim, ttl)
-    else:
-        hot_path = scratch_dir(spark, "hot-keys")
-        hot.write.parquet(hot_path)
-        hot = spark.read.schema(hot.schema).parquet(hot_path)
-        cold = _walk(slim.join(hot, "k", "left_anti"), ttl)
-        accepted = cold.unionByName(_by_windows(slim.join(hot, "k", "left_semi"), ttl))
+    slim = slim.withColumn("s", _stretch("t", ttl * segment_ttls))
+    entries = _entries(_exits(slim, ttl, segment_ttls), ttl * segment_ttls)
+    accepted = _walk(slim, entries, ttl)
     return accepted.select(
         F.col("k").alias(key), F.timestamp_micros("t").alias(ts), F.col("id").alias(row_id)
     )
 
 
-def _walk(slim: DataFrame, ttl: int) -> DataFrame:
-    """One pass over rows sorted by key and time; only the current key and the end of
-    its block are remembered, across Arrow batches too."""
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Segment:
+    """The blocks that leave a segment, by the time of the first row a chain of acceptances
+    has in it. Rows come from the last to the first; neighbours with the same outcome are
+    one piece, named by its last time."""
+
+    def __init__(self, ttl: int):
+        self.ttl, self.window = ttl, None
+        self.now = self.later = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, t: np.ndarray) -> None:
+        """Take in falling times. A row of a TTL-long window is followed by one of a later window."""
+        window = t // self.ttl
+        edges = [0, *(np.flatnonzero(window[1:] != window[:-1]) + 1), len(t)]
+        for a, b in zip(edges, edges[1:]):
+            if window[a] != self.window:
+                self.window, self.later = window[a], self.pieces()
+                self.now = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            times = t[a:b][::-1]
+            ends, (starts, outcome) = times + self.ttl, self.later
+            at = np.searchsorted(starts, ends)
+            if len(starts):
+                ends = np.where(at < len(starts), outcome[np.minimum(at, len(starts) - 1)], ends)
+            times, ends = np.concatenate((times, self.now[0])), np.concatenate((ends, self.now[1]))
+            last = np.append(ends[1:] != ends[:-1], True)
+            self.now = times[last], ends[last]
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Times and outcomes of the earliest window, and the first of the window after it."""
+        (t, u), (later_t, later_u) = self.now, self.later
+        return np.concatenate((t, later_t[:1])), np.concatenate((u, later_u[:1]))
+
+
+def _exits(slim: DataFrame, ttl: int, segment_ttls: int) -> DataFrame:
+    """(k, s, t, u): a chain whose first row in segment s is at t, or between the time before
+    and t, leaves a block until u. Segments that no block leaves have no rows here."""
+    span = ttl * segment_ttls
+
+    def pieces(group: tuple, segment: _Segment) -> pd.DataFrame:
+        t, u = segment.pieces()
+        return pd.DataFrame({"k": [group[0]] * len(t), "s": group[1], "t": t, "u": u})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, segment = None, None
+        for batch in batches:
+            if batch.empty:
+                continue
+            k, s, t = (batch[c].to_numpy() for c in ("k", "s", "t"))
+            edges = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]), [True])))
+            starts, ends = edges[:-1], edges[1:]
+            # a block leaves if the last row's does
+            leaves = t[starts] + ttl > (s[starts] + 1) * span
+            if (k[0], s[0]) == group:
+                leaves[0] = segment is not None
+            elif segment is not None:
+                yield pieces(group, segment)
+                segment = None
+            for i in np.flatnonzero(leaves):
+                if (here := (k[starts[i]], s[starts[i]])) != group or segment is None:
+                    if segment is not None:
+                        yield pieces(group, segment)
+                    group, segment = here, _Segment(ttl)
+                segment.add(t[starts[i] : ends[i]])
+            if (k[-1], s[-1]) != group:
+                if segment is not None:
+                    yield pieces(group, segment)
+                group, segment = (k[-1], s[-1]), None
+        if segment is not None:
+            yield pieces(group, segment)
+
+    falling = slim.select("k", "s", "t").repartition("k", "s").sortWithinPartitions("k", "s", F.col("t").desc())
+    kind = slim.schema["k"].dataType.simpleString()
+    return falling.mapInPandas(rows, f"k {kind}, s bigint, t bigint, u bigint")
+
+
+def _entries(exits: DataFrame, span: int) -> DataFrame:
+    """(k, s, u): the block that enters segment s of a key, where one does."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, entry, left = None, None, None
+        for batch in batches:
+            got = []
+            for k, s, t, u in zip(batch["k"], batch["s"], batch["t"], batch["u"]):
+                if (k, s) != group:
+                    entry = left if group == (k, s - 1) else None
+                    group, left = (k, s), None
+                if left is None and (entry is None or t >= entry):
+                    left = u
+                    if u > (s + 1) * span:
+                        got.append((k, s + 1, u))
+            yield pd.DataFrame(got, columns=["k", "s", "u"])
+
+    kind = exits.schema["k"].dataType.simpleString()
+    by_key = exits.repartition("k").sortWithinPartitions("k", "s", "t")
+    return by_key.mapInPandas(rows, f"k {kind}, s bigint, u bigint")
+
+
+def _walk(slim: DataFrame, entries: DataFrame, ttl: int) -> DataFrame:
+    """One pass over rows sorted by key, segment and time, each segment's entering block first;
+    only the current segment and the end of its block are remembered, across Arrow batches too."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, until = None, 0
         for batch in batches:
-            k, t, kept = batch["k"].to_numpy(), batch["t"].to_numpy(), []
-            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)] if len(k) else []
+            k, s, t, entering = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "t", "entering"))
+            new, kept = (k[1:] != k[:-1]) | (s[1:] != s[:-1]), []
+            edges = [0, *(np.flatnonzero(new) + 1), len(k)] if len(k) else []
             for pos, end in zip(edges, edges[1:]):
-                if k[pos] != current:
-                    current, until = k[pos], t[pos]
+                if (k[pos], s[pos]) != current:
+                    current, until = (k[pos], s[pos]), t[pos]
+                    pos += int(entering[pos])
                 # one step per accepted row, past all rows it blocks
                 while (pos := pos + np.searchsorted(t[pos:end], until)) < end:
                     kept.append(pos)
                     until = t[pos] + ttl
-            yield batch.iloc[kept]
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    by_key = slim.repartition("k").sortWithinPartitions("k", "t", "id")
-    return by_key.mapInPandas(keep, slim.schema)
-
-
-def _by_windows(slim: DataFrame, ttl: int) -> DataFrame:
-    """Resolve hot keys one TTL-long window after the other.
-
-    Two acceptances lie at least a TTL apart, so a window holds at most one: the first
-    row at or after the end of the block set in the window before. Blocks from older
-    windows have ended by then. That is a minimum per key, which combines map-side.
-    The rows are stored by window, so every row is read once.
-    """
-    spark = slim.sparkSession
-    path = scratch_dir(spark, "hot-rows")
-    windowed = slim.withColumn("w", F.floor(F.col("t") / F.lit(ttl)).cast("long"))
-    windowed.repartition("w", F.pmod(F.xxhash64("id"), F.lit(64))).write.partitionBy("w").parquet(path)
-    stored = spark.read.schema(windowed.schema).parquet(path)
-    windows = [r.w for r in stored.select("w").distinct().orderBy("w").collect()]
-
-    out = scratch_dir(spark, "hot-accepted")
-    previous = None
-    for w in windows:
-        part = stored.where(F.col("w") == w)
-        if previous == w - 1:
-            last = spark.read.schema(slim.schema).parquet(f"{out}/w={previous}")
-            ends = last.select("k", (F.col("t") + ttl).alias("u"))
-            part = salted_left_join(part, ends, "k", "id").where("u is null or t >= u")
-        first = part.groupBy("k").agg(F.min(F.struct("t", "id")).alias("f"))
-        first.select("k", "f.t", "f.id").write.parquet(f"{out}/w={w}")
-        previous = w
-    return spark.read.schema(slim.schema).parquet(*[f"{out}/w={w}" for w in windows])
+    no_id = F.lit(None).cast(slim.schema["id"].dataType)
+    blocks = entries.select("k", F.col("u").alias("t"), no_id.alias("id"), "s", F.lit(True).alias("entering"))
+    both = slim.withColumn("entering", F.lit(False)).unionByName(blocks)
+    by_segment = both.repartition("k", "s").sortWithinPartitions("k", "s", F.col("entering").desc(), "t", "id")
+    return by_segment.mapInArrow(keep, both.schema).select("k", "t", "id")

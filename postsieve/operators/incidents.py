@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import _col
-from postsieve.operators.cooldown import HOT_KEY_ROWS, accept_per_ttl
+from postsieve.operators.cooldown import SEGMENT_TTLS, accept_per_ttl
 
 COOLDOWN_SECONDS = 3600
 
@@ -49,7 +49,7 @@ def triggers(
     ts: str,
     row_id: str,
     seconds: int = COOLDOWN_SECONDS,
-    hot_key_rows: int = HOT_KEY_ROWS,
+    segment_ttls: int = SEGMENT_TTLS,
 ) -> DataFrame:
     """Errors that open a cool-down; later ones of the same key within it are left out."""
-    return accept_per_ttl(errors, key, ts, row_id, seconds, hot_key_rows=hot_key_rows)
+    return accept_per_ttl(errors, key, ts, row_id, seconds, segment_ttls=segment_ttls)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, StructField, StructType
 
-from postsieve.operators.cooldown import HOT_KEY_ROWS, accept_per_ttl
+from postsieve.operators.cooldown import SEGMENT_TTLS, accept_per_ttl
 
 
 def dedup_stream(
@@ -20,7 +20,7 @@ def dedup_stream(
     ttl_seconds: int,
     out: str,
     checkpoint: str,
-    hot_key_rows: int = HOT_KEY_ROWS,
+    segment_ttls: int = SEGMENT_TTLS,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Write accepted rows (key, ts, row_id) below `out`.
@@ -47,7 +47,7 @@ def dedup_stream(
         )
         ends = F.col(ts).cast("timestamp") + F.expr(f"interval {ttl_seconds} seconds")
         blocked = before.select(key, ends.alias("blocked_until"))
-        accepted = accept_per_ttl(batch, key, ts, row_id, ttl_seconds, blocked, hot_key_rows)
+        accepted = accept_per_ttl(batch, key, ts, row_id, ttl_seconds, blocked, segment_ttls)
         daily = accepted.select(
             key, F.col(ts).cast(stream.schema[ts].dataType).alias(ts), row_id, F.to_date(ts).alias("day")
         )

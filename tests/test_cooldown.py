@@ -1,10 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postsieve.operators.cooldown import accept_per_ttl
+from postsieve.operators.cooldown import _Segment, accept_per_ttl
 from postsieve.streaming.dedup import dedup_stream
 
 START = datetime(2024, 1, 1)
@@ -31,20 +32,49 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "key string, ts timestamp, id long")
 
 
-@pytest.mark.parametrize("hot_key_rows", [1_000_000, 20])
-@pytest.mark.parametrize("ttl", [21_000, 70_000])
-def test_equals_brute_force(spark, ttl, hot_key_rows):
+@pytest.fixture
+def short_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("ttl, segment_ttls", [(21_000, 16), (21_000, 1), (3_000, 2), (500, 5), (70_000, 2)])
+def test_equals_brute_force(spark, short_batches, ttl, segment_ttls):
     rows = sample(ttl)
-    got = accept_per_ttl(frame(spark, rows).repartition(5), "key", "ts", "id", ttl, hot_key_rows=hot_key_rows)
+    got = accept_per_ttl(frame(spark, rows).repartition(5), "key", "ts", "id", ttl, segment_ttls=segment_ttls)
     assert sorted(map(tuple, got.collect())) == brute(rows, ttl)
 
 
-@pytest.mark.parametrize("hot_key_rows", [1_000_000, 0])
-def test_earlier_blocks_count(spark, hot_key_rows):
+def test_large_ids_and_one_key_over_many_segments(spark):
+    rows = [("a", ts, 2**60 + i) for _, ts, i in sample(5)]
+    got = accept_per_ttl(frame(spark, rows), "key", "ts", "id", 900, segment_ttls=2)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 900)
+
+
+def test_segment_tells_the_block_that_leaves_it():
+    rnd = random.Random(11)
+    for _ in range(300):
+        ttl, ttls = rnd.randrange(1, 30), rnd.randrange(1, 6)
+        t = sorted(rnd.randrange(ttl * ttls) for _ in range(rnd.randrange(1, 60)))
+        falling, segment = np.array(t[::-1], np.int64), _Segment(ttl)
+        for part in np.array_split(falling, rnd.randrange(1, min(4, len(t)) + 1)):
+            segment.add(part)
+        at, outcome = segment.pieces()
+        for entry in range(ttl):
+            until = entry
+            for x in t:
+                until = x + ttl if x >= until else until
+            place = np.searchsorted(at, entry)
+            assert (outcome[place] if place < len(at) else entry) == until
+
+
+@pytest.mark.parametrize("segment_ttls", [16, 1])
+def test_earlier_blocks_count(spark, segment_ttls):
     rows, ttl = sample(3), 40_000
     blocked = {"hot": START + timedelta(seconds=90_000), "k1": START}
     earlier = spark.createDataFrame(list(blocked.items()), "key string, blocked_until timestamp")
-    got = accept_per_ttl(frame(spark, rows), "key", "ts", "id", ttl, earlier, hot_key_rows)
+    got = accept_per_ttl(frame(spark, rows), "key", "ts", "id", ttl, earlier, segment_ttls)
     assert sorted(map(tuple, got.collect())) == brute(rows, ttl, blocked)
 
 
@@ -61,8 +91,8 @@ def test_block_ends_at_ttl_and_is_not_extended(spark):
     assert sorted(r.id for r in got.collect()) == [0, 10, 20]
 
 
-@pytest.mark.parametrize("hot_key_rows", [1_000_000, 30])
-def test_stream_equals_batch(spark, tmp_path, hot_key_rows):
+@pytest.mark.parametrize("segment_ttls", [16, 2])
+def test_stream_equals_batch(spark, tmp_path, segment_ttls):
     rows, ttl = sorted(sample(8), key=lambda r: r[1]), 30_000
     for i in range(4):
         part = frame(spark, rows[i * 150 : (i + 1) * 150]).coalesce(1)
@@ -71,7 +101,7 @@ def test_stream_equals_batch(spark, tmp_path, hot_key_rows):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     for _ in range(2):  # a second start finds nothing new
         dedup_stream(
-            stream.parquet(str(tmp_path / "in")), "key", "ts", "id", ttl, out, mark, hot_key_rows
+            stream.parquet(str(tmp_path / "in")), "key", "ts", "id", ttl, out, mark, segment_ttls
         ).awaitTermination()
     got = spark.read.parquet(out).select("key", "ts", "id")
     assert sorted(map(tuple, got.collect())) == brute(rows, ttl)
