@@ -401,14 +401,18 @@ b as {_first('a', 'canonical_hash', 'ingested_at, external_id')},
 c as {_first('b', "case when external_id = '' then canonical_hash else external_id end", 'ingested_at, canonical_hash')}
 select k, external_id, canonical_hash from c""",
     "upsert_jobs": f"""with {JOBS}, o as (select * from jobs where ingested_at < {CUT}),
-n as (select * from jobs where ingested_at >= {CUT} or k % 7 = 3),
+m as (select * replace (case when k % 14 = 3 then title || ' II' else title end as title) from jobs
+  where ingested_at >= {CUT} or k % 7 = 3),
+n as (select * replace ({_can_hash()} as canonical_hash) from m),
 old as {_first('o', 'canonical_hash', 'ingested_at, external_id')},
 new as {_first('n', 'canonical_hash', 'ingested_at, external_id')}
 select canonical_hash, external_id, score, {_time('ingested_at')} as ingested_at,
-  {_time(f"case when canonical_hash in (select canonical_hash from new where source_tier = 1) then {AS_OF} else ingested_at end")} as last_seen_at
+  {_time(f"""case when canonical_hash in (select canonical_hash from new where source_tier = 1)
+    or external_id in (select external_id from new where source_tier = 1 and canonical_hash not in (select canonical_hash from old))
+    then {AS_OF} else ingested_at end""")} as last_seen_at
   from old
 union all select canonical_hash, external_id, score, {_time('ingested_at')}, {_time('ingested_at')} from new
-  where canonical_hash not in (select canonical_hash from old)""",
+  where canonical_hash not in (select canonical_hash from old) and external_id not in (select external_id from old)""",
     "constraint_violations": f"""with {JOBS}, {ALERTS}, j as (select * replace (
   case when k % 50 <> 7 then company end as company, case when k % 100 = 1 then 'o_0' else external_id end as external_id),
   case when k % 60 = 5 then 'US Dollar' else 'USD' end as salary_currency from jobs)

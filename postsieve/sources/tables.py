@@ -56,21 +56,29 @@ def write_batch(rows: DataFrame, root: str, name: str, batch_id: str) -> None:
 
 
 def split_known(new: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of `new` (with canonical_hash) whose hash the jobs table lacks, and those it has.
+    """Rows of `new` (with canonical_hash) that the jobs table lacks, and those it has.
 
-    The table is reduced to the hashes of the batch first. A batch is small next to the
-    table, so its hashes are broadcast when their size allows and the table is streamed
+    A row is known by its hash, or else by its external id: a posting that comes back under
+    another title is the stored job, and gets that job's hash here. Blank ids tell nothing.
+
+    The table is reduced to the hashes and ids of the batch first. A batch is small next to
+    the table, so its keys are broadcast when their size allows and the table is streamed
     past them without a shuffle; otherwise a bloom filter thins it out before one.
     """
-    known = jobs.select("canonical_hash").join(new.select("canonical_hash"), "canonical_hash", "left_semi")
-    return (
-        new.join(known, "canonical_hash", "left_anti"),
-        new.join(known, "canonical_hash", "left_semi"),
-    )
+    hashes = jobs.select("canonical_hash").join(new.select("canonical_hash"), "canonical_hash", "left_semi")
+    same, other = (new.join(hashes, "canonical_hash", how) for how in ("left_semi", "left_anti"))
+    # without an id, rows have keys of their own that no id equals
+    own = F.coalesce(F.nullif("external_id", F.lit("")), F.concat(F.lit("\x00"), "canonical_hash"))
+    other = other.withColumn("_id", own)
+    ids = jobs.where("external_id <> ''").select(F.col("external_id").alias("_id"), F.col("canonical_hash").alias("_stored"))
+    ids = ids.join(other.select("_id"), "_id", "left_semi")
+    retitled = other.join(ids, "_id").withColumn("canonical_hash", F.col("_stored"))
+    inserts = other.join(ids, "_id", "left_anti")
+    return inserts.select(*new.columns), same.select(*new.columns).unionByName(retitled.select(*new.columns))
 
 
 def upsert_jobs(jobs: DataFrame, new: DataFrame, as_of: datetime, touch_tiers: tuple[int, ...] = (1,)) -> DataFrame:
-    """The jobs table after a batch: unknown hashes are added, known ones are touched if
+    """The jobs table after a batch: unknown postings are added, known ones are touched if
     the batch row is of a tier that touches, and left alone otherwise."""
     inserts, known = split_known(new, jobs)
     touched = (

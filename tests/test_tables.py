@@ -77,6 +77,18 @@ def test_known_postings(spark, root):
     assert (sources["feed"].total_scraped, sources["feed"].is_stale, sources["board"].is_stale) == (4, False, True)
 
 
+def test_retitled_posting_is_the_stored_job(spark, root):
+    run(spark, root, FIRST, "b1")
+    later = NOW + timedelta(days=40)  # the id's mark has expired
+    again = [("g1", "Lead SOC Analyst", "Blue Whale", 1, "board", "again"), ("g3", "Head Cook", "Acme", 2, "feed", ""), ("", "No Id III", "Acme", 2, "feed", "")]
+    for _ in range(2):
+        run(spark, root, again, "b2", later)
+        rows = stored(spark, root)
+        assert set(rows) == {"g1", "g3", "g4", "No Id", "No Id Either", "No Id III"}
+    assert (rows["g1"].title, rows["g1"].last_seen_at, rows["g3"].last_seen_at) == ("Junior SOC Analyst", later, NOW)
+    assert check_jobs(read_table(spark, root, "jobs"), read_table(spark, root, "alerts")).count() == 0
+
+
 def test_parser_answers(spark, root):
     answers = spark.createDataFrame([("g1", '{"title": "Analyst", "salary_min": 1000}'), ("g3", "{bad")], "external_id string, payload string")
     run(spark, root, FIRST, "b1", payloads=answers)
