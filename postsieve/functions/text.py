@@ -30,6 +30,12 @@ def computed_once(rows: DataFrame, *names: str) -> DataFrame:
     return out.select(*[F.col("_once")[c].alias(c) if c in names else F.col(c) for c in rows.columns])
 
 
+def iso_time(c: Column | str) -> Column:
+    """ISO text of a time, with microseconds where there are any; NULL for none."""
+    iso, micros = F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(_col(c), "SSSSSS")
+    return F.when(micros == "000000", iso).otherwise(F.concat(iso, F.lit("."), micros))
+
+
 def blank(c: Column | str) -> Column:
     """NULL as empty string."""
     return F.coalesce(_col(c), F.lit(""))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions.render import tier_line
+from postsieve.functions.text import iso_time
 from postsieve.operators.topk import ingested_between
 
 TIERS = (1, 2, 3, 4)
@@ -61,7 +62,7 @@ def latency_histogram(samples: DataFrame, value: str, buckets=LATENCY_BUCKETS) -
 def source_listing(sources: DataFrame) -> DataFrame:
     return sources.select(
         "name", "tier",
-        F.date_format("last_success_at", "yyyy-MM-dd'T'HH:mm:ss").alias("last_success"),
+        iso_time("last_success_at").alias("last_success"),
         F.coalesce("consecutive_failures", F.lit(0)).alias("failures"),
         F.coalesce("is_stale", F.lit(False)).alias("is_stale"),
         F.coalesce("total_scraped", F.lit(0)).alias("total_scraped"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions.render import digest_entry
+from postsieve.functions.text import iso_time
 
 # Thresholds and sizes of the reports.
 ALERT_SCORE = 80
@@ -117,14 +118,12 @@ def recent_jobs(
 
 def job_view(jobs: DataFrame) -> DataFrame:
     """The columns handed to readers, times as ISO text."""
-    micros = F.date_format("ingested_at", "SSSSSS")
-    iso = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss")
     return jobs.select(
         "id", "company", "title", "score",
         F.col("salary_min").alias("salary_low"), F.col("salary_max").alias("salary_high"),
         "remote_policy", "tech_stack", "location", "url",
         F.col("source_name").alias("source"), F.col("source_tier").alias("tier"),
-        F.when(micros == "000000", iso).otherwise(F.concat_ws(".", iso, micros)).alias("ingested_at"),
+        iso_time("ingested_at").alias("ingested_at"),
         F.col("is_dream").alias("is_dream_company"),
     )
 

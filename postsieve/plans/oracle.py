@@ -475,7 +475,8 @@ select '🩺 <b>Health report</b>' || chr(10) || '🕐 2001-07-01 12:00 UTC' ||
     "failing_sources": f"with {SOURCES} select name, tier, consecutive_failures from sources where consecutive_failures >= 3",
     "source_gauges": f"""with {SOURCES} select count(*) filter (is_stale) as stale_sources,
   coalesce(max(consecutive_failures), 0) as max_failures from sources""",
-    "source_listing": f"""with {_updated()} select name, tier, strftime(success_at, '%Y-%m-%dT%H:%M:%S') as last_success,
+    "source_listing": f"""with {_updated()} select name, tier, case when microsecond(success_at) % 1000000 = 0 then strftime(success_at, '%Y-%m-%dT%H:%M:%S')
+  else strftime(success_at, '%Y-%m-%dT%H:%M:%S.%f') end as last_success,
   consecutive_failures as failures, is_stale, total_scraped from updated""",
     "failure_streak": f"""with {_totals()} select source, streak, scraped, error_message,
   {_micros('success_at')} as last_success_at, {_micros('failure_at')} as last_failure_at from totals""",
