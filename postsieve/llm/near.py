@@ -19,6 +19,8 @@ KEPT = 5  # k-mers of a sketch, in text order
 SKETCHES = 20
 SIMILARITY = 0.8
 TURNS = 2
+CELLS = 256  # counts of k-mers by hash, at most 255 each
+BLOCK = 128  # texts of a group that one row holds, on average
 
 _ODD = (np.random.default_rng(20240501).integers(0, 2**63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -101,19 +103,74 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def sketch_rows(texts: DataFrame) -> DataFrame:
-    """(text_id, sketch array) of (text_id, body), row by row; an empty array for texts without words."""
+    """(text_id, sketch array, n k-mers, cells) of (text_id, body), row by row; an empty array for texts without words."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bodies = batch["body"].tolist()
-            out = []
+            out, sizes, cells = [], [], []
             for start, end in in_batches(bodies):
                 kmers, at = labelled_kmers(*word_hashes(bodies[start:end], PLAIN))
                 for x, y in zip(at[:-1], at[1:]):
                     out.append(sketches(kmers[x:y]).view(np.int64) if y > x else np.zeros(0, np.int64))
-            yield pd.DataFrame({"text_id": batch["text_id"], "sketch": out})
+                    cells.append(cells_of(kmers[x:y]).tobytes())
+                sizes += np.diff(at).tolist()
+            yield pd.DataFrame({"text_id": batch["text_id"], "sketch": out, "n": sizes, "cells": cells})
 
-    return texts.select("text_id", "body").mapInPandas(rows, "text_id string, sketch array<bigint>")
+    return texts.select("text_id", "body").mapInPandas(rows, "text_id string, sketch array<bigint>, n int, cells binary")
+
+
+def cells_of(kmers: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((kmers >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8)
+
+
+def possible(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts with these cells and numbers of k-mers can reach `least`: false only where they can't.
+
+    Their cells differ by at most the k-mers that only one of them has, and these are a fixed share of both at most.
+    """
+    apart = np.abs(a[:, None, :].astype(np.int16) - b[None, :, :]).sum(axis=2, dtype=np.int64)
+    both = n_a[:, None].astype(np.int64) + n_b[None, :]
+    return apart <= both * (1 - least) / (1 + least) + 1e-6
+
+
+def left_pairs(apart: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of texts in one bucket with different roots that can be similar; apart has bucket, text_id, root, main, n, cells.
+
+    Of two texts with different roots one is outside of the main component, so blocks of those meet all blocks of the bucket.
+    A block has texts of like length, so that most blocks don't meet; the cells tell the pairs of two blocks apart.
+    """
+    rows = apart.withColumns({"out": F.col("root") != F.col("main"), "span": F.floor(F.log2("n") * 8).cast("int")})
+    sizes = rows.groupBy("bucket", "out", "span").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = salted_join(rows, sizes, ["bucket", "out", "span"], F.col("text_id"), "inner")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text_id", F.lit(7)), "parts").cast("int"))
+    member = F.struct("text_id", "root", "n", "cells")
+    blocks = rows.groupBy("bucket", "out", "span", "part").agg(F.collect_list(member).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = stored(blocks.select("bucket", "out", F.xxhash64("span", "part", "out").alias("id"), "low", "high", "m"), "blocks")
+    index = blocks.select("bucket", "out", "id", "low", "high")
+    right = index.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("out", "id", "low", "high")])
+    meet = (F.col("high") >= least * F.col("y_low") - 1e-6) & (F.col("y_high") >= least * F.col("low") - 1e-6)
+    once = ~F.col("y_out") | (F.col("id") <= F.col("y_id"))
+    pairs = index.where("out").join(right, "bucket").where(meet & once).select("bucket", "id", "y_id")
+    left = blocks.select("bucket", "id", F.col("m").alias("x"))
+    pairs = pairs.join(left, ["bucket", "id"]).join(blocks.select("bucket", F.col("id").alias("y_id"), F.col("m").alias("y")), ["bucket", "y_id"])
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = lambda m: (
+            [r["text_id"] for r in m], np.array([r["root"] for r in m], object), np.array([r["n"] for r in m], np.int64),
+            np.frombuffer(b"".join(bytes(r["cells"]) for r in m), np.uint8).reshape(-1, CELLS),
+        )
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"]):
+                (i, ri, n, c), (j, rj, k, d) = parts(x), parts(y)
+                got = set()
+                for at in range(0, len(i), 16):
+                    at_once = slice(at, at + 16)
+                    fit = possible(c[at_once], n[at_once], d, k, least) & (ri[at_once][:, None] != rj[None, :])
+                    got |= {(min(i[at + p], j[q]), max(i[at + p], j[q])) for p, q in zip(*np.nonzero(fit))}
+                yield pd.DataFrame(sorted(got), columns=["a", "b"]).astype(object)
+
+    return pairs.select("x", "y").mapInPandas(compared, "a string, b string").distinct()
 
 
 def distinct_bodies(texts: DataFrame) -> DataFrame:
@@ -154,9 +211,10 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows that repeat a text count once. In each group of texts with an equal sketch, all are compared with the text in the
     middle; those outside of the group's largest component then with TURNS drawn members of it. What is left is compared
-    among itself, each pair once, if it shares a second group.
+    with all members of other components, each pair once, but for pairs whose counts of k-mers rule the similarity out.
     """
-    per_text = sketch_rows(texts).groupBy("text_id").agg(F.first("sketch").alias("sketch"))
+    per_text = sketch_rows(texts).groupBy("text_id").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "cells")])
+    per_text = stored(per_text, "texts")
     members = per_text.select("text_id", F.posexplode("sketch").alias("n", "h"))
     members = stored(members.select("text_id", F.xxhash64("n", "h").alias("bucket")), "sketches")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -181,15 +239,8 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn < TURNS:
             again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
             links = stored(links.unionByName(verified(again, bodies, least)), "links")
-    over = F.when(F.col("root") != F.col("main"), F.col("bucket"))
-    own = apart.groupBy("text_id").agg(F.collect_set("bucket").alias("own"), F.collect_set(over).alias("over"))  # at most SKETCHES
-    apart = stored(apart.join(own, "text_id"), "apart-groups")
-    outside = apart.where("root <> main").select("bucket", "text_id", "root", "own", "over")
-    other = outside.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("text_id", "root", "own", "over")])
-    again = F.size(F.array_intersect("own", "y_own")) > 1
-    once = again & (F.array_min(F.array_intersect("over", "y_over")) == F.col("bucket"))  # from the first group both are left in
-    rest = outside.join(other, "bucket").where(F.expr("root <> y_root and text_id < y_text_id") & once)
-    rest = stored(rest.select(F.col("text_id").alias("a"), F.col("y_text_id").alias("b")), "leftovers")
+    counts = per_text.select("text_id", "n", "cells")
+    rest = stored(left_pairs(apart.select("bucket", "text_id", "root", "main").join(counts, "text_id"), least), "leftovers")
     return links.unionByName(verified(rest, bodies, least))
 
 

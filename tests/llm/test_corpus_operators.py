@@ -174,6 +174,42 @@ def test_near_duplicates(spark, shared):
     assert all(out[i]["is_first"] == (find(i) == i) for i in range(len(texts)))
 
 
+def test_near_chains_of_versions(spark, shared):
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+
+    def edited(words, n):
+        own = list(words)
+        for at in draw.sample(range(len(own)), n):
+            own[at] = word()
+        return own
+
+    base = [word() for _ in range(200)]
+    versions = [edited(base, 2) for _ in range(100)]
+    versions += [edited(v, 4) for v in versions]  # near their own version, and mostly no other
+    texts = {f"{i:03}": " ".join(v) for i, v in enumerate(versions)}
+    frame = spark.createDataFrame(list(texts.items()), "text_id string, body string")
+    marks = {i: near.sketches(kmers(t)) for i, t in texts.items()}
+    labelled = {i: kmers(t) for i, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and (marks[a] == marks[b]).any()]
+    pairs = [p for p in pairs if near.aligned(labelled[p[0]], labelled[p[1]], 0.8) >= 0.8]
+    root = {r["node"]: r["root"] for r in components(near.near_links(frame)).collect()}
+    assert pairs and all(root.get(a, a) == root.get(b, b) for a, b in pairs)
+
+
+def test_counts_rule_out_only_other_texts():
+    draw = random.Random(22)
+    for _ in range(300):
+        base = [draw.choice("abcdefghijklmnop") * 2 for _ in range(draw.randrange(5, 300))]
+        other = list(base)
+        for _ in range(draw.randrange(6)):
+            other[draw.randrange(len(other))] = "new"
+        a, b = kmers(" ".join(base)), kmers(" ".join(other))
+        cells = [near.cells_of(x)[None, :] for x in (a, b)]
+        if near.aligned(a, b, 0.8) >= 0.8:
+            assert near.possible(cells[0], np.array([len(a)]), cells[1], np.array([len(b)]), 0.8)[0, 0]
+
+
 def test_near_duplicates_of_edge_rows(docs):
     out = near.near_duplicates(docs)
     assert out.count() == docs.count() and "spans" in out.columns
