@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postsieve.llm.common import SPACE, SPACE_CHARS, held, packed, row_key, salted_join, stored, unpacked, words_of
 
 LINE_LIMIT = 20  # distinct documents of a host
-LEAST_DIFFERENT = 0.25  # share of distinct documents among all that hold the line
 LEAST_LEFT_WORDS = 20
 LEAST_LEFT_SHARE = 0.2
 
@@ -71,15 +70,14 @@ def line_rows(rows: DataFrame) -> DataFrame:
     return rows.select("key", "host", "fingerprint", "each.line", "each.words")
 
 
-def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT, least_different: float = LEAST_DIFFERENT) -> DataFrame:
+def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(host, line) of lines that more than `limit` distinct documents of the host hold.
 
-    Copies and near copies of a document, told by an equal fingerprint, are one document; a line whose documents
-    are mostly copies of few (a share of distinct ones below `least_different`) is text, not boilerplate.
+    Copies and near copies of a document, told by an equal fingerprint, are one document, and repeats of a line inside of a
+    document count once; neither takes anything from the count.
     """
-    per_document = lines.groupBy("host", "line", "fingerprint").agg(F.count(F.lit(1)).alias("copies"))
-    counts = per_document.groupBy("host", "line").agg(F.count(F.lit(1)).alias("distinct"), F.sum("copies").alias("all"))
-    return counts.where((F.col("distinct") > limit) & (F.col("distinct") >= least_different * F.col("all"))).select("host", "line")
+    per_document = lines.select("host", "line", "fingerprint").distinct()
+    return per_document.groupBy("host", "line").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > limit).select("host", "line")
 
 
 def judge_documents(

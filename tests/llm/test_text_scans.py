@@ -174,6 +174,20 @@ def test_line_frequency(spark, shared):
     assert all(out[400 + i]["kept"] and "Home" in out[400 + i]["text"] for i in range(5))
 
 
+def test_copies_and_repeats_leave_lines_frequent(spark, shared):
+    import random
+
+    draw = random.Random(6)
+    body = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i, "\n".join(f"{body(20)}\nReply" for _ in range(6)), "h1") for i in range(60)]  # six times in each document
+    hot = f"Menu of the whole site\n{body(80)}"
+    rows += [(100 + i, f"Menu of the whole site\n{body(80)}", "h2") for i in range(60)]
+    rows += [(200 + i, hot, "h2") for i in range(400)]  # copies of one
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = lines.judge_documents(frame, rewrite=True).collect()
+    assert not any("Reply" in r["text"] or "Menu" in r["text"] for r in out) and all(r["kept"] for r in out)
+
+
 def test_licenses(spark, shared, docs, empty):
     mit = licenses.KNOWN[0][1]
     british = mit.upper()
