@@ -188,6 +188,26 @@ def test_copies_and_repeats_leave_lines_frequent(spark, shared):
     assert not any("Reply" in r["text"] or "Menu" in r["text"] for r in out) and all(r["kept"] for r in out)
 
 
+def test_shared_menus_leave_documents_different(spark, shared):
+    import random
+
+    draw = random.Random(7)
+    body = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = []
+    for host in range(8):
+        menu = [body(8) for _ in range(6)]
+        rows += [(100 * host + i, "\n".join([*menu, body(12)]), f"h{host}") for i in range(40)]
+    copy = [body(12) for _ in range(60)]  # near copies, edited in many lines
+    for i in range(60):
+        own = list(copy)
+        own[i] = own[i].replace(" ", " edit ", 1)
+        rows.append((2000 + i, "\n".join(own), "near"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = lines.judge_documents(frame, rewrite=True).collect()
+    assert all(len(r["text"].split()) == 12 and not r["kept"] for r in out if r["doc_id"] < 2000)
+    assert all(r["kept"] and r["text"].count("\n") == 59 for r in out if r["doc_id"] >= 2000)
+
+
 def test_licenses(spark, shared, docs, empty):
     mit = licenses.KNOWN[0][1]
     british = mit.upper()
