@@ -140,14 +140,16 @@ def contexts(rows: DataFrame) -> DataFrame:
 def disclosing_terms(texts: DataFrame, near: DataFrame, least_lines: int, generalise_at: float) -> DataFrame:
     """(entity, term, ratio) of terms that tell at least `generalise_at` of an entity's information.
 
-    ratio = PMI(entity, term) / IC(entity), from line counts over the whole corpus: 1 if the term occurs only with the entity.
-    Pairs on fewer than `least_lines` distinct surroundings tell nothing. Repeated surroundings (copies) count once.
+    ratio = PMI(entity, term) / IC(entity), from counts of distinct lines over the whole corpus: 1 if the term occurs only with
+    the entity. Pairs on fewer than `least_lines` distinct surroundings tell nothing. Repeated lines and surroundings (copies)
+    count once.
     """
     seen = near.select("entity", "term", "line").distinct()
     pair = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= least_lines)
     entity = near.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pair = stored(pair.join(entity, "entity"), "entity-terms")
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") > 0)
+    lines = texts.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("l")).where(F.length("l") > 0)
+    lines = stored(lines.groupBy(F.xxhash64("l").alias("h")).agg(F.first("l").alias("l")), "distinct-lines")
     terms = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("l"), F.lit(TERM), 0))).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = lines.agg(F.count(F.lit(1)).cast("double").alias("n_lines"))

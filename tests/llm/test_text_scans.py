@@ -125,6 +125,15 @@ def test_disclosing_terms_and_sanitising(spark, shared):
     assert out[103] == rows[15][1]
 
 
+def test_copies_do_not_hide_disclosing_terms(spark, shared):
+    rows = [(i, f"please ask Zoltan via jo@ex.org about case {'abc'[i]}") for i in range(3)]
+    rows += [(100 + i, rows[0][1]) for i in range(2000)]  # copies of one
+    rows += [(5000 + i, f"other text {i} about please and ask and via and case") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert all("Zoltan" not in out[i] and "<TERM>" not in out[i] for i in (0, 1, 2, 100))
+
+
 def plain_figures(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     keys = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
