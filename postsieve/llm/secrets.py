@@ -28,8 +28,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests have the length of a usual hash function, or are UUIDs.
 DIGEST = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-#: Identifiers: words or numbers joined by marks, each of letters with a number behind at most.
+#: Identifiers: words or numbers joined by marks, each of letters with a number behind at most. The token test tells words from other letters.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*[+/_=-]*")
+WORD = re.compile(r"[A-Za-z]+")
 
 
 @lru_cache(maxsize=2)
@@ -42,11 +43,21 @@ def _encoder(vocabulary: str, pattern: str):
 
 
 def random_runs(text: str, encoder, most_chars_per_token: float) -> list[tuple[int, int]]:
-    """Runs that a vocabulary of usual text can only cut into short tokens; digests and identifiers are left out."""
+    """Runs that a vocabulary of usual text can only cut into short tokens; digests and identifiers are left out.
+
+    An identifier's words are each one token or cut into longer ones; letters that aren't words make no identifier.
+    """
+
+    def is_word(part: str) -> bool:
+        n = len(encoder.encode_ordinary(part))
+        return n == 1 or len(part) > most_chars_per_token * n
+
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if IDENTIFIER.fullmatch(run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        if DIGEST.fullmatch(run) or UUID.fullmatch(run):
+            continue
+        if IDENTIFIER.fullmatch(run) and all(map(is_word, WORD.findall(run))):
             continue
         if len(run) <= most_chars_per_token * len(encoder.encode_ordinary(run)):
             out.append(m.span())

@@ -57,6 +57,20 @@ def test_random_strings():
     assert secrets.listed(secrets.spans_of(key, encoder, 2.0)) == f"random:0:{len(key)}"
 
 
+def test_random_letters():
+    import random
+    import string
+
+    draw = random.Random(8)
+    encoder = secrets._encoder(VOCABULARY, public_tokenizers.PATTERN)
+    for letters in (string.ascii_lowercase, string.ascii_letters):
+        keys = ["".join(draw.choice(letters) for _ in range(n)) for n in (16, 20, 32) for _ in range(100)]
+        low = [k for k in keys if len(k) <= 2.0 * len(encoder.encode_ordinary(k))]
+        assert len(low) > 270 and all(secrets.random_runs(k, encoder, 2.0) == [(0, len(k))] for k in low)
+    for clean in ("responsibilities", "user_account_settings_2024", "getUserAccountSettings", "release-notes/2024-01-01"):
+        assert secrets.random_runs(clean, encoder, 2.0) == []
+
+
 def test_token_counts(docs):
     library = Tokenizer.from_file(BPE)
     out = tokens.count_tokens(docs, BPE)
