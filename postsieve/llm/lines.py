@@ -62,38 +62,37 @@ def with_figures(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop("body", "words", "windows", "pairs", "again", "lines")
 
 
-def line_rows(rows: DataFrame, marks: bool = False) -> DataFrame:
-    """A row per line with a word of (key, text, source): key, host, line (hashes), number of words and digest of all lines.
+def line_rows(rows: DataFrame) -> DataFrame:
+    """A row per line with a word of (key, text, source): key, host, line (hashes), number of words, digest of all lines and marks.
 
-    With `marks`, also hashes of the line's three-word windows, or of the line if it has none.
+    marks are the MARKS smallest hashes of the line's three-word windows, or the line's hash if it has none.
     """
     words = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    each = F.transform(lines, lambda x: F.struct(F.xxhash64(normalized_line(x)).alias("line"), words(x).alias("words"), x.alias("raw")))
-    if not marks:
-        each = F.transform(lines, lambda x: F.struct(F.xxhash64(normalized_line(x)).alias("line"), words(x).alias("words")))
+    each = F.transform(lines, lambda x: F.struct(normalized_line(x).alias("line"), words(x).alias("words")))
     host = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\x00no host")))
     rows = held(rows.select("key", "text", host.alias("host")), all=each)
     rows = rows.select("key", "host", F.xxhash64(F.col("all.line")).alias("digest"), F.explode("all").alias("each"))
-    if not marks:
-        return rows.select("key", "host", "digest", "each.line", "each.words")
-    rows = held(rows.select("host", "digest", "each.line", "each.raw"), w=F.split(normalized_line(F.col("raw")), " "))
+    rows = rows.select("key", "host", "digest", F.xxhash64("each.line").alias("line"), "each.words", F.col("each.line").alias("l"))
+    rows = held(rows, w=F.split("l", " "))
     at = lambda i: F.element_at("w", i)
     windows = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
-    return held(rows, marks=F.when(F.size("w") > 2, F.array_distinct(windows)).otherwise(F.array("line"))).drop("w", "raw")
+    least = F.slice(F.sort_array(F.array_distinct(windows)), 1, MARKS)
+    return rows.withColumn("marks", F.when(F.size("w") > 2, least).otherwise(F.array("line"))).drop("w", "l")
 
 
-def identities(texts: DataFrame, often: DataFrame) -> DataFrame:
-    """(host, digest, identity 0 to DRAWS - 1) of documents (key, text, source); `often` are the lines that may be frequent.
+def identities(each: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, digest, identity 0 to DRAWS - 1) of documents, from their lines; `often` are the lines that may be frequent.
 
     Lines in `often` and edited forms of them say nothing about which document it is. Of the others, the smallest hash of a
     window under each of DRAWS orders is an identity, so near copies mostly share it, and documents with a common menu don't.
     A document without such lines is a copy or near copy of others: its identity is the smallest of its lines in `often`.
     """
-    each = stored(line_rows(texts, marks=True).distinct(), "marked-lines")
+    each = each.groupBy("host", "digest", "line").agg(F.first("marks").alias("marks"))
     each = salted_join(each, often.withColumn("often", F.lit(True)), ["host", "line"], F.col("digest"), "left")
+    each = stored(each, "marked-lines")
     known = each.where("often").select("host", F.explode("marks").alias("mark")).distinct().withColumn("hit", F.lit(1))
-    own = each.where("often is null").select("host", "digest", "line", F.explode(F.slice(F.sort_array("marks"), 1, MARKS)).alias("mark"))
+    own = each.where("often is null").select("host", "digest", "line", F.explode("marks").alias("mark"))
     own = salted_join(own, known, ["host", "mark"], F.col("digest"), "left")
     new = lambda i: F.min(F.when(F.col("hit").isNull(), F.xxhash64("mark", F.lit(i))))
     per_line = own.groupBy("host", "digest", "line").agg(
@@ -105,8 +104,8 @@ def identities(texts: DataFrame, often: DataFrame) -> DataFrame:
     return both.select("host", "digest", *[F.coalesce(f"i{i}", "least").alias(f"i{i}") for i in range(DRAWS)])
 
 
-def frequent_lines(lines: DataFrame, texts: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, line) of lines that more than `limit` distinct documents of the host hold; lines are `line_rows` of texts.
+def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, line) of lines that more than `limit` distinct documents of the host hold.
 
     Copies of a document and repeats of a line inside of it count once, near copies as one by their `identities`; none of
     them takes anything from the count.
@@ -115,9 +114,7 @@ def frequent_lines(lines: DataFrame, texts: DataFrame, limit: int = LINE_LIMIT)
     often = per_document.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
     often = stored(often, "often")
     holders = stored(salted_join(per_document, often, ["host", "line"], F.col("digest"), "inner"), "holders")
-    keys = lines.join(holders.select("host", "digest").distinct(), ["host", "digest"], "left_semi")
-    keys = keys.groupBy("host", "digest").agg(F.min("key").alias("key")).select("key").distinct()
-    own = identities(texts.join(keys, "key", "left_semi").select("key", "text", "source"), often)
+    own = identities(lines.join(holders.select("host", "digest").distinct(), ["host", "digest"], "left_semi"), often)
     draws = F.posexplode(F.array(*[f"i{i}" for i in range(DRAWS)])).alias("draw", "identity")
     different = holders.join(own, ["host", "digest"]).select("host", "line", draws).distinct()
     counts = different.groupBy("host", "line", "draw").agg(F.count(F.lit(1)).alias("n"))
@@ -139,8 +136,8 @@ def judge_documents(
     rows = packed(docs, (*new, text), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
     rows = with_figures(rows.withColumn("key", row_key(F.col("text"))))
     lines = stored(line_rows(rows.select("key", "text", "source")), "lines")
-    often = frequent_lines(lines, rows, limit).withColumn("frequent", F.lit(True))
-    hits = salted_join(lines, often, ["host", "line"], F.col("key"), "left")
+    often = frequent_lines(lines, limit).withColumn("frequent", F.lit(True))
+    hits = salted_join(lines.drop("marks", "digest"), often, ["host", "line"], F.col("key"), "left")
     taken = hits.groupBy("key").agg(
         F.sum(F.when(F.col("frequent"), F.col("words"))).alias("taken"), F.sum("words").alias("listed"),
         F.collect_set(F.when(F.col("frequent"), F.col("line"))).alias("taken_lines"),
