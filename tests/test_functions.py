@@ -198,7 +198,9 @@ class TestTexts:
 
     def test_tech(self, spark):
         shown = render.format_tech("t", "c")
-        assert one(spark, shown, t=list("abcdefghij"), c=["CEH"]) == "🔧 a · b · c · d · e · f · g · h\n📜 Req: CEH"
+        assert one(spark, shown, t=list("abcdefghij"), c=["CEH"]) == "🔧 a · b · c · d · e · f · g · h · i · j\n📜 Req: CEH"
+        first = render.format_tech("t", "c", most=8)
+        assert one(spark, first, t=list("abcdefghij"), c=["CEH"]) == "🔧 a · b · c · d · e · f · g · h\n📜 Req: CEH"
         assert one(spark, shown, t=[], c=[]) == "🔧 Not specified"
 
 
