@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import importance, licenses, lines, lm, mixing, near, phrases, pii, secrets, tokens, warc
+from postsieve.llm import importance, licenses, lines, lm, mixing, near, packing, phrases, pii, secrets, tokens, warc
 from postsieve.llm.common import table
 
 
@@ -59,12 +59,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_digests, op2_warc_transactions, op3_token_efficiency, op4_whole_tokens, op5_curriculum_mix,
         op6_order_minhash, op7_disclosing_terms, op8_deleted_interpolation, op9_line_frequency, op10_positional_index,
-        op12_importance_resampling,
+        op12_importance_resampling, op13_configuration_packing,
     )
 }
 
