@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import importance, licenses, lines, lm, mixing, near, packing, phrases, pii, secrets, tokens, warc
+from postsieve.llm import importance, licenses, lines, lm, mixing, near, packing, phrases, pii, ranking, secrets, tokens, warc
 from postsieve.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "spans")
 
 
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -68,7 +72,7 @@ QUERIES = {
     for f in (
         op1_license_digests, op2_warc_transactions, op3_token_efficiency, op4_whole_tokens, op5_curriculum_mix,
         op6_order_minhash, op7_disclosing_terms, op8_deleted_interpolation, op9_line_frequency, op10_positional_index,
-        op12_importance_resampling, op13_configuration_packing,
+        op11_nra_search, op12_importance_resampling, op13_configuration_packing,
     )
 }
 
@@ -82,4 +86,24 @@ ORACLE: dict[str, str] = {
           case when head <> page_id then head end refers_to,
           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) host
         from p left join g on p.h = g.h and n >= 1000""",
+    "op11_nra_search": r"""
+        with d as (
+          select row_number() over () no, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') words
+          from documents),
+        s as (select count(*) filter (len(words) > 0) n_docs, sum(len(words))::bigint n_all from d),
+        p as (select no, doc_id, term, len(words) n, count(*) tf
+              from (select no, doc_id, words, unnest(words) term from d) group by all),
+        w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint w
+              from (select term, count(*) df from p group by term), s),
+        q as (select item_id, term, count(*) times from (
+                select item_id, unnest(regexp_extract_all(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark) group by all),
+        scored as (
+          select item_id, no, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all))))::bigint score
+          from q join w using (term) join p using (term), s group by all)
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last, no))::int "rank", doc_id, score
+        from scored where score > 0 qualify "rank" <= 10""",
 }
