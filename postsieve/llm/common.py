@@ -28,11 +28,20 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    """`rows` written to the shared folder and read again: no lineage, no second evaluation."""
+def stored(rows: DataFrame, label: str, *folders: str) -> DataFrame:
+    """`rows` written to the shared folder (in subfolders by the columns `folders`) and read again: no lineage, no second evaluation."""
     path = shared_dir(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    (rows.write.partitionBy(*folders) if folders else rows.write).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(rows: DataFrame) -> None:
+    """Delete a table of `stored` that nothing reads any more."""
+    jvm, context = rows.sparkSession._jvm, rows.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(rows.stored_at)
+    path.getFileSystem(context).delete(path, True)
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, how: str, salts: int = 16) -> DataFrame:

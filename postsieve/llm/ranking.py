@@ -1,8 +1,8 @@
 """Ranked lexical search by sequential reads of impact-sorted postings, with score intervals per document.
 
-Postings are stored in falling order of their impact (what they add to a score). Rounds read on from where the last one ended. A
-document's score lies between the sum of what was read of it and that sum with the impact now reached for each term not yet seen. A
-query takes no new documents once its last place is worth more than any unseen document can reach, and documents that cannot
+Postings are stored in falling order of their impact (what they add to a score). Rounds read on in all lists from where the last one
+ended, each list as deep as the others. A document's score lies between the sum of what was read of it and that sum with the
+highest impact left in each list. A query takes no new documents once its last place is worth more than any unseen document can reach, and documents that cannot
 reach that place are dropped. Reading goes on for the others until intervals are points.
 """
 
@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsieve.llm.common import stored
+from postsieve.llm.common import discard, stored
 from postsieve.llm.hashing import PLAIN, in_batches, word_hashes
 
 KNOWN_TERMS = 1_000_000
-FIRST_SHARE = 1 / 32
-GROWTH = 4
+DEPTHS = (1 / 64, 1 / 16, 1 / 4)  # of the number of documents, where rounds end
 
 
 def term_counts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
@@ -56,8 +55,11 @@ def term_counts(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
 
 
 def impact_index(counted: DataFrame, query_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lists) of the terms of `query_terms` (term): stored postings term, no, impact, height in falling order of impact, and
-    per term and height (quarter powers of two) the highest impact and the number of postings. Postings that add nothing are left out."""
+    """(postings, blocks) of the terms of `query_terms` (term): stored postings term, no, impact, round, a folder per round and each file
+    in falling order of impact; per term and round, the highest impact. Postings that add nothing are left out.
+
+    Each list is cut into rounds at the same depths, shares of all documents, but only between heights (quarter powers of two) of impact.
+    """
     n_docs, n_terms = counted.agg(F.sum(F.when(F.col("n") > 0, 1)), F.sum("n")).head()
     spread = F.explode(F.arrays_zip("terms", "counts")).alias("p")
     listed = counted.select("no", "n", spread).select(F.col("p.terms").alias("term"), "no", "n", F.col("p.counts").alias("tf"))
@@ -68,24 +70,13 @@ def impact_index(counted: DataFrame, query_terms: DataFrame) -> tuple[DataFrame,
     impact = F.expr("w * ((1000000000L * tf) div (1000L * tf + 8L * m))")
     rows = listed.withColumn("m", length).join(weights, "term").select("term", "no", impact.alias("impact")).where("impact > 0")
     rows = rows.withColumn("height", F.floor(F.log2("impact") * 4).cast("int"))
-    rows = rows.repartitionByRange(F.col("impact").desc(), "no").sortWithinPartitions(F.col("impact").desc())
-    postings = stored(rows, "postings")
-    lists = postings.groupBy("term", "height").agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
-    return postings, stored(lists, "lists")
-
-
-def reading_plan(heights: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(lowest height to read, highest impact left) per round for (height, highest impact, rows to come) in falling order.
-
-    The first round reads a `FIRST_SHARE` of the rows or more, each later one up to `GROWTH` times what was read by then.
-    """
-    everything, done, goal, out = sum(n for _, _, n in heights), 0, FIRST_SHARE, []
-    for i, (height, _, n) in enumerate(heights):
-        done += n
-        if done >= goal * everything or i + 1 == len(heights):
-            out.append((height, max((top for _, top, _ in heights[i + 1 :]), default=0)))
-            goal = max(goal * GROWTH, done / everything * 2)
-    return out
+    heights = stored(rows.groupBy("term", "height").agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n")), "heights")
+    depth = F.sum("n").over(Window.partitionBy("term").orderBy(F.col("height").desc()))
+    number = sum(((F.col("depth") > share * (n_docs or 0)).cast("int") for share in DEPTHS), F.lit(0))
+    heights = stored(heights.withColumn("depth", depth).withColumn("round", number).select("term", "height", "top", "round"), "rounds")
+    rows = rows.join(heights.drop("top"), ["term", "height"]).drop("height")
+    postings = stored(rows.sortWithinPartitions("round", F.col("impact").desc()), "postings", "round")
+    return postings, heights.groupBy("term", "round").agg(F.max("top").alias("top"))
 
 
 def search(
@@ -109,51 +100,52 @@ def search(
     if different.count() <= KNOWN_TERMS:
         known = np.sort(np.array([r["term"] for r in different.collect()], np.int64))
     counted = stored(term_counts(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), known), "term-counts")
-    postings, lists = impact_index(counted, asked)
-
-    per_term = asked.groupBy("term").agg(F.count(F.lit(1)).alias("queries"))
-    heights = lists.join(per_term, "term").groupBy("height").agg(F.max("top").alias("top"), F.sum(F.col("n") * F.col("queries")).alias("rows"))
-    plan = reading_plan(sorted(((r["height"], r["top"], r["rows"]) for r in heights.collect()), reverse=True))
-    asked = stored(asked.join(lists.groupBy("term").agg(F.max("top").alias("top")), "term"), "listed-terms")
-    state = asked.select("item", F.lit(0).cast("long").alias("no"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("seen")).where("false")
-    status = asked.select("item", F.lit(False).alias("closed")).distinct()
-    above = None
-    for height, left in plan:
-        block = postings.where(F.col("height") >= height)
-        state, status = _read(block if above is None else block.where(F.col("height") < above), asked, state, status, left, best)
-        above = height
+    postings, blocks = impact_index(counted, asked)
+    asked = stored(asked.join(blocks.select("term").distinct(), "term", "left_semi"), "listed-terms")
+    zero = F.lit(0).cast("long")
+    state = asked.select("item", zero.alias("no"), zero.alias("low"), F.lit(False).alias("closed")).where("false")
+    status, before = asked.select("item", F.lit(False).alias("closed")).distinct(), None
+    for number in range(len(DEPTHS) + 1):
+        left = blocks.where(F.col("round") > number).groupBy("term").agg(F.max("top").alias("top"))
+        sums = _read(postings.where(F.col("round") == number), asked, state, status)
+        state, status = _bounded(sums, asked, left, best)
+        if before is not None:
+            discard(before)
+        before = sums
+    discard(postings)
     order = Window.partitionBy("item").orderBy(F.col("low").desc(), F.col("id").asc_nulls_last(), "no")
     ranked = state.join(counted.select("no", "id"), "no").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     return ranked.select(F.col("item").alias(item), "rank", F.col("id").alias(key), F.col("low").alias("score"))
 
 
-def _read(block: DataFrame, asked: DataFrame, state: DataFrame, status: DataFrame, left: int, best: int) -> tuple[DataFrame, DataFrame]:
-    """State (item, no, low, seen) and status (item, closed) after the postings of `block`; none left has more impact than `left`.
-
-    `low` is the sum of what was read, `seen` the number of query terms, repeats included, that it came from.
-    """
+def _read(block: DataFrame, asked: DataFrame, state: DataFrame, status: DataFrame) -> DataFrame:
+    """Stored sums (item, no, low) of `state` and of what the postings of `block` add."""
     found = status.withColumnRenamed("item", "of")
     terms = asked.join(found, F.col("item").eqNullSafe(F.col("of"))).drop("of")
-    adds = (F.col("item"), F.col("no"), (F.col("times") * F.col("impact")).alias("low"), F.col("times").alias("seen"))
-    fresh = block.join(terms.where("not closed"), "term").select(*adds)
-    # queries that take no new documents need the postings of documents that some of them still hold
-    held = state.join(found.where("closed"), F.col("item").eqNullSafe(F.col("of"))).select("no").distinct()
-    more = block.join(held, "no", "left_semi").join(terms.where("closed"), "term").select(*adds)
-    every = state.withColumn("old", F.lit(1)).unionByName(fresh.unionByName(more).withColumn("old", F.lit(0)))
-    sums = every.groupBy("item", "no").agg(F.sum("low").alias("low"), F.sum("seen").alias("seen"), F.max("old").alias("old"))
-    sums = sums.join(found, F.col("item").eqNullSafe(F.col("of"))).where("old = 1 or not closed").select("item", "no", "low", "seen")
-    sums = stored(sums, "intervals")
+    adds = (F.col("item"), F.col("no"), (F.col("times") * F.col("impact")).alias("low"))
+    fresh = block.join(terms.where("not closed").drop("closed"), "term").select(*adds, F.lit(1).alias("held"))
+    # queries that take no new documents need the postings of the documents that one of them still holds
+    some = state.where("closed").select("no").distinct()
+    more = block.join(some, "no", "left_semi").join(terms.where("closed"), "term").select(*adds, F.lit(0).alias("held"))
+    every = state.select("item", "no", "low", F.lit(1).alias("held")).unionByName(fresh).unionByName(more)
+    sums = every.groupBy("item", "no").agg(F.sum("low").alias("low"), F.max("held").alias("held")).where("held = 1")
+    return stored(sums.drop("held"), "sums")
+
 
+def _bounded(sums: DataFrame, asked: DataFrame, left: DataFrame, best: int) -> tuple[DataFrame, DataFrame]:
+    """State (item, no, low, closed) of the documents of `sums` that can still be among the `best`, and status (item, closed).
+
+    `left` has the highest impact not yet read per term (term, top). A document is worth `low` at least and at most that and the
+    highest impacts left of all the query's terms.
+    """
     order = Window.partitionBy("item").orderBy(F.col("low").desc(), "no")
     last = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
     last = last.groupBy("item").agg(F.max("place").alias("places"), F.min("low").alias("low")).where(F.col("places") == best)
     last = last.select(F.col("item").alias("of"), F.col("low").alias("least"))
-    unread = asked.groupBy("item").agg(F.sum(F.col("times") * F.least(F.col("top"), F.lit(left))).alias("unread"))
+    unread = asked.join(left, "term", "left").groupBy("item").agg(F.sum(F.col("times") * F.coalesce("top", F.lit(0))).alias("unread"))
     bounds = unread.join(last, F.col("item").eqNullSafe(F.col("of")), "left").drop("of")
     bounds = stored(bounds.withColumn("closed", F.coalesce(F.col("least") > F.col("unread"), F.lit(False))), "bounds")
-
-    limits = bounds.select(F.col("item").alias("of"), "least", "unread")
+    limits = bounds.withColumnRenamed("item", "of")
     kept = sums.join(limits, F.col("item").eqNullSafe(F.col("of")))
-    # a term read had more impact than `left`, so its share of `unread` is `left`
-    kept = kept.where(F.col("least").isNull() | (F.col("low") + F.col("unread") - F.col("seen") * left >= F.col("least")))
-    return stored(kept.select("item", "no", "low", "seen"), "kept"), bounds.select("item", "closed")
+    kept = kept.where(F.col("least").isNull() | (F.col("low") + F.col("unread") >= F.col("least")))
+    return kept.select("item", "no", "low", "closed"), bounds.select("item", "closed")

@@ -44,9 +44,9 @@ def queries(spark):
     return spark.createDataFrame(rows, "item_id bigint, text string").selectExpr("*", "1 as rank", "2 as score", "3 as doc_id")
 
 
-@pytest.mark.parametrize("best, share, known", [(10, 1 / 32, 10**6), (1, 1 / 500, 10**6), (10, 1 / 200, 0), (3, 1.0, 10**6)])
-def test_search(docs, queries, monkeypatch, best, share, known):
-    monkeypatch.setattr(ranking, "FIRST_SHARE", share)
+@pytest.mark.parametrize("best, depths, known", [(10, ranking.DEPTHS, 10**6), (1, (1 / 500, 1 / 50), 10**6), (10, (1 / 50,), 0), (3, (), 10**6)])
+def test_search(docs, queries, monkeypatch, best, depths, known):
+    monkeypatch.setattr(ranking, "DEPTHS", depths)
     monkeypatch.setattr(ranking, "KNOWN_TERMS", known)
     out = ranking.search(docs, queries, best=best)
     assert out.columns == ["item_id", "rank", "doc_id", "score"]
@@ -67,11 +67,3 @@ def test_no_rows(docs, empty, queries):
     assert ranking.search(empty, queries).count() == 0
     assert ranking.search(docs, queries.where("false")).count() == 0
     assert ranking.search(docs.where("text is null"), queries).count() == 0
-
-
-def test_reading_plan():
-    heights = [(9, 900, 1), (8, 800, 9), (7, 700, 90), (6, 600, 900)]
-    plan = ranking.reading_plan(heights)
-    assert plan[-1] == (6, 0) and [h for h, _ in plan] == sorted((h for h, _ in plan), reverse=True)
-    assert all(left == max((t for h, t, _ in heights if h < low), default=0) for low, left in plan)
-    assert ranking.reading_plan([]) == []
