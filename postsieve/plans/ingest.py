@@ -57,11 +57,13 @@ def ingest_batch(
     as_of: datetime,
     batch_id: str,
     payloads: DataFrame | None = None,
+    delivered: DataFrame | None = None,
 ) -> None:
     """Run one batch against the tables below `root`; running it again changes nothing.
 
-    `payloads` (external_id, payload) are answers of an external parser; without them
-    the rules alone fill the fields. Jobs are written before the keys, so a batch that
+    `payloads` (external_id, payload) are answers of an external parser, unless `raw` has them in
+    a payload column; without them the rules alone fill the fields. `delivered` are the rows by which
+    sources count as successful, `raw` if not given. Jobs are written before the keys, so a batch that
     dies in between is not taken for a repeat of itself.
     """
     state = read_table(spark, root, "seen_keys", without_batch=batch_id)
@@ -70,7 +72,7 @@ def ingest_batch(
     unseen = drop_seen(raw, state, as_of)
     if payloads is not None:
         unseen = unseen.join(payloads, "external_id", "left")
-    else:
+    elif "payload" not in raw.columns:
         unseen = unseen.withColumn("payload", F.lit(None).cast("string"))
     parsed = parse_postings(unseen.withColumn("payload", F.coalesce("payload", F.lit("{}"))))
 
@@ -84,7 +86,7 @@ def ingest_batch(
     touched = known.where(F.col("source_tier") == API_TIER)
     write_batch(touched.withColumn("last_seen_at", F.lit(as_of)), root, "sightings", batch_id)
     stored = read_table(spark, root, "jobs").where(F.col("batch_id") == batch_id)
-    write_batch(batch_outcomes(raw, stored, as_of), root, "outcomes", batch_id)
+    write_batch(batch_outcomes(raw if delivered is None else delivered, stored, as_of), root, "outcomes", batch_id)
     write_batch(key_marks(stored, as_of), root, "seen_keys", batch_id)
 
 

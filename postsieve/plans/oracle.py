@@ -501,3 +501,9 @@ select event_type, {_time('s')} as window_start, {_time("s + interval 24 hours")
   from w group by event_type, s""",
 }
 ORACLE["ttl_dedup_stream"] = ORACLE["error_cooldown"].replace("events where event_type = 'error'", "events")
+ORACLE["ingest_with_cache"] = """
+with d as (select doc_id, coalesce(text, '') t from documents),
+known as (select distinct t from d where doc_id % 2 = 0)
+select doc_id::varchar external_id, 'doc ' || doc_id title, case when known.t is null then 'waiting' else 'stored' end state,
+  case when known.t is not null then length(d.t) else -1 end answered
+from d left join known using (t)"""

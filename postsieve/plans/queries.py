@@ -30,7 +30,7 @@ from postsieve.functions.text import (
     surrogate_id,
 )
 from postsieve.operators import constraints, cooldown, dedup, health, incidents, metrics, parsing, topk
-from postsieve.plans import views
+from postsieve.plans import queue, views
 from postsieve.plans.views import AS_OF, CUT_OFF, EVENTS_AS_OF
 from postsieve.scratch import scratch_dir
 from postsieve.sources import payloads, registry, tables
@@ -434,6 +434,36 @@ def align_results(spark, sf_dir):
     return parsing.align_results(chunked, responses).select("doc_id", "payload")
 
 
+@query
+def ingest_with_cache(spark, sf_dir):
+    """Two batches: documents of even id, then all of them and the answers to the first; what is stored, and what waits."""
+    root = scratch_dir(spark, "ingest")
+    tables.create_tables(spark, root)
+    text, key = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    named = {"external_id": key, "title": F.concat(F.lit("doc "), key), "company": F.col("lang"), "location": F.lit("")}
+    rest = {"url": F.lit(""), "raw_text": F.col("text"), "updated_at": F.lit(None).cast("string"), "source_name": F.col("source"), "source_tier": F.lit(2)}
+    docs = views.table(spark, sf_dir, "documents")
+    raw = docs.select("doc_id", *[c.alias(n) for n, c in (named | rest).items()])
+    nobody = spark.createDataFrame([], "company_key string")
+    none = spark.createDataFrame([], "request_batch string, bucket long, batch_no long, response string")
+    queue.ingest_with_cache(spark, root, raw.where("doc_id % 2 = 0").drop("doc_id"), none, nobody, EVENTS_AS_OF, "first")
+
+    asked = tables.read_table(spark, root, "parse_requests")
+    answer = F.concat(F.lit('{"years_of_experience":'), F.length("raw_text").cast("string"), F.lit("}"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", answer.alias("a"))))
+    answers = asked.groupBy(F.col("batch_id").alias("request_batch"), "bucket", "batch_no").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["a"]), ","), F.lit("]")).alias("response")
+    )
+    later = EVENTS_AS_OF + timedelta(hours=1)
+    queue.ingest_with_cache(spark, root, raw.drop("doc_id"), answers, nobody, later, "second")
+    jobs = tables.read_table(spark, root, "jobs").select(
+        "external_id", "title", F.lit("stored").alias("state"), F.col("years_of_experience").cast("long").alias("answered")
+    )
+    waits = queue.waiting_postings(spark, root)
+    waits = waits.select("external_id", "title", F.lit("waiting").alias("state"), F.lit(-1).cast("long").alias("answered"))
+    return jobs.unionByName(waits)
+
+
 # Sources
 
 

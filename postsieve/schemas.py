@@ -128,6 +128,33 @@ OUTCOMES = StructType(
     ]
 )
 
+#: What the external parser is asked: one row per text, in numbered batches.
+PARSE_REQUESTS = StructType(
+    [
+        StructField("key", _STR),
+        StructField("raw_text", _STR),
+        StructField("bucket", LongType()),
+        StructField("batch_no", LongType()),
+        StructField("pos", LongType()),
+    ]
+)
+
+PARSE_ANSWERS = StructType(
+    [
+        StructField("request_batch", _STR),
+        StructField("bucket", LongType()),
+        StructField("batch_no", LongType()),
+        StructField("response", _STR),
+    ]
+)
+
+PARSE_CACHE = StructType(
+    [StructField("key", _STR), StructField("payload", _STR), StructField("expires_at", TimestampType())]
+)
+
+#: Raw postings until the request of their text is answered.
+WAITING = StructType([*RAW_POSTING.fields, StructField("key", _STR), StructField("request_batch", _STR)])
+
 TABLES = {
     "jobs": JOBS,
     "sources": SOURCES,
@@ -135,4 +162,8 @@ TABLES = {
     "seen_keys": SEEN_KEYS,
     "sightings": SIGHTINGS,
     "outcomes": OUTCOMES,
+    "parse_requests": PARSE_REQUESTS,
+    "parse_answers": PARSE_ANSWERS,
+    "parse_cache": PARSE_CACHE,
+    "waiting": WAITING,
 }
