@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,32 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _collecting:
+        paths.append(path)
+    return path
+
+
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def disposed(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders made inside, once a result that needs them is written elsewhere."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.pop()
+    for path in paths:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def stored(rows: DataFrame, label: str, *folders: str) -> DataFrame:
@@ -39,9 +66,7 @@ def stored(rows: DataFrame, label: str, *folders: str) -> DataFrame:
 
 def discard(rows: DataFrame) -> None:
     """Delete a table of `stored` that nothing reads any more."""
-    jvm, context = rows.sparkSession._jvm, rows.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    path = jvm.org.apache.hadoop.fs.Path(rows.stored_at)
-    path.getFileSystem(context).delete(path, True)
+    delete(rows.sparkSession, rows.stored_at)
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, how: str, salts: int = 16) -> DataFrame:
