@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import shared_dir, table
+from postsieve.llm.common import delete, disposed, shared_dir, table
 from postsieve.llm.lines import judge_documents
 from postsieve.llm.mixing import plan_mix, training_order
 from postsieve.llm.near import near_duplicates
@@ -67,10 +67,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again.
+
+    What a stage stored on its way goes when its result is written, and so does the result before it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with disposed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        spark._jvm.System.gc()  # a stage's shuffle files go when the driver forgets its plans
+        docs, before = spark.read.parquet(path), path
     return docs
