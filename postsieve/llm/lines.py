@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from postsieve.llm.common import SPACE, SPACE_CHARS, held, packed, row_key, salted_join, stored, unpacked, words_of
 
 LINE_LIMIT = 20  # distinct documents of a host
-MARKS = 8  # three-word windows that stand for a line
+MARKS = 4  # three-word windows that stand for a line
 EDITED = 0.3  # share of them in frequent lines, from which a line is an edited one
-DRAWS = 4  # identities of a document
+COPIED = 0.5  # share of words in lines that may be frequent, from which a document may be a near copy
 LEAST_LEFT_WORDS = 20
 LEAST_LEFT_SHARE = 0.2
 
@@ -24,7 +24,7 @@ def normalized_line(line: Column) -> Column:
 
 
 def with_figures(rows: DataFrame) -> DataFrame:
-    """`rows` (text and others) with the columns FIGURES, row by row.
+    """`rows` (text and others) with the columns FIGURES and lines (those with a word), row by row.
 
     NULL and empty texts have no words. A word is a run without white space; equal lines are equal characters.
     Each array is made once and kept in a column, since a lambda would make it again for every element.
@@ -59,66 +59,77 @@ def with_figures(rows: DataFrame) -> DataFrame:
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).drop("body", "words", "windows", "pairs", "again", "lines")
+    return rows.withColumn("base_failed", failed).drop("body", "words", "windows", "pairs", "again")
 
 
-def line_rows(rows: DataFrame) -> DataFrame:
-    """A row per line with a word of (key, text, source): key, host, line (hashes), number of words, digest of all lines and marks.
+def with_lines(rows: DataFrame) -> DataFrame:
+    """`rows` of `with_figures` with host and digest (of all lines), and in lines per line its hash, number of words and marks.
 
-    marks are the MARKS smallest hashes of the line's three-word windows, or the line's hash if it has none.
+    marks are the MARKS smallest hashes of the line's three-word windows, or the line's hash if it has none. Each step is held
+    in a column, since a lambda would make it again for every window.
     """
-    words = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    each = F.transform(lines, lambda x: F.struct(normalized_line(x).alias("line"), words(x).alias("words")))
     host = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\x00no host")))
-    rows = held(rows.select("key", "text", host.alias("host")), all=each)
-    rows = rows.select("key", "host", F.xxhash64(F.col("all.line")).alias("digest"), F.explode("all").alias("each"))
-    rows = rows.select("key", "host", "digest", F.xxhash64("each.line").alias("line"), "each.words", F.col("each.line").alias("l"))
-    rows = held(rows, w=F.split("l", " "))
-    at = lambda i: F.element_at("w", i)
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
-    least = F.slice(F.sort_array(F.array_distinct(windows)), 1, MARKS)
-    return rows.withColumn("marks", F.when(F.size("w") > 2, least).otherwise(F.array("line"))).drop("w", "l")
-
-
-def identities(each: DataFrame, often: DataFrame) -> DataFrame:
-    """(host, digest, identity 0 to DRAWS - 1) of documents, from their lines; `often` are the lines that may be frequent.
-
-    Lines in `often` and edited forms of them say nothing about which document it is. Of the others, the smallest hash of a
-    window under each of DRAWS orders is an identity, so near copies mostly share it, and documents with a common menu don't.
-    A document without such lines is a copy or near copy of others: its identity is the smallest of its lines in `often`.
+    count = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE_CHARS)), SPACE))
+    clean = F.transform("lines", lambda x: F.struct(normalized_line(x).alias("line"), count(x).alias("words")))
+    rows = held(rows, clean=clean)
+    rows = held(rows, split=F.transform("clean", lambda x: F.split(x["line"], " ")))
+    at = F.element_at
+
+    def marks(w: Column, line: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(at(w, i), at(w, i + 1), at(w, i + 2)))
+        return F.when(F.size(w) > 2, F.slice(F.sort_array(F.array_distinct(windows)), 1, MARKS)).otherwise(F.array(F.xxhash64(line)))
+
+    each = F.zip_with(
+        "clean", "split",
+        lambda x, w: F.struct(F.xxhash64(x["line"]).alias("line"), x["words"].alias("words"), marks(w, x["line"]).alias("marks")),
+    )
+    rows = held(rows, each=each).withColumn("lines", F.col("each"))
+    return rows.withColumns({"host": host, "digest": F.xxhash64("lines.line")}).drop("clean", "split", "each")
+
+
+def identities(documents: DataFrame, held_lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, digest, identity) of documents that may be near copies: COPIED or more of their words are in lines of `often`.
+
+    The identity is the set of the lines that are neither in `often` nor edited forms of such lines, so that documents under
+    a common menu differ by what they add to it. A document without such a line is a near copy of others: its identity is
+    the smallest of its lines in `often`.
     """
-    each = each.groupBy("host", "digest", "line").agg(F.first("marks").alias("marks"))
+    copied = held_lines.groupBy("host", "digest").agg(F.sum("words").alias("words"), F.min("line").alias("least"))
+    copied = documents.join(copied.withColumnRenamed("words", "known"), ["host", "digest"])
+    all_words = F.aggregate("lines.words", F.lit(0).cast("long"), lambda s, n: s + n)
+    copied = stored(copied.where(F.col("known") >= COPIED * all_words).drop("known"), "copied")
+    each = copied.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.line", "l.marks")
     each = salted_join(each, often.withColumn("often", F.lit(True)), ["host", "line"], F.col("digest"), "left")
     each = stored(each, "marked-lines")
     known = each.where("often").select("host", F.explode("marks").alias("mark")).distinct().withColumn("hit", F.lit(1))
     own = each.where("often is null").select("host", "digest", "line", F.explode("marks").alias("mark"))
     own = salted_join(own, known, ["host", "mark"], F.col("digest"), "left")
-    new = lambda i: F.min(F.when(F.col("hit").isNull(), F.xxhash64("mark", F.lit(i))))
-    per_line = own.groupBy("host", "digest", "line").agg(
-        (F.count("hit") / F.count(F.lit(1))).alias("share"), *[new(i).alias(f"i{i}") for i in range(DRAWS)]
-    )
-    per_own = per_line.where(F.col("share") < EDITED).groupBy("host", "digest").agg(*[F.min(f"i{i}").alias(f"i{i}") for i in range(DRAWS)])
-    per_document = each.groupBy("host", "digest").agg(F.min(F.when(F.col("often"), F.col("line"))).alias("least"))
-    both = per_document.join(per_own, ["host", "digest"], "left")
-    return both.select("host", "digest", *[F.coalesce(f"i{i}", "least").alias(f"i{i}") for i in range(DRAWS)])
+    own = own.groupBy("host", "digest", "line").agg((F.count("hit") / F.count(F.lit(1))).alias("share")).where(F.col("share") < EDITED)
+    own = own.groupBy("host", "digest").agg(F.xxhash64(F.sort_array(F.collect_set("line"))).alias("own"))
+    both = copied.select("host", "digest", "least").join(own, ["host", "digest"], "left")
+    return both.select("host", "digest", F.coalesce("own", "least").alias("identity"))
 
 
-def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(host, line) of lines that more than `limit` distinct documents of the host hold.
+def taken_lines(facts: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, digest, taken, taken_lines) of documents with frequent lines: words in them, and the lines.
 
-    Copies of a document and repeats of a line inside of it count once, near copies as one by their `identities`; none of
-    them takes anything from the count.
+    A line is frequent if more than `limit` distinct documents of the host hold it. Copies of a document (one digest) and
+    repeats of a line inside of it count once, near copies as one by their `identities`; none of them takes anything from the
+    count. Copies go first, so that lines are counted without a shuffle of their own for distinct ones.
     """
-    per_document = stored(lines.select("host", "line", "digest").distinct(), "documents-of-lines")
-    often = per_document.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
+    documents = stored(facts.groupBy("host", "digest").agg(F.first("lines").alias("lines")), "distinct-documents")
+    once = documents.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
+    often = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
     often = stored(often, "often")
-    holders = stored(salted_join(per_document, often, ["host", "line"], F.col("digest"), "inner"), "holders")
-    own = identities(lines.join(holders.select("host", "digest").distinct(), ["host", "digest"], "left_semi"), often)
-    draws = F.posexplode(F.array(*[f"i{i}" for i in range(DRAWS)])).alias("draw", "identity")
-    different = holders.join(own, ["host", "digest"]).select("host", "line", draws).distinct()
-    counts = different.groupBy("host", "line", "draw").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > limit).select("host", "line").distinct()
+    each = documents.select("host", "digest", F.explode(F.arrays_zip("lines.line", "lines.words")).alias("l"))
+    each = each.select("host", "digest", F.col("l")["line"].alias("line"), F.col("l")["words"].alias("words"))
+    holders = stored(salted_join(each, often, ["host", "line"], F.col("digest"), "inner"), "holders")
+    own = identities(documents, holders, often)
+    different = holders.join(own, ["host", "digest"], "left").select("host", "line", F.coalesce("identity", "digest").alias("identity"))
+    counts = different.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    frequent = counts.where(F.col("n") > limit).select("host", "line")
+    hits = salted_join(holders, frequent, ["host", "line"], F.col("digest"), "inner")
+    return hits.groupBy("host", "digest").agg(F.sum("words").alias("taken"), F.collect_set("line").alias("taken_lines"))
 
 
 def judge_documents(
@@ -134,24 +145,18 @@ def judge_documents(
     """
     new = (*FIGURES, "left_words", "kept")
     rows = packed(docs, (*new, text), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
-    rows = with_figures(rows.withColumn("key", row_key(F.col("text"))))
-    lines = stored(line_rows(rows.select("key", "text", "source")), "lines")
-    often = frequent_lines(lines, limit).withColumn("frequent", F.lit(True))
-    hits = salted_join(lines.drop("marks", "digest"), often, ["host", "line"], F.col("key"), "left")
-    taken = hits.groupBy("key").agg(
-        F.sum(F.when(F.col("frequent"), F.col("words"))).alias("taken"), F.sum("words").alias("listed"),
-        F.collect_set(F.when(F.col("frequent"), F.col("line"))).alias("taken_lines"),
-    ).where("taken is not null")
+    rows = with_lines(with_figures(rows.withColumn("key", F.xxhash64(row_key(F.col("text"))))))
+    facts = stored(rows.drop("source", *([] if rewrite else ["text"])), "facts")
+    taken = taken_lines(facts.select("host", "digest", "lines"), limit)
+    listed = F.aggregate("lines.words", F.lit(0).cast("long"), lambda s, n: s + n)
+    rows = facts.withColumn("listed", listed).drop("lines")
+    rows = salted_join(rows, taken if rewrite else taken.drop("taken_lines"), ["host", "digest"], F.col("key"), "left")
     if rewrite:
-        rows = rows.join(taken, "key", "left")
         stay = lambda x: ~F.array_contains("taken_lines", F.xxhash64(normalized_line(x)))
         left = F.array_join(F.filter(F.split("text", "\n"), stay), "\n")
         rows = rows.withColumn(text, F.when(F.col("taken").isNotNull(), left).otherwise(F.col("text")))
-    else:
-        rows = rows.drop("text").join(taken.drop("taken_lines"), "key", "left")
-    # sums over repeated rows are multiples of one row's
-    share = F.coalesce(1 - F.col("taken") / F.col("listed"), F.lit(1.0))
-    rows = rows.withColumn("left_words", F.round(F.col("n_words") * share).cast("long"))
-    depleted = F.col("taken").isNotNull() & ((F.col("left_words") < least_words) | (share < least_share))
+    rows = rows.withColumn("left_words", F.col("n_words") - F.coalesce("taken", F.lit(0)))
+    few = (F.col("left_words") < least_words) | (F.col("left_words") / F.col("listed") < least_share)
+    depleted = F.col("taken").isNotNull() & few
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
     return unpacked(rows, *([text] if rewrite else []), *new)

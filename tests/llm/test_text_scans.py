@@ -1,10 +1,12 @@
 """Operators that read each text by itself (1, 3, 4, 7, 9), against plain versions."""
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -231,6 +233,52 @@ def test_shared_menus_leave_documents_different(spark, shared):
     assert all(r["kept"] and r["text"].count("\n") == 59 for r in out if r["doc_id"] >= 2000)
 
 
+def plain_verdicts(rows, limit=20):
+    """doc_id: kept, by a loop over all documents; for lines of which none is an edited form of another."""
+    hashed = lambda x: (xxhash.xxh64_intdigest(x, seed=42) + 2**63) % 2**64
+    normal = lambda x: re.sub("[^a-z0-9]+", " ", re.sub("[0-9]+", "0", x.lower())).strip()
+    split = {i: [(normal(x), len(x.split())) for x in t.split("\n") if x.split()] for i, t, _ in rows}
+    versions = {(host, tuple(x for x, _ in split[i])): split[i] for i, _, host in rows}
+    holders = {}
+    for (host, key), _ in versions.items():
+        for x in set(key):
+            holders.setdefault((host, x), set()).add(key)
+    often = {k for k, v in holders.items() if len(v) > limit}
+    identity = {}
+    for (host, key), each in versions.items():
+        known = sum(n for x, n in each if (host, x) in often)
+        own = frozenset(x for x in key if (host, x) not in often)
+        least = min((x for x in key if (host, x) in often), key=hashed, default=None)
+        identity[host, key] = key if 2 * known < sum(n for _, n in each) else own or least
+    frequent = {k for k in often if len({identity[k[0], key] for key in holders[k]}) > limit}
+    kept = {}
+    for i, t, host in rows:
+        taken, words = sum(n for x, n in split[i] if (host, x) in frequent), sum(n for _, n in split[i])
+        left = words - taken
+        kept[i] = not plain_figures(t)[-1] and not (taken and (left < 20 or left / words < 0.2))
+    return kept
+
+
+def test_verdicts(spark, shared):
+    draw = random.Random(11)
+    body = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    pool = {h: [body(draw.randrange(5, 20)) for _ in range(12)] for h in ("h1", "h2", "h3")}
+    rare = [body(10) for _ in range(30)]
+    rows = []
+    for i in range(600):
+        host = draw.choice(list(pool))
+        each = draw.sample(pool[host], draw.randrange(0, 9)) + draw.sample(rare, draw.randrange(0, 3))
+        each += [body(draw.randrange(5, 40)) for _ in range(draw.randrange(0, 4))]
+        draw.shuffle(each)
+        rows += [(10 * i + k, "\n".join(each), host) for k in range(draw.choice([1, 1, 1, 5]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r["doc_id"]: r["kept"] for r in lines.judge_documents(frame).collect()}
+    want = plain_verdicts(rows)
+    assert out == want and 100 < sum(want.values()) < len(want) - 100
+    depleted = [i for i, t, _ in rows if not want[i] and not plain_figures(t)[-1]]
+    assert len(depleted) > 50
+
+
 def test_licenses(spark, shared, docs, empty):
     mit = licenses.KNOWN[0][1]
     british = mit.upper()
