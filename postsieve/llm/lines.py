@@ -95,18 +95,18 @@ def identities(documents: DataFrame, held_lines: DataFrame, often: DataFrame) ->
     the smallest of its lines in `often`.
     """
     copied = held_lines.groupBy("host", "digest").agg(F.sum("words").alias("words"), F.min("line").alias("least"))
-    copied = documents.join(copied.withColumnRenamed("words", "known"), ["host", "digest"])
+    copied = documents.join(copied.withColumnRenamed("words", "known").hint("merge"), ["host", "digest"])
     all_words = F.aggregate("lines.words", F.lit(0).cast("long"), lambda s, n: s + n)
     copied = stored(copied.where(F.col("known") >= COPIED * all_words).drop("known"), "copied")
     each = copied.select("host", "digest", F.explode("lines").alias("l")).select("host", "digest", "l.line", "l.marks")
     each = salted_join(each, often.withColumn("often", F.lit(True)), ["host", "line"], F.col("digest"), "left")
     each = stored(each, "marked-lines")
-    known = each.where("often").select("host", F.explode("marks").alias("mark")).distinct().withColumn("hit", F.lit(1))
+    known = each.where("often").select("host", F.explode("marks").alias("mark")).distinct().withColumn("hit", F.lit(1)).hint("merge")
     own = each.where("often is null").select("host", "digest", "line", F.explode("marks").alias("mark"))
     own = salted_join(own, known, ["host", "mark"], F.col("digest"), "left")
     own = own.groupBy("host", "digest", "line").agg((F.count("hit") / F.count(F.lit(1))).alias("share")).where(F.col("share") < EDITED)
     own = own.groupBy("host", "digest").agg(F.xxhash64(F.sort_array(F.collect_set("line"))).alias("own"))
-    both = copied.select("host", "digest", "least").join(own, ["host", "digest"], "left")
+    both = copied.select("host", "digest", "least").join(own.hint("merge"), ["host", "digest"], "left")
     return both.select("host", "digest", F.coalesce("own", "least").alias("identity"))
 
 
@@ -115,21 +115,23 @@ def taken_lines(facts: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
     A line is frequent if more than `limit` distinct documents of the host hold it. Copies of a document (one digest) and
     repeats of a line inside of it count once, near copies as one by their `identities`; none of them takes anything from the
-    count. Copies go first, so that lines are counted without a shuffle of their own for distinct ones.
+    count. Copies go first, so that lines are counted without a shuffle of their own for distinct ones. What is joined grows
+    with the corpus, so no side is broadcast at any size.
     """
     documents = stored(facts.groupBy("host", "digest").agg(F.first("lines").alias("lines")), "distinct-documents")
     once = documents.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
     often = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
-    often = stored(often, "often")
+    often = stored(often, "often").hint("merge")
     each = documents.select("host", "digest", F.explode(F.arrays_zip("lines.line", "lines.words")).alias("l"))
     each = each.select("host", "digest", F.col("l")["line"].alias("line"), F.col("l")["words"].alias("words"))
     holders = stored(salted_join(each, often, ["host", "line"], F.col("digest"), "inner"), "holders")
     own = identities(documents, holders, often)
-    different = holders.join(own, ["host", "digest"], "left").select("host", "line", F.coalesce("identity", "digest").alias("identity"))
+    different = holders.join(own.hint("merge"), ["host", "digest"], "left").select("host", "line", F.coalesce("identity", "digest").alias("identity"))
     counts = different.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.where(F.col("n") > limit).select("host", "line")
+    frequent = counts.where(F.col("n") > limit).select("host", "line").hint("merge")
     hits = salted_join(holders, frequent, ["host", "line"], F.col("digest"), "inner")
-    return hits.groupBy("host", "digest").agg(F.sum("words").alias("taken"), F.collect_set("line").alias("taken_lines"))
+    taken = hits.groupBy("host", "digest").agg(F.sum("words").alias("taken"), F.collect_set("line").alias("taken_lines"))
+    return taken.hint("merge")
 
 
 def judge_documents(
