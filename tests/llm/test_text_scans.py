@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -289,6 +290,10 @@ def test_licenses(spark, shared, docs, empty):
         (4, None, [], None), (5, "", [], None), (6, "...", [], None),
         (7, "Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"),
         (7, "Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"),
+        (8, "MIT License\n\nCopyright (c) Acme Inc.\n\n" + mit, ["MIT"], "MIT"),
+        (9, "The MIT License (MIT)\nCopyright Jane Doe\n" + mit.replace(". ", ".\n"), ["MIT"], "MIT"),
+        (10, "Copyright holders only", [], None),
+        *[(20 + i, t.replace(", ", ",\n  * "), [x], x) for i, (x, t) in enumerate(licenses.KNOWN) if len(t) > 600],
     ]
     frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
     out = licenses.scan_licenses(frame, licenses.known_digests(spark))
@@ -296,6 +301,40 @@ def test_licenses(spark, shared, docs, empty):
     assert licenses.scan_licenses(docs, licenses.known_digests(spark)).count() == docs.count()
 
 
+def plain_digests(t):
+    """Digest of the text and digests of its lines, by a loop over words."""
+    words, canon = dict(licenses.EQUIVALENT), []
+    pairs = {tuple(a.split()): b.split() for a, b in licenses.EQUIVALENT_PAIRS}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def joined(each):
+        out, i = [], 0
+        while i < len(each):
+            hit = pairs.get(tuple(each[i : i + 2]))
+            out += hit or [each[i]]
+            i += 2 if hit else 1
+        return " ".join(out)
+
+    for line in t.lower().split("\n"):
+        if not regex.match(licenses.COPYRIGHT_LINE, line):
+            each = regex.findall(r"[\p{L}\p{N}]+", line)
+            canon.append([y for x in each for y in words.get(x, x).split()])
+    canon = [x for x in canon if x]
+    first = next((i for i, x in enumerate(canon) if x[0] != "copyright" and " ".join(x) not in licenses.TITLES), 0)
+    whole = joined([w for x in canon[first:] for w in x])
+    return (sha(whole) if whole else None), {sha(joined(x)) for x in canon}
+
+
+def test_license_digests(spark, shared, docs):
+    draw = random.Random(3)
+    names = [a for a, _ in licenses.EQUIVALENT] + ["copyright holder", "sub license", "license license", "copyright", "x", "by", "(c)", "©", "2020"]
+    rows = [(i, "".join(draw.choice(names) + draw.choice([" ", " ", "-", "\n", ", "]) for _ in range(draw.randrange(40)))) for i in range(300)]
+    rows += [(1000 + i, t) for i, (_, t, _) in enumerate(texts_of(docs)) if t.isascii()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["text_digest"], set(r["line_digests"])) for r in licenses.with_digests(frame, "text").collect()}
+    assert out == {i: plain_digests(t) for i, t in rows}
+
+
 @pytest.mark.parametrize("scan", [
     lambda d, s: licenses.scan_licenses(d, licenses.known_digests(s)), lambda d, s: pii.find_personal_data(d), lambda d, s: pii.sanitise(d),
     lambda d, s: secrets.scan_secrets(d, VOCABULARY, public_tokenizers.PATTERN), lambda d, s: tokens.count_tokens(d, BPE),
