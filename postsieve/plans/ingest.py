@@ -14,7 +14,8 @@ from postsieve.operators.parsing import parse_postings
 from postsieve.schemas import JOBS
 from postsieve.scratch import scratch_dir
 from postsieve.sources.registry import flag_watchlist
-from postsieve.sources.tables import read_table, split_known, write_batch
+from postsieve.sources.keys import create_index, read_index, split_by_index, write_keys
+from postsieve.sources.tables import read_table, write_batch
 
 API_TIER = 1
 
@@ -63,11 +64,12 @@ def ingest_batch(
 
     `payloads` (external_id, payload) are answers of an external parser, unless `raw` has them in
     a payload column; without them the rules alone fill the fields. `delivered` are the rows by which
-    sources count as successful, `raw` if not given. Jobs are written before the keys, so a batch that
-    dies in between is not taken for a repeat of itself.
+    sources count as successful, `raw` if not given. Stored jobs are looked up in the key index; the jobs table
+    itself is not read. Jobs are written before the keys, so a batch that dies in between is not taken for a
+    repeat of itself.
     """
     state = read_table(spark, root, "seen_keys", without_batch=batch_id)
-    jobs = read_table(spark, root, "jobs", without_batch=batch_id)
+    create_index(spark, root, read_table(spark, root, "jobs"))
 
     unseen = drop_seen(raw, state, as_of)
     if payloads is not None:
@@ -80,12 +82,13 @@ def ingest_batch(
     path = scratch_dir(spark, "batch")
     first_wins(to_jobs(parsed, watchlist, as_of)).write.parquet(path)
     unique = spark.read.schema(JOBS).parquet(path)
-    inserts, known = split_known(unique, jobs)
+    inserts, known = split_by_index(unique, read_index(spark, root, without_batch=batch_id))
 
     write_batch(inserts, root, "jobs", batch_id)
     touched = known.where(F.col("source_tier") == API_TIER)
     write_batch(touched.withColumn("last_seen_at", F.lit(as_of)), root, "sightings", batch_id)
     stored = read_table(spark, root, "jobs").where(F.col("batch_id") == batch_id)
+    write_keys(stored, root, batch_id)
     write_batch(batch_outcomes(raw if delivered is None else delivered, stored, as_of), root, "outcomes", batch_id)
     write_batch(key_marks(stored, as_of), root, "seen_keys", batch_id)
 

@@ -413,6 +413,14 @@ select canonical_hash, external_id, score, {_time('ingested_at')} as ingested_at
   from old
 union all select canonical_hash, external_id, score, {_time('ingested_at')}, {_time('ingested_at')} from new
   where canonical_hash not in (select canonical_hash from old) and external_id not in (select external_id from old)""",
+    "jobs_by_key_index": f"""with {JOBS}, o as (select * from jobs where ingested_at < {CUT}),
+m as (select * replace (case when k % 14 = 3 then title || ' II' else title end as title) from jobs),
+n as (select * replace ({_can_hash()} as canonical_hash) from m),
+old as {_first('o', 'canonical_hash', 'ingested_at, external_id')},
+new as {_first('n', 'canonical_hash', 'ingested_at, external_id')}
+select new.external_id, coalesce(h.canonical_hash, i.canonical_hash, new.canonical_hash) as canonical_hash,
+  case when h.canonical_hash is null and i.canonical_hash is null then 'new' else 'known' end as state
+  from new left join old h on h.canonical_hash = new.canonical_hash left join old i on i.external_id = new.external_id""",
     "constraint_violations": f"""with {JOBS}, {ALERTS}, j as (select * replace (
   case when k % 50 <> 7 then company end as company, case when k % 100 = 1 then 'o_0' else external_id end as external_id),
   case when k % 60 = 5 then 'US Dollar' else 'USD' end as salary_currency from jobs)

@@ -33,7 +33,7 @@ from postsieve.operators import constraints, cooldown, dedup, health, incidents,
 from postsieve.plans import queue, views
 from postsieve.plans.views import AS_OF, CUT_OFF, EVENTS_AS_OF
 from postsieve.scratch import scratch_dir
-from postsieve.sources import payloads, registry, tables
+from postsieve.sources import keys, payloads, registry, tables
 from postsieve.streaming import counts, dedup as stream_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,6 +377,22 @@ def upsert_jobs(spark, sf_dir):
     return merged.select("canonical_hash", "external_id", "score", _time("ingested_at"), _time("last_seen_at"))
 
 
+@query
+def jobs_by_key_index(spark, sf_dir):
+    """Two batches against the key index, whose folders are merged in between."""
+    jobs = views.jobs(spark, sf_dir).select("k", "external_id", "title", "company", "location", "ingested_at")
+    jobs, root = _stored(jobs), scratch_dir(spark, "index")
+    first = dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF)))
+    keys.create_index(spark, root, first.withColumn("batch_id", F.lit("b0")).limit(0))
+    keys.write_keys(first, root, "b1")
+    keys.compact_index(spark, root)
+    retitled = F.when(F.col("k") % 14 == 3, F.concat("title", F.lit(" II"))).otherwise(F.col("title"))
+    second = dedup.first_wins(jobs.withColumn("title", retitled))
+    inserts, known = keys.split_by_index(second, keys.read_index(spark, root, without_batch="b2"))
+    both = inserts.withColumn("state", F.lit("new")).unionByName(known.withColumn("state", F.lit("known")))
+    return both.select("external_id", "canonical_hash", "state")
+
+
 @query
 def constraint_violations(spark, sf_dir):
     jobs, k = views.jobs(spark, sf_dir), F.col("k")
