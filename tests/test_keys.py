@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_tables import FIRST, NOW, run, stored
 
 from postsieve.operators.constraints import check_jobs
+from postsieve.plans.alerts import alert_once, digest_once
 from postsieve.sources import keys
 from postsieve.sources.tables import create_tables, read_table, split_known
 
@@ -60,3 +61,13 @@ def test_one_lookup_and_no_read_of_the_jobs(spark, root):
     new = spark.createDataFrame([("h", "e", NOW)], ROW)
     plan = keys.split_by_index(new, keys.read_index(spark, root))[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and plan.count("part#") > 0
+
+
+def test_digested_jobs_are_not_alerted_again(spark, root):
+    run(spark, root, FIRST, "b1")
+    texts = [digest_once(spark, root, NOW, "a1", min_score=99).collect() for _ in range(2)]
+    assert texts[0] == texts[1] and "Guard" in texts[0][0].digest and "Junior SOC Analyst" in texts[0][0].digest
+    assert alert_once(spark, root, NOW, "a1", min_score=99).count() == 0
+    assert digest_once(spark, root, NOW, "a2", min_score=99).count() == 0
+    rows = read_table(spark, root, "alerts").collect()
+    assert sorted((r.channel, r.score) for r in rows) == [("digest", 99), ("digest", 100)]
