@@ -1,12 +1,14 @@
 """Language-model scores: deleted interpolation of bigram, unigram and uniform estimates.
 
-Contexts are the frequent words, each by itself, and classes of the others by their last letters, so a context's count
-is known everywhere. Weights of the mixture depend on the context's frequency and are learned by expectation-maximisation
-on counts of a part that the estimates left out.
+Every word is a context of its own. In its text a word is followed by one more token, so a context's count is its word's
+(the start's is that of the ends). Pairs are counted where their word's count is complete, then meet their context's count.
+Weights of the mixture depend on the context's frequency and are learned by expectation-maximisation on counts of a part
+that the estimates left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import packed, row_key, stored, unpacked
-from postsieve.llm.hashing import SPACED, in_batches, mixed, words_and_ends
+from postsieve.llm.common import discard, packed, row_key, stored, unpacked
+from postsieve.llm.hashing import SPACED, in_batches, mixed, word_hashes
 
 TOP = 4096  # words (and word pairs) with at least the share 1 / TOP of all tokens are known to every task: at most TOP of them
-ENDINGS = 1024
-CLASSES = TOP + ENDINGS + 1  # the last one is the start of a text
-END_WORD = np.uint64(0x0E2D)
-BUCKET_BYTES = 14_000_000  # text per group of words
+END_WORD, START = np.uint64(0x0E2D), np.uint64(0x57A7)  # the end of a text, and what is before its first token
+OTHER = 0xFFFF  # code of a word that not every task knows
+BUCKET_BYTES = 5_000_000  # text per group of words
 PIECE_CHARS = 3_000_000  # text that a task packs at once
 ROUNDS, FINE = 30, 1e-4
 
@@ -31,25 +32,24 @@ def part_of(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5, F.lit(0)).cast("int")
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words and ends of texts in order, their text's number, and the ending class of each."""
-    h, offsets, ends = words_and_ends(texts, SPACED)
-    h = np.insert(h, offsets[1:], END_WORD)
-    ending = np.insert((mixed(ends.astype(np.uint64)) % np.uint64(ENDINGS)).astype(np.int64), offsets[1:], 0)
-    return h, np.repeat(np.arange(len(texts)), np.diff(offsets) + 1), ending
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and ends of texts in order, and their text's number."""
+    h, offsets = word_hashes(texts, SPACED)
+    return np.insert(h, offsets[1:], END_WORD), np.repeat(np.arange(len(texts)), np.diff(offsets) + 1)
 
 
-def context_of(h: np.ndarray, doc: np.ndarray, ending: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Class of the word before each token: its place in `top` (sorted), else its ending, else the start of a text."""
-    at = np.searchsorted(top, h)
-    known = np.zeros(len(h), bool) if not len(top) else top[np.minimum(at, len(top) - 1)] == h
-    own = np.where(known, at, TOP + ending)
-    out = np.full(len(h), TOP + ENDINGS, np.int64)
+def context_of(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each token, or START."""
+    out = np.full(len(h), START, np.uint64)
     if len(h) > 1:
-        out[1:] = np.where(doc[1:] == doc[:-1], own[:-1], TOP + ENDINGS)
+        out[1:] = np.where(doc[1:] == doc[:-1], h[:-1], START)
     return out
 
 
+def pair_id(h: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mixed(h + context * np.uint64(0xD6E8FEB86659FD93))
+
+
 def _place(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Index of each value in the sorted table, or -1."""
     if not len(table):
@@ -74,10 +74,32 @@ def _joined(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), kind)
 
 
-def _bucket_of(h: np.ndarray, cls: np.ndarray, top: np.ndarray, buckets: int) -> np.ndarray:
-    """Group of a pair: by its word, whose count is then complete there; pairs of a word in `top` spread by their context too."""
-    spread = np.where(_place(h, top) >= 0, cls + 1, 0).astype(np.uint64)
-    return (mixed(h + spread * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+def _bucket_of(own: np.ndarray, other: np.ndarray, known: np.ndarray, buckets: int) -> np.ndarray:
+    """Group of a pair by one of its words, whose pairs are then all there; those of a word in `known` spread by the other too."""
+    spread = np.where(_place(own, known) >= 0, other | np.uint64(1), np.uint64(0))
+    return (mixed(own + spread * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _coded(h: np.ndarray, known: np.ndarray) -> tuple[bytes, bytes]:
+    """Words as places in `known`, and the hashes of the others."""
+    place = _place(h, known)
+    return _raw(np.where(place >= 0, place, OTHER), "u2"), h[place < 0].tobytes()
+
+
+def _decoded(codes: bytes, rest: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that `_coded` put away, and their places in `known` or -1."""
+    place = np.frombuffer(codes, "u2").astype(np.int64)
+    place[place == OTHER] = -1
+    h = np.empty(len(place), np.uint64)
+    h[place >= 0] = known[place[place >= 0]]
+    h[place < 0] = np.frombuffer(rest, "u8")
+    return h, place
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of a sorted array."""
+    edges = np.append(_starts(np.diff(bucket, prepend=-1) != 0), len(bucket))
+    return ((int(bucket[a]), a, b) for a, b in zip(edges[:-1], edges[1:]))
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +114,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in _pieces(batches):
             piece = piece[piece["part"] != 1]
-            h, doc, _ = tokens_of(piece["text"].tolist())
+            h, doc = tokens_of(piece["text"].tolist())
             if not len(h):
                 continue
             words, back = np.unique(h, return_inverse=True)
@@ -104,84 +126,109 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("h").agg(F.sum("n_fit").alias("n_fit"), F.sum("n_left_out").alias("n_left_out"))
 
 
-PAIRS = "bucket int, heads binary, sizes binary, cls binary, fit binary, left_out binary"
+CODED = "bucket int, word binary, word_rest binary, context binary, context_rest binary, fit binary, left_out binary"
+COUNTED = CODED + ", word_fit binary, word_all binary"
+PAIRS = "bucket int, kind int, ids binary, pairs binary, words binary, contexts binary, b int, id bigint, n_pair bigint, n_word bigint, n_context bigint, w bigint"
+GROUP, LEFT_OUT, LARGE = 0, 1, 2
 
 
-def pair_counts(docs: DataFrame, top: np.ndarray, top_fit: np.ndarray, buckets: int) -> DataFrame:
-    """(cls, n_pair, n_word, n_fit, n_left_out, n_pairs, h): counts of pairs of a context class and a word, from the training tokens.
+def pair_counts(docs: DataFrame, known: np.ndarray, known_fit: np.ndarray, known_all: np.ndarray, total: int, buckets: int) -> DataFrame:
+    """Counts of all pairs of a context and a word in docs (part, text), with the counts of both, in rows of three kinds.
 
-    Tasks send one entry per pair of what they read, packed by group of words. Rows with the same cls, n_pair and n_word (counts
-    without the part left out) are summed up; a pair with a share of 1 / TOP has a row of its own, with h.
+    GROUP: the pairs of a group (ids sorted) with the counts of pair, word and context in training tokens, packed. LEFT_OUT: w
+    left-out tokens with these counts of pair, word and context without the part left out; b is the context's frequency bucket.
+    LARGE: a pair with a share of 1 / TOP, which is in no group. `known` are the words (and START) that every task knows.
     """
+    number = "u4" if total < 1 << 32 else "u8"
 
-    def pairs_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in _pieces(batches):
-            piece = piece[piece["part"] != 1]
-            h, doc, ending = tokens_of(piece["text"].tolist())
-            if not len(h):
-                continue
-            cls = context_of(h, doc, ending, top)
-            out = (piece["part"].to_numpy() == 4)[doc].astype(np.int64)
-            bucket = _bucket_of(h, cls, top, buckets)
-            order = np.lexsort((cls, h, bucket))
-            h, cls, out, bucket = h[order], cls[order], out[order], bucket[order]
-            new_word = np.ones(len(h), bool)
-            new_word[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-            fresh = new_word.copy()
-            fresh[1:] |= cls[1:] != cls[:-1]
-            at = _starts(fresh)
-            n_out = _sums(out, at)
-            n_all = np.diff(np.append(at, len(h)))
-            h, cls, bucket, new_word = h[at], cls[at], bucket[at], new_word[at]
-            edges = np.append(_starts(np.diff(bucket, prepend=-1) != 0), len(h))
-            got = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                heads = a + _starts(new_word[a:b])
-                sizes = np.diff(np.append(heads, b))
-                got.append((bucket[a], h[heads].tobytes(), _raw(sizes, "u4"), _raw(cls[a:b], "u2"), _raw((n_all - n_out)[a:b], "u4"), _raw(n_out[a:b], "u4")))
-            yield pd.DataFrame(got, columns=["bucket", "heads", "sizes", "cls", "fit", "left_out"])
-
-    def counted(group: pd.DataFrame) -> pd.DataFrame:
-        h = np.repeat(_joined(group["heads"], "u8"), _joined(group["sizes"], "u4"))
-        cls = _joined(group["cls"], "u2").astype(np.int64)
-        order = np.lexsort((cls, h))
-        h, cls = h[order], cls[order]
-        fit, out = _joined(group["fit"], "u4").astype(np.int64)[order], _joined(group["left_out"], "u4").astype(np.int64)[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-        at = _starts(fresh)
-        fit, out, h, cls = _sums(fit, at), _sums(out, at), h[at], cls[at]
+            h, doc = tokens_of(piece["text"].tolist())
+            context, part = context_of(h, doc), piece["part"].to_numpy()
+            ids = pair_id(h, context)
+            order = np.argsort(ids)
+            at = _starts(np.diff(ids[order], prepend=~ids[order[:1]]) != 0)
+            fit, out = ((x[doc].astype(np.int64))[order] for x in ((part != 1) & (part != 4), part == 4))
+            fit, out, h, context = _sums(fit, at), _sums(out, at), h[order][at], context[order][at]
+            bucket = _bucket_of(h, context, known, buckets)
+            order = np.lexsort((h, bucket))
+            h, context, fit, out, bucket = h[order], context[order], fit[order], out[order], bucket[order]
+            got = [(i, *_coded(h[a:b], known), *_coded(context[a:b], known), _raw(fit[a:b], "u4"), _raw(out[a:b], "u4")) for i, a, b in _slices(bucket)]
+            yield pd.DataFrame(got, columns=[c.split()[0] for c in CODED.split(", ")])
+
+    def read(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        join = lambda c: b"".join(map(bytes, group[c]))
+        return *_decoded(join("word"), join("word_rest"), known), *_decoded(join("context"), join("context_rest"), known)
+
+    def with_words(group: pd.DataFrame) -> pd.DataFrame:
+        """All pairs of the group's words, once, with the counts of words that not every task knows."""
+        h, _, context, _ = read(group)
+        ids = pair_id(h, context)
+        order = np.argsort(ids)
+        at = _starts(np.diff(ids[order], prepend=~ids[order[:1]]) != 0)
+        del ids
+        fit, out = (_sums(_joined(group[c], "u4").astype(np.int64)[order], at) for c in ("fit", "left_out"))
+        h, context = h[order][at], context[order][at]
         words, back = np.unique(h, return_inverse=True)
-        n_word = np.bincount(back, weights=fit).astype(np.int64)
-        known = _place(words, top)
-        n_word = np.where(known >= 0, top_fit[known] if len(top) else 0, n_word)[back]
-        frame = pd.DataFrame({"cls": cls, "n_pair": fit, "n_word": n_word, "n_fit": fit, "n_left_out": out, "h": h.view(np.int64)})
-        frame["h"] = frame["h"].where(known[back] >= 0, 0)
-        large = known[back] >= 0
-        few = frame[~large].groupby(["cls", "n_pair", "n_word"], as_index=False)[["n_fit", "n_left_out"]].sum()
-        few["h"] = 0
-        frame = pd.concat([frame[large], few])
-        frame["word_known"] = frame["h"] != 0
-        return frame[["cls", "n_pair", "n_word", "n_fit", "n_left_out", "word_known", "h"]]
-
-    schema = "cls int, n_pair bigint, n_word bigint, n_fit bigint, n_left_out bigint, word_known boolean, h bigint"
-    return docs.select("part", "text").mapInPandas(pairs_sent, PAIRS).groupBy("bucket").applyInPandas(counted, schema)
-
-
-def frequency_bucket(count: Column) -> Column:
-    return F.floor(F.log2(count + F.lit(1.0))).cast("int")
-
-
-def learned_weights(pairs: DataFrame, n_context: np.ndarray, n_fit: int, vocabulary: int) -> np.ndarray:
+        word_fit, word_out = (np.bincount(back, weights=x, minlength=len(words)).astype(np.int64) for x in (fit, out))
+        unknown = _place(words, known) < 0
+        word_fit, word_all = np.where(unknown, word_fit, 0)[back], np.where(unknown, word_fit + word_out, 0)[back]
+        bucket = _bucket_of(context, h, known, buckets)
+        order = np.lexsort((context, bucket))
+        h, context, bucket = h[order], context[order], bucket[order]
+        fit, out, word_fit, word_all = (_raw(x[order], number) for x in (fit, out, word_fit, word_all))
+        size = np.dtype(number).itemsize
+        got = [
+            (i, *_coded(h[a:b], known), *_coded(context[a:b], known), *(x[a * size : b * size] for x in (fit, out, word_fit, word_all)))
+            for i, a, b in _slices(bucket)
+        ]
+        return pd.DataFrame(got, columns=[c.split()[0] for c in COUNTED.split(", ")])
+
+    def with_contexts(group: pd.DataFrame) -> pd.DataFrame:
+        """All pairs of the group's contexts, with the counts of contexts."""
+        h, word_at, context, context_at = read(group)
+        fit, out, word_fit, word_all = (_joined(group[c], number).astype(np.int64) for c in ("fit", "left_out", "word_fit", "word_all"))
+        contexts, back = np.unique(context, return_inverse=True)
+        context_fit, context_out = (np.bincount(back, weights=x, minlength=len(contexts)).astype(np.int64)[back] for x in (fit, out))
+        if len(known):
+            word_fit, word_all = np.where(word_at >= 0, known_fit[word_at], word_fit), np.where(word_at >= 0, known_all[word_at], word_all)
+            context_fit, context_all = (
+                np.where(context_at >= 0, table[context_at], n) for table, n in ((known_fit, context_fit), (known_all, context_fit + context_out))
+            )
+        ids, every = pair_id(h, context), fit + out
+        large = (every * TOP >= total) & (every > 0)
+        order = np.argsort(ids)
+        order = order[~large[order]]
+        rows = [pd.DataFrame({
+            "bucket": group["bucket"].iloc[:1].to_numpy(), "kind": GROUP, "ids": [ids[order].tobytes()], "pairs": [_raw(every[order], number)],
+            "words": [_raw(word_all[order], number)], "contexts": [_raw(context_all[order], number)],
+        })]
+        left = pd.DataFrame({
+            "b": np.log2(context_fit + 1.0).astype(np.int64), "n_pair": fit, "n_word": word_fit,
+            "n_context": np.where(fit > 0, context_fit, 0), "w": out,
+        })[out > 0]
+        left = left.groupby(["b", "n_pair", "n_word", "n_context"], as_index=False)["w"].sum()
+        rows.append(left.assign(kind=LEFT_OUT))
+        rows.append(pd.DataFrame({
+            "kind": LARGE, "id": ids[large].view(np.int64), "n_pair": every[large], "n_word": word_all[large], "n_context": context_all[large],
+        }))
+        names = [c.split()[0] for c in PAIRS.split(", ")]
+        out_rows = pd.concat([r.reindex(columns=names).astype(object) for r in rows if len(r)])
+        return out_rows.where(out_rows.notna(), None)
+
+    pairs = docs.select("part", "text").mapInPandas(sent, CODED).groupBy("bucket").applyInPandas(with_words, COUNTED)
+    return pairs.groupBy("bucket").applyInPandas(with_contexts, PAIRS)
+
+
+def learned_weights(pairs: DataFrame, n_fit: int, vocabulary: int) -> np.ndarray:
     """Weights (bigram, unigram, uniform) per frequency bucket of the context, by expectation-maximisation in Spark.
 
     Each round is one aggregate over the left-out counts; three sums per bucket come back, at most 64 rows.
     """
-    count = F.element_at(F.lit(n_context.tolist()), F.col("cls") + 1).cast("double")
-    rows = pairs.where("n_left_out > 0").groupBy("cls", "n_pair", "n_word").agg(F.sum("n_left_out").cast("double").alias("w"))
-    rows = rows.select(
-        frequency_bucket(count).alias("b"), "w",
-        F.when(count > 0, F.col("n_pair") / count).otherwise(0.0).alias("p2"), (F.col("n_word") / F.lit(float(max(n_fit, 1)))).alias("p1"),
+    rows = pairs.where(F.col("kind") == LEFT_OUT).select(
+        "b", F.col("w").cast("double").alias("w"),
+        F.when(F.col("n_context") > 0, F.col("n_pair") / F.col("n_context")).otherwise(0.0).alias("p2"),
+        (F.col("n_word") / F.lit(float(max(n_fit, 1)))).alias("p1"),
     )
     rows = stored(rows.groupBy("b", "p2", "p1").agg(F.sum("w").alias("w")), "left-out")
     weights = np.tile([0.4, 0.5, 0.1], (64, 1))
@@ -204,9 +251,10 @@ def learned_weights(pairs: DataFrame, n_context: np.ndarray, n_fit: int, vocabul
 
 
 SCORED = (
-    "bucket int, keys binary, heads binary, sizes binary, cls binary, posts binary, doc binary, times binary, train binary, "
-    "base binary, score binary, known binary, tokens binary"
+    "bucket int, piece bigint, n_docs int, ids binary, pairs binary, words binary, contexts binary, word binary, word_rest binary, "
+    "context binary, context_rest binary, posts binary, doc binary, times binary, keys binary, base binary, score binary, known binary, tokens binary"
 )
+SUMMED = "piece bigint, keys binary, base binary, score binary, known binary, tokens binary"
 
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -228,126 +276,114 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     words = stored(word_counts(read), "words")
     n_fit, n_out, vocabulary = (int(x or 0) for x in words.agg(F.sum("n_fit"), F.sum("n_left_out"), F.count(F.lit(1))).head())
     total = n_fit + n_out
-    # at most TOP words have so large a share
-    frequent = words.where((F.col("n_fit") + F.col("n_left_out")) * TOP >= total).collect()
-    frequent = sorted((r["h"] % (1 << 64), r["n_fit"], r["n_fit"] + r["n_left_out"]) for r in frequent)
+    # at most TOP words have so large a share; the start is as frequent as the end
+    is_end = F.col("h") == int(END_WORD)
+    frequent = words.where(is_end | ((F.col("n_fit") + F.col("n_left_out")) * TOP >= total)).collect()
+    frequent = [(r["h"] % (1 << 64), r["n_fit"], r["n_fit"] + r["n_left_out"]) for r in frequent]
+    starts = [f[1:] for f in frequent if f[0] == int(END_WORD)] or [(0, 0)]
+    frequent = sorted([*frequent, (int(START), *starts[0])])
     top = np.array([f[0] for f in frequent], np.uint64)
     top_fit, top_all = np.array([f[1] for f in frequent], np.int64), np.array([f[2] for f in frequent], np.int64)
+    discard(words)
 
-    pairs = stored(pair_counts(read, top, top_fit, buckets), "pairs")
-    context_fit, context_all = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in pairs.groupBy("cls").agg(F.sum("n_fit").alias("f"), F.sum("n_left_out").alias("l")).collect():  # at most CLASSES rows
-        context_fit[r["cls"]], context_all[r["cls"]] = r["f"], r["f"] + r["l"]
-    weights = learned_weights(pairs, context_fit, n_fit, vocabulary)
-    # a frequent pair's word is frequent, and at most TOP pairs have so large a share
-    large = pairs.where(F.col("word_known") & ((F.col("n_fit") + F.col("n_left_out")) * TOP >= total)).collect()
-    pair_id = lambda h, cls: mixed(h + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-    large_h = np.array([r["h"] % (1 << 64) for r in large], np.uint64)
-    large_ids = pair_id(large_h, np.array([r["cls"] for r in large], np.int64))
-    order = np.argsort(large_ids)
-    large_ids, large_n = large_ids[order], np.array([r["n_fit"] + r["n_left_out"] for r in large], np.int64)[order]
-    context_weights = weights[np.minimum(np.log2(context_all + 1.0).astype(np.int64), 63)]
+    pairs = stored(pair_counts(read, top, top_fit, top_all, total, buckets), "pairs")
+    weights = learned_weights(pairs, n_fit, vocabulary)
+    # at most TOP pairs have so large a share
+    large = sorted((r["id"] % (1 << 64), r["n_pair"], r["n_word"], r["n_context"]) for r in pairs.where(F.col("kind") == LARGE).collect())
+    large_ids = np.array([r[0] for r in large], np.uint64)
+    large_n = np.array([r[1:] for r in large], np.int64).reshape(-1, 3)
+    number = "u4" if total < 1 << 32 else "u8"
+    docs.sparkSession._jvm.System.gc()  # shuffle files of the counts go when the driver forgets their plans
 
     def log_base(n_word: np.ndarray) -> np.ndarray:
         return np.log10((n_word + 0.5) / (total + 0.5 * (vocabulary + 1)))
 
-    def log_mixed(cls: np.ndarray, n_pair: np.ndarray, n_word: np.ndarray) -> np.ndarray:
-        w, n = context_weights[cls], context_all[cls]
-        return np.log10(w[:, 0] * n_pair / np.maximum(n, 1) + w[:, 1] * n_word / max(total, 1) + w[:, 2] / (vocabulary + 1))
+    def log_mixed(n_context: np.ndarray, n_pair: np.ndarray, n_word: np.ndarray) -> np.ndarray:
+        w = weights[np.minimum(np.log2(n_context + 1.0).astype(np.int64), 63)]
+        return np.log10(w[:, 0] * n_pair / np.maximum(n_context, 1) + w[:, 1] * n_word / max(total, 1) + w[:, 2] / (vocabulary + 1))
+
+    columns = [c.split()[0] for c in SCORED.split(", ")]
 
     def words_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCORED.split(", ")]
         for piece in _pieces(batches):
-            h, doc, ending = tokens_of(piece["text"].tolist())
+            h, doc = tokens_of(piece["text"].tolist())
             n = len(piece)
-            train = (piece["part"].to_numpy() != 1).astype("u1").tobytes()
             keys = b"".join(map(bytes.fromhex, piece["key"]))
-            cls = context_of(h, doc, ending, top)
+            # a piece is known by its rows: pieces of equal rows are summed up, and divided by their number
+            name = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
+            context = context_of(h, doc)
             tokens = np.bincount(doc, minlength=n)
-            place = _place(pair_id(h, cls), large_ids)
+            place = _place(pair_id(h, context), large_ids)
             here = place >= 0
             base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             if here.any():
-                n_word = top_all[_place(h[here], top)]
+                n_pair, n_word, n_context = large_n[place[here]].T
                 base = np.bincount(doc[here], weights=log_base(n_word), minlength=n)
-                score = np.bincount(doc[here], weights=log_mixed(cls[here], large_n[place[here]], n_word), minlength=n)
+                score = np.bincount(doc[here], weights=log_mixed(n_context, n_pair, n_word), minlength=n)
                 known = np.bincount(doc[here], minlength=n)
-            empty = b""
-            direct = int.from_bytes(keys[:4], "little") % buckets
-            got = [(direct, keys, empty, empty, empty, empty, empty, empty, train, base.tobytes(), score.tobytes(), _raw(known, "i8"), _raw(tokens, "i8"))]
-            h, doc, cls = h[~here], doc[~here], cls[~here]
-            bucket = _bucket_of(h, cls, top, buckets)
-            order = np.lexsort((doc, cls, h, bucket))
-            h, doc, cls, bucket = h[order], doc[order], cls[order], bucket[order]
-            new_word = np.ones(len(h), bool)
-            new_word[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-            new_pair = new_word.copy()
-            new_pair[1:] |= cls[1:] != cls[:-1]
+            got = [{
+                "bucket": name % buckets, "piece": name, "n_docs": n, "keys": keys, "base": base.tobytes(), "score": score.tobytes(),
+                "known": _raw(known, "u4"), "tokens": _raw(tokens, "u4"),
+            }]
+            h, doc, context = h[~here], doc[~here], context[~here]
+            bucket = _bucket_of(context, h, top, buckets)
+            order = np.lexsort((h, context, bucket))  # texts stay in order
+            h, doc, context, bucket = h[order], doc[order], context[order], bucket[order]
+            new_pair = np.ones(len(h), bool)
+            new_pair[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
             new_post = new_pair.copy()
             new_post[1:] |= doc[1:] != doc[:-1]
-            edges = np.append(_starts(np.diff(bucket, prepend=-1) != 0), len(h))
-            for a, b in zip(edges[:-1], edges[1:]):
-                w, p, q = _starts(new_word[a:b]), _starts(new_pair[a:b]), _starts(new_post[a:b])
-                present, place_ = np.unique(doc[a:b][q], return_inverse=True)
-                got.append((
-                    bucket[a], b"".join(keys[16 * d : 16 * d + 16] for d in present.tolist()), h[a:b][w].tobytes(),
-                    _raw(np.diff(np.append(np.searchsorted(p, w), len(p))), "u4"), _raw(cls[a:b][p], "u2"),
-                    _raw(np.diff(np.append(np.searchsorted(q, p), len(q))), "u4"), _raw(place_, "u4"), _raw(np.diff(np.append(q, b - a)), "u4"),
-                    bytes(train[d] for d in present.tolist()), empty, empty, empty, empty,
-                ))
+            for i, a, b in _slices(bucket):
+                new_pair[a] = new_post[a] = True
+                p, q = _starts(new_pair[a:b]), _starts(new_post[a:b])
+                word, word_rest = _coded(h[a:b][p], top)
+                before, before_rest = _coded(context[a:b][p], top)
+                got.append({
+                    "bucket": i, "piece": name, "n_docs": n, "word": word, "word_rest": word_rest, "context": before, "context_rest": before_rest,
+                    "posts": _raw(np.diff(np.append(np.searchsorted(q, p), len(q))), "u4"), "doc": _raw(doc[a:b][q], "u4"),
+                    "times": _raw(np.diff(np.append(q, b - a)), "u4"),
+                })
             yield pd.DataFrame(got, columns=columns)
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
-        is_direct = group["tokens"].map(len) > 0
-        direct, posted = group[is_direct], group[~is_direct]
-        out = [pd.DataFrame({
-            "key": [k for c in direct["keys"] for k in _cut(bytes(c))], "base": _joined(direct["base"], "f8"), "score": _joined(direct["score"], "f8"),
-            "known": _joined(direct["known"], "i8"), "tokens": _joined(direct["tokens"], "i8"), "copies": 1,
-        })]
-        if len(posted):
-            sizes = np.array([len(bytes(c)) // 16 for c in posted["keys"]])
-            n_docs, n_posts = sizes.sum(), np.array([len(bytes(c)) // 4 for c in posted["doc"]])
-            doc = _joined(posted["doc"], "u4") + np.repeat((np.cumsum(sizes) - sizes).astype(np.uint32), n_posts)
-            times = _joined(posted["times"], "u4")
-            posts = _joined(posted["posts"], "u4")
-            h = np.repeat(_joined(posted["heads"], "u8"), _joined(posted["sizes"], "u4"))
-            cls = _joined(posted["cls"], "u2").astype(np.int64)
-            learned = times * _joined(posted["train"], "u1")[doc]
-            first = np.cumsum(posts, dtype=np.int64) - posts  # every pair has a post
-            seen = np.add.reduceat(learned, first).astype(np.int64)
-            del learned
-            order = np.lexsort((cls, h))
-            fresh = np.ones(len(h), bool)
-            hs, cs = h[order], cls[order]
-            fresh[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
-            at = _starts(fresh)
-            n_pair = np.empty(len(h), np.int64)
-            n_pair[order] = np.repeat(_sums(seen[order], at), np.diff(np.append(at, len(h))))
-            word_at = _starts(np.concatenate(([True], hs[1:] != hs[:-1])))
-            n_word = np.empty(len(h), np.int64)
-            n_word[order] = np.repeat(_sums(seen[order], word_at), np.diff(np.append(word_at, len(h))))
-            known = _place(h, top)
-            if len(top):
-                n_word = np.where(known >= 0, top_all[known], n_word)
-            base, score = log_base(n_word), log_mixed(cls, n_pair, n_word)
-            sum_ = lambda x: np.bincount(doc, weights=np.repeat(x, posts) * times, minlength=n_docs)
-            out.append(pd.DataFrame({
-                "key": [k for c in posted["keys"] for k in _cut(bytes(c))], "base": sum_(base), "score": sum_(score),
-                "known": sum_((n_word > 0).astype(float)).astype(np.int64), "tokens": 0, "copies": 0,
-            }))
-        return pd.concat(out)
-
-    parts = read.mapInPandas(words_sent, SCORED).groupBy("bucket").applyInPandas(
-        summed, "key binary, base double, score double, known bigint, tokens bigint, copies bigint"
-    )
-    names = ("base", "score", "known", "tokens", "copies")
-    sums = parts.groupBy("key").agg(*[F.sum(n).alias(f"_{n}") for n in names])
+        """Sums per text of each piece; the pieces are looked up one by one."""
+        counted = group[group["ids"].notna()]
+        ids = _joined(counted["ids"], "u8")
+        counts = [_joined(counted[c], number) for c in ("pairs", "words", "contexts")]
+        got = []
+        for r in group[group["ids"].isna()].itertuples(index=False):
+            if r.keys is not None:
+                got.append((r.piece, r.keys, r.base, r.score, r.known, r.tokens))
+                continue
+            at = np.searchsorted(ids, pair_id(_decoded(r.word, r.word_rest, top)[0], _decoded(r.context, r.context_rest, top)[0]))
+            n_pair, n_word, n_context = (c[at].astype(np.int64) for c in counts)
+            posts, doc, times = (np.frombuffer(x, "u4") for x in (r.posts, r.doc, r.times))
+            sum_ = lambda x: np.bincount(doc, weights=np.repeat(x, posts) * times, minlength=r.n_docs)  # noqa: B023, E731
+            known = sum_((n_word > 0).astype(float))
+            got.append((r.piece, None, sum_(log_base(n_word)).tobytes(), sum_(log_mixed(n_context, n_pair, n_word)).tobytes(), _raw(known, "u4"), None))
+        return pd.DataFrame(got, columns=[c.split()[0] for c in SUMMED.split(", ")])
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        heads = group[group["keys"].notna()]
+        total_of = lambda c, kind: sum(np.frombuffer(x, kind).astype("f8") for x in group[c] if x is not None) / len(heads)
+        return pd.DataFrame({
+            "key": _cut(bytes(heads["keys"].iloc[0])), "_base": total_of("base", "f8"), "_score": total_of("score", "f8"),
+            "_known": total_of("known", "u4").astype(np.int64), "_tokens": total_of("tokens", "u4").astype(np.int64),
+        })
+
+    # without a NULL, whole numbers stay whole numbers in pandas
+    none = [F.lit(0).cast("long").alias("piece"), F.lit(0).alias("n_docs")]
+    groups = pairs.where(F.col("kind") == GROUP).select("bucket", *none, "ids", "pairs", "words", "contexts")
+    parts = read.mapInPandas(words_sent, SCORED).unionByName(groups, allowMissingColumns=True)
+    parts = parts.groupBy("bucket").applyInPandas(summed, SUMMED)
+    sums = parts.groupBy("piece").applyInPandas(merged, "key binary, _base double, _score double, _known bigint, _tokens bigint")
+    # rows that repeat may lie in different pieces, which sum up in different order
+    sums = sums.groupBy("key").agg(*[F.max(n).alias(n) for n in ("_base", "_score", "_known", "_tokens")])
     rows = rows.select("row", "part", F.unhex("key").alias("key")).join(sums, "key")
-    each = lambda n: (F.col(f"_{n}") / F.col("_copies")).cast("long")
     rows = rows.withColumns(
         {
-            "held_out": F.col("part") == 1, "n_tokens": each("tokens"), "n_known": each("known"), "train_tokens": F.lit(total).cast("long"),
-            "base_score": F.col("_base") / F.col("_copies"), "score": F.col("_score") / F.col("_copies"),
+            "held_out": F.col("part") == 1, "n_tokens": F.col("_tokens"), "n_known": F.col("_known"), "train_tokens": F.lit(total).cast("long"),
+            "base_score": F.col("_base"), "score": F.col("_score"),
         }
     )
     return unpacked(rows, *new)

@@ -366,3 +366,13 @@ def test_pipeline(spark, shared):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in sums)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows.where("false"), SF).columns == rows.columns, name
+
+
+def test_rare_words_are_contexts_of_their_own(spark, shared):
+    """Two words that are rare among many tokens, and have the same last letters, lead to different words."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(120))) for i in range(300)]
+    rows += [(1000 + i, "oneing left" if i % 2 else "twoing right") for i in range(8)]
+    rows += [(2000 + i, t) for i, t in enumerate(["oneing left", "oneing right", "twoing right", "twoing left"])]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) == len(rows)
+    assert got[2000] > got[2001] + 0.05 and got[2002] > got[2003] + 0.05
