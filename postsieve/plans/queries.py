@@ -109,9 +109,11 @@ def alert_texts(spark, sf_dir):
 
 @query
 def alerts_per_channel(spark, sf_dir):
-    jobs = views.jobs(spark, sf_dir)
-    rows = topk.alert_rows(topk.alert_queue(jobs, views.alerts(spark, sf_dir)), ["telegram", "email"], AS_OF)
-    return topk.alerts_with_jobs(rows, jobs).select("job_id", "channel", "alert_score", "company", "delivered")
+    queue = topk.alert_queue(views.jobs(spark, sf_dir), views.alerts(spark, sf_dir))
+    rows = topk.alert_rows(queue, ["telegram", "email"], AS_OF)
+    # the log is read with names only, which need no text to be read once more
+    named = views.postings(spark, sf_dir).select(F.col("external_id").alias("id"), "company")
+    return topk.alerts_with_jobs(rows, named).select("job_id", "channel", "alert_score", "company", "delivered")
 
 
 # Scoring and extraction

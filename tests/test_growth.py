@@ -1,6 +1,9 @@
 """What one task holds, and how often inputs are read, does not grow with the tables."""
 
 from postsieve.operators import constraints
+from postsieve.plans import queries
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_keys_are_counted_by_tasks_of_bounded_size(spark, monkeypatch):
@@ -12,3 +15,12 @@ def test_keys_are_counted_by_tasks_of_bounded_size(spark, monkeypatch):
     rows = {(r["rule"], r["column"], r["key"]): r["rows"] for r in found.collect()}
     assert rows[("unique", "external_id", "same")] == 100 and rows[("foreign key", "job_id", "gone")] == 2
     assert sum(k[1] == "canonical_hash" for k in rows) == 10 and len(rows) == 12
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alert_log_reads_texts_once(spark):
+    patterns = lambda name: _plan(queries.QUERIES[name](spark, SMALL)).count("regexp_extract(")
+    assert 0 < patterns("alerts_per_channel") == patterns("alert_queue_top10")
