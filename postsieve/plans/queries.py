@@ -371,10 +371,10 @@ def upsert_jobs(spark, sf_dir):
         F.col("ingested_at").alias("last_seen_at"),
     )
     jobs = _stored(jobs)
-    old = dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF)))
+    old = _stored(dedup.first_wins(jobs.where(F.col("ingested_at") < F.lit(CUT_OFF))))
     again = jobs.where((F.col("ingested_at") >= F.lit(CUT_OFF)) | (F.col("k") % 7 == 3))
     retitled = F.when(F.col("k") % 14 == 3, F.concat("title", F.lit(" II"))).otherwise(F.col("title"))
-    new = dedup.first_wins(again.withColumn("title", retitled))
+    new = _stored(dedup.first_wins(again.withColumn("title", retitled)))
     merged = tables.upsert_jobs(old, new, AS_OF)
     return merged.select("canonical_hash", "external_id", "score", _time("ingested_at"), _time("last_seen_at"))
 
