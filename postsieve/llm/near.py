@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import packed, salted_join, stored, unpacked
+from postsieve.llm.common import discard, packed, salted_join, stored, unpacked
 from postsieve.llm.components import components
 from postsieve.llm.hashing import BASE, PLAIN, in_batches, mixed, word_hashes
 
@@ -218,17 +218,21 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = per_text.select("text_id", F.posexplode("sketch").alias("n", "h"))
     members = stored(members.select("text_id", F.xxhash64("n", "h").alias("bucket")), "sketches")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(salted_join(members, sizes, ["bucket"], F.col("text_id"), "inner"), "shared")
+    together = stored(salted_join(members, sizes, ["bucket"], F.col("text_id"), "inner"), "shared")
+    discard(members)
     # the text whose sketches most others have stands in the middle of its group, and leads it
-    weight = shared.groupBy("text_id").agg(F.sum("size").alias("weight"))
-    shared = shared.drop("size").join(weight, "text_id")
+    weight = together.groupBy("text_id").agg(F.sum("size").alias("weight"))
+    shared = together.drop("size").join(weight, "text_id")
     leaders = shared.groupBy("bucket").agg(F.max(F.struct("weight", "text_id")).alias("top")).select("bucket", F.col("top.text_id").alias("leader"))
     led = stored(salted_join(shared, leaders, ["bucket"], F.col("text_id"), "inner"), "groups")
+    discard(together)
     bodies = distinct_bodies(texts).join(led.select("text_id").distinct(), "text_id", "left_semi")
     bodies = stored(bodies, "bodies")
+    forget = texts.sparkSession._jvm.System.gc  # shuffle files go when the driver forgets their plans
     first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()  # a has the partners
     links = stored(verified(first, bodies, least), "links")
     for turn in range(TURNS + 1):
+        forget()
         roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
         placed = stored(led.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
         order = F.struct("weight", "text_id") if turn == 0 else F.struct(F.xxhash64("text_id", F.lit(turn)), "text_id")
@@ -236,9 +240,13 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "drawn")).alias("top"), F.count(F.lit(1)).alias("parts"))
         main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"), F.col("top.drawn").alias("drawn"))
         apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
+        discard(placed)
         if turn < TURNS:
             again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
-            links = stored(links.unionByName(verified(again, bodies, least)), "links")
+            before, links = links, stored(links.unionByName(verified(again, bodies, least)), "links")
+            discard(before)
+            discard(apart)
+    discard(led)
     counts = per_text.select("text_id", "n", "cells")
     rest = stored(left_pairs(apart.select("bucket", "text_id", "root", "main").join(counts, "text_id"), least), "leftovers")
     return links.unionByName(verified(rest, bodies, least))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -376,3 +377,12 @@ def test_rare_words_are_contexts_of_their_own(spark, shared):
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(got) == len(rows)
     assert got[2000] > got[2001] + 0.05 and got[2002] > got[2003] + 0.05
+
+
+def test_near_links_delete_what_is_read(spark, shared):
+    rows = [(str(i), " ".join(f"w{i % 3}x{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(6)]
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    near.near_links(spark.createDataFrame(rows, "text_id string, body string")).collect()
+    left = [name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before]
+    assert not {"sketches", "shared", "groups", "placed"} & set(left)
