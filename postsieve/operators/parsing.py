@@ -141,17 +141,16 @@ def _read_field(value: Column, expected: str) -> tuple[Column, Column]:
     return number, absent | good
 
 
-def validate_parsed(rows: DataFrame, payload: str = "payload", hints: str | None = None) -> DataFrame:
-    """Adds `parsed` (a PARSED_POSTING struct, NULL if invalid) and `is_valid`.
-
-    The JSON object is decoded once, into variants. With a `hints` column a hint first
-    fills each of its fields in which the object is silent (missing, null, empty, zero);
-    the word "unknown" is an answer and stays.
-    """
+def _decoded(rows: DataFrame, payload: str) -> DataFrame:
+    """Adds the JSON object in _d, decoded once, into variants."""
     schema = ", ".join(f"{name} variant" for name in _FIELDS) + ", _corrupt string"
     decoded = F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    hinted = {"salary_min", "salary_max", "remote_policy", "tech_stack"} if hints else set()
+    return computed_once(rows.withColumn("_d", decoded), "_d")
+
 
+def _read_fields(payload: str, hints: str | None) -> tuple[dict[str, Column], Column]:
+    """Typed values of the fields in _d, filled by hints, and whether all are acceptable."""
+    hinted = {"salary_min", "salary_max", "remote_policy", "tech_stack"} if hints else set()
     ok = F.col("_d._corrupt").isNull() & (F.substring(F.ltrim(payload), 1, 1) == "{")
     values = {}
     for name, expected in _FIELDS.items():
@@ -164,16 +163,31 @@ def validate_parsed(rows: DataFrame, payload: str = "payload", hints: str | None
             value, good = F.when(fills, hint).otherwise(value), fills | good
         values[name] = value
         ok = ok & F.coalesce(good, F.lit(False))
+    return values, F.coalesce(ok, F.lit(False))
+
+
+def _with_parsed(checked: DataFrame, payload: str, hints: str | None) -> DataFrame:
+    """Adds `parsed` to rows with _d and is_valid, and drops _d. Only valid rows are read and normalized."""
+    values, _ = _read_fields(payload, hints)
     values["remote_policy"] = normalize_remote(values["remote_policy"])
     values["currency"] = normalize_currency(values["currency"])
     values["tech_stack"] = normalize_tech(values["tech_stack"])
     for name in ("certifications_required", "certifications_preferred"):
         values[name] = normalize_certs(values[name])
-    parsed = F.struct(*[c.alias(n) for n, c in values.items()])
-    held = computed_once(rows.withColumn("_d", decoded), "_d")
-    checked = held.withColumns({"is_valid": F.coalesce(ok, F.lit(False)), "parsed": parsed}).drop("_d")
-    checked = computed_once(checked, "is_valid", "parsed")
-    return checked.withColumn("parsed", F.when(F.col("is_valid"), F.col("parsed")))
+    parsed = F.when(F.col("is_valid"), F.struct(*[c.alias(n) for n, c in values.items()]))
+    return computed_once(checked.withColumn("parsed", parsed).drop("_d"), "parsed")
+
+
+def validate_parsed(rows: DataFrame, payload: str = "payload", hints: str | None = None) -> DataFrame:
+    """Adds `parsed` (a PARSED_POSTING struct, NULL if invalid) and `is_valid`.
+
+    The JSON object is decoded once, into variants. With a `hints` column a hint first
+    fills each of its fields in which the object is silent (missing, null, empty, zero);
+    the word "unknown" is an answer and stays.
+    """
+    _, ok = _read_fields(payload, hints)
+    checked = computed_once(_decoded(rows, payload).withColumn("is_valid", ok), "is_valid")
+    return _with_parsed(checked, payload, hints)
 
 
 def fallback_parse(checked: DataFrame, hints: str = "hints") -> DataFrame:
@@ -199,5 +213,15 @@ def fallback_parse(checked: DataFrame, hints: str = "hints") -> DataFrame:
 
 
 def parse_postings(rows: DataFrame, payload: str = "payload", text: str = "raw_text") -> DataFrame:
-    """Hints, validation and fallback in one map-only step."""
-    return fallback_parse(validate_parsed(with_hints(rows, text), payload, "hints"))
+    """Hints, validation and fallback in one map-only step.
+
+    An object that is acceptable by itself is so with any hints. That is told first, so that a filter for invalid rows
+    reaches below the search for hints.
+    """
+    _, alone = _read_fields(payload, None)
+    checked = computed_once(_decoded(rows, payload).withColumn("_alone", alone), "_alone")
+    checked = with_hints(checked, text)
+    _, ok = _read_fields(payload, "hints")
+    checked = computed_once(checked.withColumn("_hinted", F.when(F.col("_alone"), F.lit(True)).otherwise(ok)), "_hinted")
+    checked = checked.withColumn("is_valid", F.col("_alone") | F.col("_hinted"))
+    return fallback_parse(_with_parsed(checked, payload, "hints").drop("_alone", "_hinted"))

@@ -65,3 +65,15 @@ def test_cache(spark):
     cache = cache.select(key.alias("key"), "payload", "expires_at")
     split = {r.raw_text: (r.cache_hit, r.payload) for r in parsing.split_by_cache(rows, cache, datetime(2024, 1, 1)).collect()}
     assert split == {"a": (True, '{"title":"x"}'), "b": (False, None), "c": (False, None), "d": (False, None)}
+
+
+def test_hints_are_searched_only_where_they_count(spark):
+    """A filter for invalid rows reaches below the search for hints, and changes no row."""
+    payloads = ['{"title": "t"}', '{"title": 5}', '{"tech_stack": null}', '{"salary_min": -1}', "{bad", None, '{"salary_min": "lots"}', "{}"]
+    rows = spark.createDataFrame([("Raw", "Co", "pays $120k, hybrid, go" if i % 2 else "", p) for i, p in enumerate(payloads)], T)
+    split = parsing.parse_postings(rows)
+    whole = parsing.fallback_parse(parsing.validate_parsed(parsing.with_hints(rows, "raw_text"), "payload", "hints"))
+    columns = ["payload", "raw_text", "is_valid", "parsed"]
+    assert sorted(map(str, split.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    plan = split.where("not is_valid").select("parsed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("remote-first") :]
