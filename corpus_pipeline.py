@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import delete, disposed, shared_dir, table
+from postsieve.llm.common import delete, disposed, settled, shared_dir, table
 from postsieve.llm.lines import judge_documents
 from postsieve.llm.mixing import plan_mix, training_order
 from postsieve.llm.near import near_duplicates
@@ -24,22 +24,26 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that fail the rules or are depleted, and without lines that repeat across a host."""
-    return _measured(judge_documents(docs, rewrite=True).where("kept").select(*docs.columns))
+    judged = lambda: _measured(judge_documents(docs, rewrite=True).where("kept").select(*docs.columns))
+    return settled(spark, "judged", judged)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: the one with the smallest id."""
-    first = near_duplicates(docs.select("doc_id", "text", F.md5("text").alias("_text"))).where("is_first")
-    first = first.select(F.col("doc_id").alias("_id"), "_text").distinct()
-    rows = docs.withColumn("_text", F.md5("text"))
-    same = rows["doc_id"].eqNullSafe(first["_id"]) & rows["_text"].eqNullSafe(first["_text"])
-    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    own = F.md5(F.to_json(F.struct("doc_id", F.md5("text").alias("text"))))
+    hashed = docs.select("doc_id", "text", own.alias("_own"))
+    first = settled(spark, "first", lambda: near_duplicates(hashed).where("is_first").select("_own").distinct())
+    # texts are dealt once, by the key that both the join and the choice of one row go by
+    rows = docs.withColumn("_own", own).join(first.hint("merge"), "_own", "left_semi")
+    return rows.dropDuplicates(["_own"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a passage of the benchmark."""
     rows = _keyed(docs)
-    found = decontaminate(rows.select("_key", "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("_key").distinct()
+    items = table(spark, sf_dir, "benchmark")
+    leaks = lambda: decontaminate(rows.select("_key", "text"), items).where("contaminated").select("_key").distinct()
+    found = settled(spark, "leaks", leaks)
     return rows.join(found, "_key", "left_anti").select(*docs.columns)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +69,18 @@ def discard(rows: DataFrame) -> None:
     delete(rows.sparkSession, rows.stored_at)
 
 
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of `make()`, written and read again; what was stored and shuffled on the way is deleted."""
+    path = shared_dir(spark, label)
+    with disposed(spark):
+        rows = make()
+        rows.write.parquet(path)
+    schema = rows.schema
+    del rows
+    spark._jvm.System.gc()  # shuffle files go when the driver forgets their plans
+    return spark.read.schema(schema).parquet(path)
+
+
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, how: str, salts: int = 16) -> DataFrame:
     """Join of `rows` to at most one row per key; a hot key is spread over `salts` partitions by `spread`.
 

@@ -386,3 +386,17 @@ def test_near_links_delete_what_is_read(spark, shared):
     near.near_links(spark.createDataFrame(rows, "text_id string, body string")).collect()
     left = [name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before]
     assert not {"sketches", "shared", "groups", "placed"} & set(left)
+
+
+def test_stages_leave_only_their_result(spark, shared):
+    """A stage deletes what it stored before its result is read, also where nobody disposes of it."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    base = spark.conf.get("spark.checkpoint.dir")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        before = set(os.listdir(base)) if os.path.isdir(base) else set()
+        out = stage(spark, rows, SF)
+        left = set(os.listdir(base)) - before
+        assert {name.rsplit("-", 1)[0] for name in left} <= {"judged", "first", "leaks"}, stage
+        assert out.count() <= rows.count()
+    plan = corpus_pipeline.near_dedup(spark, rows, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "Reused" not in line for line in plan.splitlines()) == 2
