@@ -56,7 +56,8 @@ def accept_per_ttl(
         inside = F.expr(f"k = bk and w = bw and t >= u - {ttl} and t < u")
         slim = slim.join(blocks, inside, "left_anti").select("k", "t", "id")
 
-    slim = slim.withColumn("s", _stretch("t", ttl * segment_ttls))
+    # dealt once: both passes read the same shuffle, so both take all its columns
+    slim = slim.withColumn("s", _stretch("t", ttl * segment_ttls)).repartition("k", "s")
     entries = _entries(_exits(slim, ttl, segment_ttls), ttl * segment_ttls)
     accepted = _walk(slim, entries, ttl)
     return accepted.select(
@@ -96,6 +97,28 @@ class _Segment:
         return np.concatenate((t, later_t[:1])), np.concatenate((u, later_u[:1]))
 
 
+def _whole_segments(group: np.ndarray, t: np.ndarray, s: np.ndarray, ttl: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and outcomes of the pieces of segments (numbered from 0 by `group`, with rising times) that lie here as a whole.
+
+    Each row points at the first row that it does not block; a chain has at most a step per TTL, and pointers are doubled.
+    """
+    place = group * (span + ttl) + (t - s * span)
+    after = np.searchsorted(place, place + ttl)
+    inside = np.minimum(after, len(t) - 1)
+    onward = np.where((after < len(t)) & (group[inside] == group), inside, np.arange(len(t)))
+    while (further := onward[onward]).tobytes() != onward.tobytes():
+        onward = further
+    outcome = t[onward] + ttl
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    window = t // ttl
+    earliest = window == window[starts][group]
+    # the last row of each outcome in the earliest window, and the first row after that window
+    last = np.append((outcome[1:] != outcome[:-1]) | ~earliest[1:] | (group[1:] != group[:-1]), True)
+    later = ~earliest & np.append(False, earliest[:-1] & (group[1:] == group[:-1]))
+    rows = np.flatnonzero((earliest & last) | later)
+    return rows, outcome[rows]
+
+
 def _exits(slim: DataFrame, ttl: int, segment_ttls: int) -> DataFrame:
     """(k, s, t, u): a chain whose first row in segment s is at t, or between the time before
     and t, leaves a block until u. Segments that no block leaves have no rows here."""
@@ -120,7 +143,20 @@ def _exits(slim: DataFrame, ttl: int, segment_ttls: int) -> DataFrame:
             elif segment is not None:
                 yield pieces(group, segment)
                 segment = None
-            for i in np.flatnonzero(leaves):
+            whole = leaves.copy()
+            whole[[0, -1]] = False  # these may go on in the batches before and after
+            chosen = np.flatnonzero(whole)
+            most = max(1, (1 << 62) // (span + ttl))  # segments told apart by one number
+            for at in range(0, len(chosen), most):
+                some = chosen[at : at + most]
+                sizes = ends[some] - starts[some]
+                group_of = np.repeat(np.arange(len(some)), sizes)
+                first = np.cumsum(sizes) - sizes
+                # rising times: each segment's rows from the last to the first
+                row = ends[some][group_of] - 1 - (np.arange(len(group_of)) - first[group_of])
+                kept, u = _whole_segments(group_of, t[row], s[row], ttl, span)
+                yield pd.DataFrame({"k": k[row[kept]], "s": s[row[kept]], "t": t[row[kept]], "u": u})
+            for i in np.flatnonzero(leaves & ~whole):
                 if (here := (k[starts[i]], s[starts[i]])) != group or segment is None:
                     if segment is not None:
                         yield pieces(group, segment)
@@ -133,7 +169,7 @@ def _exits(slim: DataFrame, ttl: int, segment_ttls: int) -> DataFrame:
         if segment is not None:
             yield pieces(group, segment)
 
-    falling = slim.select("k", "s", "t").repartition("k", "s").sortWithinPartitions("k", "s", F.col("t").desc())
+    falling = slim.sortWithinPartitions("k", "s", F.col("t").desc())
     kind = slim.schema["k"].dataType.simpleString()
     return falling.mapInPandas(rows, f"k {kind}, s bigint, t bigint, u bigint")
 
@@ -161,27 +197,25 @@ def _entries(exits: DataFrame, span: int) -> DataFrame:
 
 
 def _walk(slim: DataFrame, entries: DataFrame, ttl: int) -> DataFrame:
-    """One pass over rows sorted by key, segment and time, each segment's entering block first;
+    """One pass over rows sorted by key, segment and time, each with the end of its segment's entering block, if any;
     only the current segment and the end of its block are remembered, across Arrow batches too."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, until = None, 0
         for batch in batches:
-            k, s, t, entering = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "t", "entering"))
+            k, s, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "t"))
+            entering = batch.column("u").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             new, kept = (k[1:] != k[:-1]) | (s[1:] != s[:-1]), []
             edges = [0, *(np.flatnonzero(new) + 1), len(k)] if len(k) else []
             for pos, end in zip(edges, edges[1:]):
                 if (k[pos], s[pos]) != current:
-                    current, until = (k[pos], s[pos]), t[pos]
-                    pos += int(entering[pos])
+                    current, until = (k[pos], s[pos]), entering[pos]
                 # one step per accepted row, past all rows it blocks
                 while (pos := pos + np.searchsorted(t[pos:end], until)) < end:
                     kept.append(pos)
                     until = t[pos] + ttl
             yield batch.take(pa.array(kept, pa.int64()))
 
-    no_id = F.lit(None).cast(slim.schema["id"].dataType)
-    blocks = entries.select("k", F.col("u").alias("t"), no_id.alias("id"), "s", F.lit(True).alias("entering"))
-    both = slim.withColumn("entering", F.lit(False)).unionByName(blocks)
-    by_segment = both.repartition("k", "s").sortWithinPartitions("k", "s", F.col("entering").desc(), "t", "id")
-    return by_segment.mapInArrow(keep, both.schema).select("k", "t", "id")
+    both = slim.join(entries.hint("merge"), ["k", "s"], "left")
+    by_segment = both.sortWithinPartitions("k", "s", "t", "id")
+    return by_segment.mapInArrow(keep, by_segment.schema).select("k", "t", "id")

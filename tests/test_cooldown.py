@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postsieve.operators import cooldown
 from postsieve.operators.cooldown import _Segment, accept_per_ttl
 from postsieve.streaming.dedup import dedup_stream
 
@@ -105,3 +106,25 @@ def test_stream_equals_batch(spark, tmp_path, segment_ttls):
         ).awaitTermination()
     got = spark.read.parquet(out).select("key", "ts", "id")
     assert sorted(map(tuple, got.collect())) == brute(rows, ttl)
+
+
+def test_segments_of_a_batch_are_walked_together(spark):
+    """Whole segments give what one gives that is taken in row by row, and both passes read one shuffle."""
+    rnd = random.Random(3)
+    ttl, span = 10, 160
+    times = [sorted(rnd.randrange(s * span, (s + 1) * span) for _ in range(rnd.randrange(1, 60))) for s in range(-20, 60)]
+    sizes = [len(t) for t in times]
+    group, s = np.repeat(np.arange(len(times)), sizes), np.repeat(np.arange(-20, 60), sizes)
+    rows, outcome = cooldown._whole_segments(group, np.concatenate(times), s, ttl, span)
+    for i, t in enumerate(times):
+        one = _Segment(ttl)
+        one.add(np.array(t[::-1]))
+        here, start = group[rows] == i, (i - 20) * span
+        left = [(np.concatenate(times)[rows][here], outcome[here]), one.pieces()]
+        # a block that enters ends within a TTL
+        for entry in range(start, start + ttl):
+            assert len({int(u[at]) if (at := np.searchsorted(x, entry)) < len(x) else None for x, u in left}) == 1
+    sent = accept_per_ttl(frame(spark, sample(5)), "key", "ts", "id", 3600)
+    sent.collect()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
