@@ -98,15 +98,19 @@ def first_per(rows: DataFrame, keys: list[Column | str], order: list[Column | st
 
 
 def _first_per_hash(rows: DataFrame, order: str) -> DataFrame:
-    hashed = rows.withColumn("canonical_hash", canonical_hash("title", "company", "location"))
-    return first_per(hashed, ["canonical_hash"], [F.col(order), F.col("external_id")])
+    # the hash crosses the shuffle as 32 bytes, not as their 64 hexadecimal digits
+    hashed = rows.withColumn("_hash", F.unhex(canonical_hash("title", "company", "location"))).drop("canonical_hash")
+    first = first_per(hashed, ["_hash"], [F.col(order), F.col("external_id")])
+    return first.withColumn("canonical_hash", F.lower(F.hex("_hash"))).drop("_hash")
 
 
 def _first_per_id(rows: DataFrame, order: str) -> DataFrame:
     # a blank id is no id: the hash, unique by now, stands in for it
-    stand_in = F.when(is_blank("external_id"), F.concat(F.lit("\0"), "canonical_hash"))
+    rows = rows.withColumn("_hash", F.unhex("canonical_hash")).drop("canonical_hash")
+    stand_in = F.when(is_blank("external_id"), F.concat(F.lit("\0"), F.lower(F.hex("_hash"))))
     key = F.coalesce(stand_in, F.col("external_id"))
-    return first_per(rows, [key], [F.col(order), F.col("canonical_hash")])
+    first = first_per(rows, [key], [F.col(order), F.col("_hash")])
+    return first.withColumn("canonical_hash", F.lower(F.hex("_hash"))).drop("_hash")
 
 
 def first_wins(rows: DataFrame, order: str = "ingested_at") -> DataFrame:

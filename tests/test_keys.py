@@ -71,3 +71,23 @@ def test_digested_jobs_are_not_alerted_again(spark, root):
     assert digest_once(spark, root, NOW, "a2", min_score=99).count() == 0
     rows = read_table(spark, root, "alerts").collect()
     assert sorted((r.channel, r.score) for r in rows) == [("digest", 99), ("digest", 100)]
+
+
+def test_keys_are_stored_as_digests_and_rows_dealt_once(spark, root):
+    rows = spark.createDataFrame([(c * 64, f"e{c}", datetime(2024, 1, 1)) for c in "0123456789abcdef"], ROW)
+    keys.write_keys(rows, root, "b1")
+    keys.write_keys(rows, root, "b2")
+    keys.compact_index(spark, root)
+    index = keys.read_index(spark, root).collect()
+    assert len(index) == 64 and {len(r["key"]) for r in index} == {16}
+    assert sum(r["job_hash"] is not None for r in index) == 32
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        inserts, known = keys.split_by_index(rows, keys.read_index(spark, root))
+        both = inserts.unionByName(known)
+        assert both.count() == 16 and known.count() == 16
+        both.collect()
+        plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("ReusedExchange") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
