@@ -69,6 +69,11 @@ def discard(rows: DataFrame) -> None:
     delete(rows.sparkSession, rows.stored_at)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing holds any more: they go when the driver forgets their plans."""
+    spark._jvm.System.gc()
+
+
 def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The rows of `make()`, written and read again; what was stored and shuffled on the way is deleted."""
     path = shared_dir(spark, label)
@@ -77,7 +82,7 @@ def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> D
         rows.write.parquet(path)
     schema = rows.schema
     del rows
-    spark._jvm.System.gc()  # shuffle files go when the driver forgets their plans
+    forget(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import salted_join, stored
+from postsieve.llm.common import discard, forget, salted_join, stored
 
 
 def _star(links: DataFrame, upward: bool) -> DataFrame:
@@ -26,13 +26,19 @@ def _star(links: DataFrame, upward: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link (a, b); root is the smallest node of its component.
 
-    The number of rounds grows with the logarithm of the nodes, and each round's links are written to the shared folder. Only
-    a count and a sum of hashes come to the driver. Links of a node to itself and repeated links don't matter.
+    The number of rounds grows with the logarithm of the nodes, and each round's links are written to the shared folder, where
+    only the last round's stay (the caller may `discard` the result). Only a count and a sum of hashes come to the driver.
+    Links of a node to itself and repeated links don't matter.
     """
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links, before = stored(links, "links"), None
     while True:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if state == before or state[0] == 0:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        links, before = stored(_star(_star(links, True), False), "links"), state
+            roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            roots.stored_at = links.stored_at
+            return roots
+        after = stored(_star(_star(links, True), False), "links")
+        discard(links)
+        links, before = after, state
+        forget(links.sparkSession)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import discard, packed, salted_join, stored, unpacked
+from postsieve.llm.common import discard, forget, packed, salted_join, stored, unpacked
 from postsieve.llm.components import components
 from postsieve.llm.hashing import BASE, PLAIN, in_batches, mixed, word_hashes
 
@@ -170,7 +170,9 @@ def left_pairs(apart: DataFrame, least: float) -> DataFrame:
                     got |= {(min(i[at + p], j[q]), max(i[at + p], j[q])) for p, q in zip(*np.nonzero(fit))}
                 yield pd.DataFrame(sorted(got), columns=["a", "b"]).astype(object)
 
-    return pairs.select("x", "y").mapInPandas(compared, "a string, b string").distinct()
+    out = stored(pairs.select("x", "y").mapInPandas(compared, "a string, b string").distinct(), "leftovers")
+    discard(blocks)
+    return out
 
 
 def distinct_bodies(texts: DataFrame) -> DataFrame:
@@ -228,19 +230,23 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     discard(together)
     bodies = distinct_bodies(texts).join(led.select("text_id").distinct(), "text_id", "left_semi")
     bodies = stored(bodies, "bodies")
-    forget = texts.sparkSession._jvm.System.gc  # shuffle files go when the driver forgets their plans
+    spark = texts.sparkSession
     first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()  # a has the partners
+    forget(spark)
     links = stored(verified(first, bodies, least), "links")
     for turn in range(TURNS + 1):
-        forget()
-        roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
-        placed = stored(led.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
+        forget(spark)
+        roots = components(links.select("a", "b"))
+        own = roots.withColumnRenamed("node", "text_id")
+        placed = stored(led.join(own, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
+        discard(roots)
         order = F.struct("weight", "text_id") if turn == 0 else F.struct(F.xxhash64("text_id", F.lit(turn)), "text_id")
         parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by("text_id", order).alias("drawn"))
         main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "drawn")).alias("top"), F.count(F.lit(1)).alias("parts"))
         main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"), F.col("top.drawn").alias("drawn"))
         apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
         discard(placed)
+        forget(spark)
         if turn < TURNS:
             again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
             before, links = links, stored(links.unionByName(verified(again, bodies, least)), "links")
@@ -248,8 +254,14 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
             discard(apart)
     discard(led)
     counts = per_text.select("text_id", "n", "cells")
-    rest = stored(left_pairs(apart.select("bucket", "text_id", "root", "main").join(counts, "text_id"), least), "leftovers")
-    return links.unionByName(verified(rest, bodies, least))
+    rest = left_pairs(apart.select("bucket", "text_id", "root", "main").join(counts, "text_id"), least)
+    discard(apart)
+    discard(per_text)
+    forget(spark)
+    every = stored(links.unionByName(verified(rest, bodies, least)), "links")
+    for done in (links, rest, bodies):
+        discard(done)
+    return every
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -264,9 +276,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     rows = packed(docs, (*new, text), text_id=own, body=F.col(text), k=F.col(key))
     some = rows.where("body is not null").select("text_id", "body", "k")
     links = near_links(some.select("text_id", "body"), least)
-    roots = components(links.select("a", "b")).withColumnRenamed("node", "text_id")
+    forget(docs.sparkSession)
+    roots = components(links.select("a", "b"))
+    discard(links)
     heads = some.groupBy("text_id").agg(F.min("k").alias("k"))
-    classes = stored(heads.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "classes")
+    heads = heads.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+    classes = stored(heads.withColumn("root", F.coalesce("root", "text_id")), "classes")
+    discard(roots)
     first = classes.groupBy("root").agg(F.min("k").alias("class_id"))
     classes = salted_join(classes.select("text_id", "root"), first, ["root"], F.col("text_id"), "inner").select("text_id", "class_id")
     rows = salted_join(rows.drop("body"), classes, ["text_id"], F.col("row"), "left")

@@ -400,3 +400,20 @@ def test_stages_leave_only_their_result(spark, shared):
         assert out.count() <= rows.count()
     plan = corpus_pipeline.near_dedup(spark, rows, SF)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line and "Reused" not in line for line in plan.splitlines()) == 2
+
+
+def test_components_leave_only_their_last_round(spark, shared):
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    rows = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)], "a string, b string")
+    assert components(rows).count() == 40
+    assert len(set(os.listdir(base)) - before) == 1
+
+
+def test_near_links_leave_only_the_links(spark, shared):
+    rows = [(str(i), " ".join(f"w{i % 3}x{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(6)]
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    assert near.near_links(spark.createDataFrame(rows, "text_id string, body string")).count() > 0
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before} == {"links"}
+    assert len(set(os.listdir(base)) - before) == 1
