@@ -134,29 +134,34 @@ def taken_lines(facts: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     return taken.hint("merge")
 
 
+def without_lines(text: Column, taken_lines: Column) -> Column:
+    """The text without the lines whose hashes are in the array `taken_lines`; as it is, if that is NULL."""
+    stay = lambda x: ~F.array_contains(taken_lines, F.xxhash64(normalized_line(x)))
+    return F.when(taken_lines.isNotNull(), F.array_join(F.filter(F.split(text, "\n"), stay), "\n")).otherwise(text)
+
+
 def judge_documents(
     docs: DataFrame, text: str = "text", source: str = "source", limit: int = LINE_LIMIT, rewrite: bool = False,
-    least_words: int = LEAST_LEFT_WORDS, least_share: float = LEAST_LEFT_SHARE,
+    least_words: int = LEAST_LEFT_WORDS, least_share: float = LEAST_LEFT_SHARE, hashes: bool = False,
 ) -> DataFrame:
     """`docs` with FIGURES, left_words and kept; with `rewrite` the text comes along without its frequent lines, else it is dropped.
+    With `hashes` the hashes of these lines come along in taken_lines (NULL: none), for `without_lines`.
 
     Lines (normalised, hashed) that more than `limit` distinct documents of a host hold are taken away. kept is false where
     base_failed is true, or where lines were taken and fewer than `least_words` words or than the share `least_share` are left. NULL sources are one host. NULL and empty
     texts fail the base rules. Every row stays, repeated ones with equal results; no rows give no rows. Columns of `docs`
     called like the new ones are replaced.
     """
-    new = (*FIGURES, "left_words", "kept")
+    new = (*FIGURES, "left_words", "kept", *(["taken_lines"] if hashes else []))
     rows = packed(docs, (*new, text), text=F.col(f"`{text}`"), source=F.col(f"`{source}`"))
     rows = with_lines(with_figures(rows.withColumn("key", F.xxhash64(row_key(F.col("text"))))))
     facts = stored(rows.drop("source", *([] if rewrite else ["text"])), "facts")
     taken = taken_lines(facts.select("host", "digest", "lines"), limit)
     listed = F.aggregate("lines.words", F.lit(0).cast("long"), lambda s, n: s + n)
     rows = facts.withColumn("listed", listed).drop("lines")
-    rows = salted_join(rows, taken if rewrite else taken.drop("taken_lines"), ["host", "digest"], F.col("key"), "left")
+    rows = salted_join(rows, taken if rewrite or hashes else taken.drop("taken_lines"), ["host", "digest"], F.col("key"), "left")
     if rewrite:
-        stay = lambda x: ~F.array_contains("taken_lines", F.xxhash64(normalized_line(x)))
-        left = F.array_join(F.filter(F.split("text", "\n"), stay), "\n")
-        rows = rows.withColumn(text, F.when(F.col("taken").isNotNull(), left).otherwise(F.col("text")))
+        rows = rows.withColumn(text, without_lines(F.col("text"), F.col("taken_lines")))
     rows = rows.withColumn("left_words", F.col("n_words") - F.coalesce("taken", F.lit(0)))
     few = (F.col("left_words") < least_words) | (F.col("left_words") / F.col("listed") < least_share)
     depleted = F.col("taken").isNotNull() & few

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import held, packed, row_key, salted_join, stored, unpacked
+from postsieve.llm.common import discard, forget, held, packed, row_key, salted_join, stored, unpacked
 
 # Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -156,7 +156,12 @@ def disclosing_terms(texts: DataFrame, near: DataFrame, least_lines: int, genera
     pair = salted_join(pair, counts, ["term"], F.col("entity"), "inner").join(F.broadcast(total))
     pmi = F.log(F.col("n_pair") * F.col("n_lines") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     ic = F.log(F.col("n_lines") / F.col("n_entity"))
-    return pair.select("entity", "term", (pmi / F.when(ic > 0, ic)).alias("ratio")).where(F.col("ratio") >= generalise_at)
+    telling = pair.select("entity", "term", (pmi / F.when(ic > 0, ic)).alias("ratio")).where(F.col("ratio") >= generalise_at)
+    telling = stored(telling, "telling")
+    # the lines are as large as the corpus, and nothing reads them any more
+    discard(lines)
+    forget(texts.sparkSession)
+    return telling
 
 
 def find_personal_data(

@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import same
-from postsieve.llm import lm, mixing, near, phrases, warc
+from postsieve.llm import lines, lm, mixing, near, phrases, warc
 from postsieve.llm.components import components
 from postsieve.llm.hashing import PLAIN, word_hashes
 
@@ -417,3 +418,26 @@ def test_near_links_leave_only_the_links(spark, shared):
     assert near.near_links(spark.createDataFrame(rows, "text_id string, body string")).count() > 0
     assert {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before} == {"links"}
     assert len(set(os.listdir(base)) - before) == 1
+
+
+def test_stages_store_no_texts(spark, shared):
+    """What quality rules and personal data leave behind, for as long as the pipeline runs, has no texts in it."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    base = spark.conf.get("spark.checkpoint.dir")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.personal_data):
+        before = set(os.listdir(base)) if os.path.isdir(base) else set()
+        out = stage(spark, rows, SF)
+        for name in set(os.listdir(base)) - before:
+            assert not {"text", "l", "body"} & set(spark.read.parquet(f"{base}/{name}").columns), name
+        assert out.count() <= rows.count()
+
+
+def test_quality_rules_rewrite_as_the_operator_does(spark, shared):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:06}")
+    rows = [(i, "\n".join(["common menu line of the host", *(f"{word(1000 * i + j)} and others" for j in range(40))]), "h") for i in range(60)]
+    rows += [(5, rows[5][1], "h"), (900, None, "h"), (901, "too short", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = lines.judge_documents(frame, rewrite=True).where("kept").select("doc_id", "text", "source").collect()
+    assert any("common menu" not in r["text"] for r in want)
+    got = corpus_pipeline.quality_rules(spark, frame.withColumn("n_chars", F.lit(0).cast("long")), SF)
+    same(got, [tuple(r) for r in want], ("doc_id", "text", "source"))
