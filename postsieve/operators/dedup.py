@@ -97,7 +97,8 @@ def first_per(rows: DataFrame, keys: list[Column | str], order: list[Column | st
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _first_per_hash(rows: DataFrame, order: str) -> DataFrame:
+def first_per_hash(rows: DataFrame, order: str = "ingested_at") -> DataFrame:
+    """The earliest row per canonical hash."""
     # the hash crosses the shuffle as 32 bytes, not as their 64 hexadecimal digits
     hashed = rows.withColumn("_hash", F.unhex(canonical_hash("title", "company", "location"))).drop("canonical_hash")
     first = first_per(hashed, ["_hash"], [F.col(order), F.col("external_id")])
@@ -113,9 +114,15 @@ def _first_per_id(rows: DataFrame, order: str) -> DataFrame:
     return first.withColumn("canonical_hash", F.lower(F.hex("_hash"))).drop("_hash")
 
 
+def later_per_id(rows: DataFrame, order: str = "ingested_at") -> DataFrame:
+    """canonical_hash of those of `rows` (one per canonical_hash) that are not the first of their external id; only keys are shuffled."""
+    slim = rows.select("canonical_hash", "external_id", order)
+    return slim.join(_first_per_id(slim, order), "canonical_hash", "left_anti").select("canonical_hash")
+
+
 def first_wins(rows: DataFrame, order: str = "ingested_at") -> DataFrame:
     """Keep the earliest row per canonical hash, then per external id."""
-    return _first_per_id(_first_per_hash(rows, order), order)
+    return _first_per_id(first_per_hash(rows, order), order)
 
 
 def new_rows(
@@ -130,7 +137,7 @@ def new_rows(
     Copies share their posting hash and so their fate in the second layer. Taking the
     first copy before that layer leaves the join without hot keys and gives the same rows.
     """
-    unique = _first_per_hash(drop_seen_ids(rows, state, as_of), order)
+    unique = first_per_hash(drop_seen_ids(rows, state, as_of), order)
     return _first_per_id(drop_seen_hashes(unique, state, as_of, strict_compat, batch=rows), order)
 
 

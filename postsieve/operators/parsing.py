@@ -75,9 +75,10 @@ def cache_key(text: Column | str) -> Column:
 
 
 def split_by_cache(
-    rows: DataFrame, cache: DataFrame, as_of: datetime, text: str = "raw_text"
+    rows: DataFrame, cache: DataFrame, as_of: datetime, text: str = "raw_text", key: str | None = None
 ) -> DataFrame:
-    """Rows with the cached payload (NULL for a miss) and `cache_hit`.
+    """Rows with the cached payload (NULL for a miss) and `cache_hit`; with `key` the text's key stays under that name, and
+    joins and groupings by it find the rows where this lookup dealt them.
 
     `cache` has (key, payload, expires_at), one row per key. An expired entry, one that
     is no JSON list or an empty one is a miss.
@@ -86,7 +87,8 @@ def split_by_cache(
     live = cache.where(F.col("expires_at") > F.lit(as_of)).select(
         F.col("key").alias("_key"), F.to_json(element).alias("payload")
     )
-    joined = rows.withColumn("_key", cache_key(text)).join(live, "_key", "left").drop("_key")
+    joined = rows.withColumn("_key", cache_key(text)).join(live, "_key", "left")
+    joined = joined.withColumnRenamed("_key", key) if key else joined.drop("_key")
     return joined.withColumn("cache_hit", F.col("payload").isNotNull())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.scoring import is_dream, score
 from postsieve.functions.text import canonical_hash, coalesce_blank
-from postsieve.operators.dedup import drop_seen, first_wins, key_marks
+from postsieve.operators.dedup import drop_seen, first_per_hash, key_marks, later_per_id
 from postsieve.operators.parsing import parse_postings
 from postsieve.schemas import JOBS
 from postsieve.scratch import scratch_dir
@@ -78,10 +78,12 @@ def ingest_batch(
         unseen = unseen.withColumn("payload", F.lit(None).cast("string"))
     parsed = parse_postings(unseen.withColumn("payload", F.coalesce("payload", F.lit("{}"))))
 
-    # parsed once, then read by both branches
-    path = scratch_dir(spark, "batch")
-    first_wins(to_jobs(parsed, watchlist, as_of)).write.parquet(path)
-    unique = spark.read.schema(JOBS).parquet(path)
+    # parsed once, then read by both branches; few rows come later under an id, and texts are not shuffled to find them
+    path, later = scratch_dir(spark, "batch"), scratch_dir(spark, "later")
+    first_per_hash(to_jobs(parsed, watchlist, as_of)).select(*JOBS.fieldNames()).write.parquet(path)
+    firsts = spark.read.schema(JOBS).parquet(path)
+    later_per_id(firsts).write.parquet(later)
+    unique = firsts.join(spark.read.schema("canonical_hash string").parquet(later), "canonical_hash", "left_anti")
     inserts, known = split_by_index(unique, read_index(spark, root, without_batch=batch_id))
 
     write_batch(inserts, root, "jobs", batch_id)

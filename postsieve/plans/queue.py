@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import drop_seen
-from postsieve.operators.parsing import align_results, cache_key, chunk, parse_requests, split_by_cache
+from postsieve.operators.parsing import align_results, chunk, parse_requests, split_by_cache
 from postsieve.plans.ingest import ingest_batch
 from postsieve.schemas import RAW_POSTING
 from postsieve.sources.tables import read_table, write_batch
@@ -87,15 +87,17 @@ def ingest_with_cache(
     )
     names = RAW_POSTING.fieldNames()
     unseen = drop_seen(raw.select(*names), read_table(spark, root, "seen_keys", without_batch=batch_id), as_of)
-    split = split_by_cache(unseen.select(*names), cache, as_of).withColumn("key", cache_key("raw_text"))
+    split = split_by_cache(unseen.select(*names), cache, as_of, key="key")
 
     earlier = read_table(spark, root, "parse_answers", without_batch=batch_id)
     unanswered = asked.join(earlier.select(*REQUEST), REQUEST, "left_anti").join(answers.select(*REQUEST), REQUEST, "left_anti")
     pending = unanswered.select("key", F.col("request_batch").alias("_asked"))
     missing = split.where("not cache_hit").join(pending, "key", "left")
-    new = missing.where("_asked is null").groupBy("key").agg(F.first("raw_text").alias("raw_text"))
-    write_batch(chunk(new, "key", buckets), root, "parse_requests", batch_id)
     write_batch(missing.withColumn("request_batch", F.coalesce("_asked", F.lit(batch_id))), root, "waiting", batch_id)
+    waiting = read_table(spark, root, "waiting").where((F.col("batch_id") == batch_id) & (F.col("request_batch") == batch_id))
+    new = waiting.groupBy("key").agg(F.first("raw_text").alias("raw_text"))
+    # keys alone are numbered; texts, which lie by key already, meet their numbers there
+    write_batch(new.join(chunk(new.select("key"), "key", buckets), "key"), root, "parse_requests", batch_id)
 
     waited = read_table(spark, root, "waiting", without_batch=batch_id).join(resolved, ["request_batch", "key"])
     ready = split.where("cache_hit").select(*names, "payload").unionByName(waited.select(*names, "payload"))

@@ -90,3 +90,34 @@ def test_expired_entry_is_asked_again(spark, root):
     assert asked(spark, root) == {("b3", 0, 0): 1} and waiting(spark, root) == ["Two"]
     run(spark, root, [], "b4", [answer_to(spark, root, ("b3", 0, 0), {"text": 4})], NOW + queue.CACHE_TTL)
     assert jobs(spark, root) == {"One": ("b2", 2), "Two": ("b4", 4)}
+
+
+def test_texts_are_dealt_once_for_their_requests(spark, root, monkeypatch):
+    """The plan of a batch's requests shuffles texts by key only; their numbers come from keys."""
+    plans = {}
+    write = queue.write_batch
+
+    def seen(rows, root, name, batch_id):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        write(rows, root, name, batch_id)
+
+    monkeypatch.setattr(queue, "write_batch", seen)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run(spark, root, FIRST, "b1")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert asked(spark, root) == {("b1", 0, 0): 3}
+    nodes = plans["parse_requests"].splitlines()
+    aggregates = [i for i, line in enumerate(nodes) if "first(raw_text" in line and "partial" not in line]
+    assert aggregates and not any("Exchange" in line for line in nodes[: aggregates[0]])
+
+
+def test_a_later_row_of_an_id_is_no_job(spark, root):
+    answers = []
+    for batch in ("b1", "b2"):
+        run(spark, root, [("1", "One", 1, "x"), ("1", "Other", 1, "x"), ("2", "Two", 1, "x"), ("", "Three", 1, "x"), ("", "Four", 1, "x")], batch, answers)
+        answers = [answer_to(spark, root, r, {"x": 5}) for r in asked(spark, root)]
+    titles = jobs(spark, root)
+    assert len(titles) == 4 and {"Two", "Three", "Four"} < set(titles)
