@@ -11,7 +11,8 @@ from postsieve.llm.common import discard, forget, salted_join, stored
 def _star(links: DataFrame, upward: bool) -> DataFrame:
     """Each node hands the smallest of its neighbours and itself to its larger (`upward`) or its smaller neighbours."""
     if upward:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = links.select(F.inline(ways))
     else:
         both = links.select(F.col("b").alias("a"), F.col("a").alias("b"))  # b is the larger end of a link
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -23,22 +24,27 @@ def _star(links: DataFrame, upward: bool) -> DataFrame:
     return out.where(F.col("a") < F.col("b")).distinct()
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every larger end of the distinct links is that of one link only, and the smaller end of none."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("larger")), F.struct(F.col("b").alias("node"), F.lit(1).alias("larger")))
+    nodes = links.select(F.inline(ends)).groupBy("node").agg(F.sum("larger").alias("larger"), F.count(F.lit(1)).alias("n"))
+    return nodes.where("larger > 0 and n > 1").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link (a, b); root is the smallest node of its component.
 
     The number of rounds grows with the logarithm of the nodes, and each round's links are written to the shared folder, where
-    only the last round's stay (the caller may `discard` the result). Only a count and a sum of hashes come to the driver.
-    Links of a node to itself and repeated links don't matter.
+    only the last round's stay (the caller may `discard` the result). Rounds end when all links are stars, so links that are
+    stars from the start need none. Only a count comes to the driver. Links of a node to itself and repeated links don't matter.
     """
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, before = stored(links, "links"), None
-    while True:
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
-        if state == before or state[0] == 0:
-            roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-            roots.stored_at = links.stored_at
-            return roots
+    links = stored(links, "links")
+    while not _all_stars(links):
         after = stored(_star(_star(links, True), False), "links")
         discard(links)
-        links, before = after, state
+        links = after
         forget(links.sparkSession)
+    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots.stored_at = links.stored_at
+    return roots

@@ -18,7 +18,7 @@ K = 5  # words in a k-mer
 KEPT = 5  # k-mers of a sketch, in text order
 SKETCHES = 20
 SIMILARITY = 0.8
-TURNS = 2
+DRAWN = 2  # members of a group that those unlike its leader are compared with
 CELLS = 256  # counts of k-mers by hash, at most 255 each
 BLOCK = 128  # texts of a group that one row holds, on average
 
@@ -212,8 +212,9 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between different texts of (text_id, body), enough to connect those that share a sketch and are similar.
 
     Rows that repeat a text count once. In each group of texts with an equal sketch, all are compared with the text in the
-    middle; those outside of the group's largest component then with TURNS drawn members of it. What is left is compared
+    middle, and those unlike it with DRAWN of those like it. What is then outside of the group's largest component is compared
     with all members of other components, each pair once, but for pairs whose counts of k-mers rule the similarity out.
+    Components known before that are handed on as links of their smallest text to each other one.
     """
     per_text = sketch_rows(texts).groupBy("text_id").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "cells")])
     per_text = stored(per_text, "texts")
@@ -226,40 +227,45 @@ def near_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     weight = together.groupBy("text_id").agg(F.sum("size").alias("weight"))
     shared = together.drop("size").join(weight, "text_id")
     leaders = shared.groupBy("bucket").agg(F.max(F.struct("weight", "text_id")).alias("top")).select("bucket", F.col("top.text_id").alias("leader"))
-    led = stored(salted_join(shared, leaders, ["bucket"], F.col("text_id"), "inner"), "groups")
+    led = stored(salted_join(together.drop("size"), leaders, ["bucket"], F.col("text_id"), "inner"), "groups")
     discard(together)
     bodies = distinct_bodies(texts).join(led.select("text_id").distinct(), "text_id", "left_semi")
     bodies = stored(bodies, "bodies")
     spark = texts.sparkSession
-    first = led.where("text_id <> leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()  # a has the partners
+    others = led.where("text_id <> leader")
+    first = others.select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()  # a has the partners
     forget(spark)
     links = stored(verified(first, bodies, least), "links")
-    for turn in range(TURNS + 1):
-        forget(spark)
-        roots = components(links.select("a", "b"))
-        own = roots.withColumnRenamed("node", "text_id")
-        placed = stored(led.join(own, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "placed")
-        discard(roots)
-        order = F.struct("weight", "text_id") if turn == 0 else F.struct(F.xxhash64("text_id", F.lit(turn)), "text_id")
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max_by("text_id", order).alias("drawn"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "drawn")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        main = main.where("parts > 1").select("bucket", F.col("top.root").alias("main"), F.col("top.drawn").alias("drawn"))
-        apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
-        discard(placed)
-        forget(spark)
-        if turn < TURNS:
-            again = apart.where("root <> main").select(F.col("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
-            before, links = links, stored(links.unionByName(verified(again, bodies, least)), "links")
-            discard(before)
-            discard(apart)
+    forget(spark)
+    like = links.select(F.col("a").alias("leader"), F.col("b").alias("text_id"), F.lit(True).alias("like"))
+    met = stored(others.join(like, ["leader", "text_id"], "left").drop("leader"), "met")
+    draw = lambda turn: F.max(F.struct(F.xxhash64("text_id", F.lit(turn)), "text_id"))["text_id"]
+    drawn = met.where("like").groupBy("bucket").agg(F.array_distinct(F.array(*map(draw, range(DRAWN)))).alias("drawn"))
+    again = salted_join(met.where("like is null").drop("like"), drawn, ["bucket"], F.col("text_id"), "inner")
+    again = again.select(F.explode("drawn").alias("a"), F.col("text_id").alias("b")).distinct()
+    more = stored(verified(again, bodies, least), "links")
+    discard(met)
+    forget(spark)
+    roots = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    for done in (links, more):
+        discard(done)
+    placed = led.drop("leader").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+    placed = stored(placed.withColumn("root", F.coalesce("root", "text_id")), "placed")
     discard(led)
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = main.where("parts > 1").drop("parts")
+    apart = stored(salted_join(placed, main, ["bucket"], F.col("text_id"), "inner"), "apart")
+    discard(placed)
+    forget(spark)
     counts = per_text.select("text_id", "n", "cells")
-    rest = left_pairs(apart.select("bucket", "text_id", "root", "main").join(counts, "text_id"), least)
+    rest = left_pairs(apart.join(counts, "text_id"), least)
     discard(apart)
     discard(per_text)
     forget(spark)
-    every = stored(links.unionByName(verified(rest, bodies, least)), "links")
-    for done in (links, rest, bodies):
+    last = verified(rest, bodies, least).select("a", "b")
+    every = stored(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(last), "links")
+    for done in (roots, rest, bodies):
         discard(done)
     return every
 

@@ -441,3 +441,19 @@ def test_quality_rules_rewrite_as_the_operator_does(spark, shared):
     assert any("common menu" not in r["text"] for r in want)
     got = corpus_pipeline.quality_rules(spark, frame.withColumn("n_chars", F.lit(0).cast("long")), SF)
     same(got, [tuple(r) for r in want], ("doc_id", "text", "source"))
+
+
+def test_components_of_stars_need_no_round(spark, shared, monkeypatch):
+    """near_links looks for components once, and links that are stars already are what components leave."""
+    from postsieve.llm import components as module
+
+    rounds, searches = [], []
+    star, search = module._star, near.components
+    monkeypatch.setattr(module, "_star", lambda *a: (rounds.append(1), star(*a))[1])
+    monkeypatch.setattr(near, "components", lambda links: (searches.append(1), search(links))[1])
+    stars = spark.createDataFrame([("a", "b"), ("c", "a"), ("x", "y"), ("a", "b"), ("z", "z")], "a string, b string")
+    assert {(r["node"], r["root"]) for r in components(stars.where("a <> 'c'")).collect()} == {("b", "a"), ("y", "x")} and not rounds
+    assert {(r["node"], r["root"]) for r in components(stars).collect()} == {("b", "a"), ("c", "a"), ("y", "x")}
+    rows = [(str(i), " ".join(f"w{i % 3}x{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(6)]
+    near.near_links(spark.createDataFrame(rows, "text_id string, body string")).collect()
+    assert len(searches) == 1
