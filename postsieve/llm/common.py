@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,7 +71,11 @@ def discard(rows: DataFrame) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing holds any more: they go when the driver forgets their plans."""
+    """Let go of the shuffle files of plans that nothing holds any more: they go when the driver forgets their plans.
+
+    Python's handles of plans are in reference cycles, so they hold the plans until Python's collector has run.
+    """
+    gc.collect()
     spark._jvm.System.gc()
 
 

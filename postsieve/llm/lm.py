@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import discard, packed, row_key, stored, unpacked
+from postsieve.llm.common import delete, discard, forget, packed, row_key, stored, unpacked
 from postsieve.llm.hashing import SPACED, in_batches, mixed, word_hashes
 
 TOP = 4096  # words (and word pairs) with at least the share 1 / TOP of all tokens are known to every task: at most TOP of them
@@ -25,6 +26,7 @@ OTHER = 0xFFFF  # code of a word that not every task knows
 BUCKET_BYTES = 5_000_000  # text per group of words
 PIECE_CHARS = 3_000_000  # text that a task packs at once
 ROUNDS, FINE = 30, 1e-4
+WORD_TURNS, TURNS = 2, 3  # parts of the groups by word, by context that are shuffled one after the other, so that disk holds a part of all pairs
 
 
 def part_of(key: Column) -> Column:
@@ -96,6 +98,13 @@ def _decoded(codes: bytes, rest: bytes, known: np.ndarray) -> tuple[np.ndarray,
     return h, place
 
 
+def _by_bucket(bucket: np.ndarray, buckets: int, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Stable order by bucket, and by leading bits of two hashes within: one sort instead of three. Equal hashes mostly meet."""
+    bits = np.uint64(buckets.bit_length())
+    within = (first & ~np.uint64(0xFFFFFFFF)) | (then >> np.uint64(32))
+    return np.argsort((bucket.astype(np.uint64) << (np.uint64(64) - bits)) | (within >> bits), kind="stable")
+
+
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, start, end) of the runs of a sorted array."""
     edges = np.append(_starts(np.diff(bucket, prepend=-1) != 0), len(bucket))
@@ -132,26 +141,29 @@ PAIRS = "bucket int, kind int, ids binary, pairs binary, words binary, contexts
 GROUP, LEFT_OUT, LARGE = 0, 1, 2
 
 
-def pair_counts(docs: DataFrame, known: np.ndarray, known_fit: np.ndarray, known_all: np.ndarray, total: int, buckets: int) -> DataFrame:
-    """Counts of all pairs of a context and a word in docs (part, text), with the counts of both, in rows of three kinds.
+def pair_counts(docs: DataFrame, known: np.ndarray, known_fit: np.ndarray, known_all: np.ndarray, total: int, buckets: int) -> list[DataFrame]:
+    """Counts of all pairs of a context and a word in docs (part, text), with the counts of both, in rows of three kinds: a table a turn.
 
     GROUP: the pairs of a group (ids sorted) with the counts of pair, word and context in training tokens, packed. LEFT_OUT: w
     left-out tokens with these counts of pair, word and context without the part left out; b is the context's frequency bucket.
     LARGE: a pair with a share of 1 / TOP, which is in no group. `known` are the words (and START) that every task knows.
+    The groups by word, then those by context, are shuffled in turns; what a turn has read goes with its shuffle files.
     """
     number = "u4" if total < 1 << 32 else "u8"
 
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sent(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
         for piece in _pieces(batches):
             h, doc = tokens_of(piece["text"].tolist())
             context, part = context_of(h, doc), piece["part"].to_numpy()
+            here = _bucket_of(h, context, known, buckets) % WORD_TURNS == turn
+            h, doc, context = h[here], doc[here], context[here]
             ids = pair_id(h, context)
             order = np.argsort(ids)
             at = _starts(np.diff(ids[order], prepend=~ids[order[:1]]) != 0)
             fit, out = ((x[doc].astype(np.int64))[order] for x in ((part != 1) & (part != 4), part == 4))
             fit, out, h, context = _sums(fit, at), _sums(out, at), h[order][at], context[order][at]
             bucket = _bucket_of(h, context, known, buckets)
-            order = np.lexsort((h, bucket))
+            order = _by_bucket(bucket, buckets, h, context)
             h, context, fit, out, bucket = h[order], context[order], fit[order], out[order], bucket[order]
             got = [(i, *_coded(h[a:b], known), *_coded(context[a:b], known), _raw(fit[a:b], "u4"), _raw(out[a:b], "u4")) for i, a, b in _slices(bucket)]
             yield pd.DataFrame(got, columns=[c.split()[0] for c in CODED.split(", ")])
@@ -174,7 +186,7 @@ def pair_counts(docs: DataFrame, known: np.ndarray, known_fit: np.ndarray, known
         unknown = _place(words, known) < 0
         word_fit, word_all = np.where(unknown, word_fit, 0)[back], np.where(unknown, word_fit + word_out, 0)[back]
         bucket = _bucket_of(context, h, known, buckets)
-        order = np.lexsort((context, bucket))
+        order = _by_bucket(bucket, buckets, context, h)
         h, context, bucket = h[order], context[order], bucket[order]
         fit, out, word_fit, word_all = (_raw(x[order], number) for x in (fit, out, word_fit, word_all))
         size = np.dtype(number).itemsize
@@ -216,8 +228,32 @@ def pair_counts(docs: DataFrame, known: np.ndarray, known_fit: np.ndarray, known
         out_rows = pd.concat([r.reindex(columns=names).astype(object) for r in rows if len(r)])
         return out_rows.where(out_rows.notna(), None)
 
-    pairs = docs.select("part", "text").mapInPandas(sent, CODED).groupBy("bucket").applyInPandas(with_words, COUNTED)
-    return pairs.groupBy("bucket").applyInPandas(with_contexts, PAIRS)
+    spark, texts = docs.sparkSession, docs.select("part", "text")
+    counted, pairs = [], []
+    for turn in range(WORD_TURNS):
+        rows = texts.mapInPandas(partial(sent, turn=turn), CODED).groupBy("bucket").applyInPandas(with_words, COUNTED)
+        counted.append(stored(rows.withColumn("turn", F.col("bucket") % TURNS), "counted", "turn"))
+        del rows
+        forget(spark)
+    for turn in range(TURNS):
+        rows = _union([_folder(x, turn) for x in counted]).groupBy("bucket").applyInPandas(with_contexts, PAIRS)
+        pairs.append(stored(rows, "pairs"))
+        del rows
+        for x in counted:
+            delete(spark, f"{x.stored_at}/turn={turn}")
+        forget(spark)
+    for x in counted:
+        discard(x)
+    return pairs
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _folder(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows that a table of `stored` has for a turn."""
+    return rows.where(F.col("turn") == turn).drop("turn")
 
 
 def learned_weights(pairs: DataFrame, n_fit: int, vocabulary: int) -> np.ndarray:
@@ -254,7 +290,8 @@ SCORED = (
     "bucket int, piece bigint, n_docs int, ids binary, pairs binary, words binary, contexts binary, word binary, word_rest binary, "
     "context binary, context_rest binary, posts binary, doc binary, times binary, keys binary, base binary, score binary, known binary, tokens binary"
 )
-SUMMED = "piece bigint, keys binary, base binary, score binary, known binary, tokens binary"
+SUMMED = "piece bigint, n_docs int, doc binary, keys binary, base binary, score binary, known binary, tokens binary"
+ADDED = "piece bigint, heads int, keys binary, base binary, score binary, known binary, tokens binary"
 
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -286,14 +323,16 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     top_fit, top_all = np.array([f[1] for f in frequent], np.int64), np.array([f[2] for f in frequent], np.int64)
     discard(words)
 
-    pairs = stored(pair_counts(read, top, top_fit, top_all, total, buckets), "pairs")
+    counts_of_turns = pair_counts(read, top, top_fit, top_all, total, buckets)
+    pairs = _union(counts_of_turns)
     weights = learned_weights(pairs, n_fit, vocabulary)
     # at most TOP pairs have so large a share
     large = sorted((r["id"] % (1 << 64), r["n_pair"], r["n_word"], r["n_context"]) for r in pairs.where(F.col("kind") == LARGE).collect())
     large_ids = np.array([r[0] for r in large], np.uint64)
     large_n = np.array([r[1:] for r in large], np.int64).reshape(-1, 3)
     number = "u4" if total < 1 << 32 else "u8"
-    docs.sparkSession._jvm.System.gc()  # shuffle files of the counts go when the driver forgets their plans
+    del pairs
+    forget(docs.sparkSession)
 
     def log_base(n_word: np.ndarray) -> np.ndarray:
         return np.log10((n_word + 0.5) / (total + 0.5 * (vocabulary + 1)))
@@ -304,7 +343,7 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     columns = [c.split()[0] for c in SCORED.split(", ")]
 
-    def words_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_sent(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
         for piece in _pieces(batches):
             h, doc = tokens_of(piece["text"].tolist())
             n = len(piece)
@@ -312,22 +351,24 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             # a piece is known by its rows: pieces of equal rows are summed up, and divided by their number
             name = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
             context = context_of(h, doc)
-            tokens = np.bincount(doc, minlength=n)
-            place = _place(pair_id(h, context), large_ids)
-            here = place >= 0
-            base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            if here.any():
-                n_pair, n_word, n_context = large_n[place[here]].T
-                base = np.bincount(doc[here], weights=log_base(n_word), minlength=n)
-                score = np.bincount(doc[here], weights=log_mixed(n_context, n_pair, n_word), minlength=n)
-                known = np.bincount(doc[here], minlength=n)
-            got = [{
-                "bucket": name % buckets, "piece": name, "n_docs": n, "keys": keys, "base": base.tobytes(), "score": score.tobytes(),
-                "known": _raw(known, "u4"), "tokens": _raw(tokens, "u4"),
-            }]
-            h, doc, context = h[~here], doc[~here], context[~here]
+            here = _place(pair_id(h, context), large_ids)
+            got = []
+            if turn == 0:  # each piece has one head, whose bucket is of that turn
+                base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+                large = here >= 0
+                if large.any():
+                    n_pair, n_word, n_context = large_n[here[large]].T
+                    base = np.bincount(doc[large], weights=log_base(n_word), minlength=n)
+                    score = np.bincount(doc[large], weights=log_mixed(n_context, n_pair, n_word), minlength=n)
+                    known = np.bincount(doc[large], minlength=n)
+                got = [{
+                    "bucket": name % buckets // TURNS * TURNS, "piece": name, "n_docs": n, "keys": keys, "base": base.tobytes(),
+                    "score": score.tobytes(), "known": _raw(known, "u4"), "tokens": _raw(np.bincount(doc, minlength=n), "u4"),
+                }]
             bucket = _bucket_of(context, h, top, buckets)
-            order = np.lexsort((h, context, bucket))  # texts stay in order
+            here = (here < 0) & (bucket % TURNS == turn)
+            h, doc, context, bucket = h[here], doc[here], context[here], bucket[here]
+            order = _by_bucket(bucket, buckets, context, h)  # texts stay in order
             h, doc, context, bucket = h[order], doc[order], context[order], bucket[order]
             new_pair = np.ones(len(h), bool)
             new_pair[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
@@ -346,36 +387,59 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             yield pd.DataFrame(got, columns=columns)
 
     def summed(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums per text of each piece; the pieces are looked up one by one."""
+        """Sums of the texts of each piece that have words in the group; the pieces are looked up one by one."""
         counted = group[group["ids"].notna()]
         ids = _joined(counted["ids"], "u8")
         counts = [_joined(counted[c], number) for c in ("pairs", "words", "contexts")]
         got = []
         for r in group[group["ids"].isna()].itertuples(index=False):
             if r.keys is not None:
-                got.append((r.piece, r.keys, r.base, r.score, r.known, r.tokens))
+                got.append((r.piece, r.n_docs, _raw(np.arange(r.n_docs), "u4"), r.keys, r.base, r.score, r.known, r.tokens))
                 continue
             at = np.searchsorted(ids, pair_id(_decoded(r.word, r.word_rest, top)[0], _decoded(r.context, r.context_rest, top)[0]))
             n_pair, n_word, n_context = (c[at].astype(np.int64) for c in counts)
             posts, doc, times = (np.frombuffer(x, "u4") for x in (r.posts, r.doc, r.times))
-            sum_ = lambda x: np.bincount(doc, weights=np.repeat(x, posts) * times, minlength=r.n_docs)  # noqa: B023, E731
-            known = sum_((n_word > 0).astype(float))
-            got.append((r.piece, None, sum_(log_base(n_word)).tobytes(), sum_(log_mixed(n_context, n_pair, n_word)).tobytes(), _raw(known, "u4"), None))
+            there, doc = np.unique(doc, return_inverse=True)
+            sum_ = lambda x: np.bincount(doc, weights=np.repeat(x, posts) * times, minlength=len(there))  # noqa: B023, E731
+            base, score, known = (sum_(x) for x in (log_base(n_word), log_mixed(n_context, n_pair, n_word), (n_word > 0).astype(float)))
+            got.append((r.piece, r.n_docs, _raw(there, "u4"), None, base.tobytes(), score.tobytes(), _raw(known, "u4"), None))
         return pd.DataFrame(got, columns=[c.split()[0] for c in SUMMED.split(", ")])
 
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        """Sums of all texts of a piece over the groups of a turn."""
+        sums, tokens = {"base": "f8", "score": "f8", "known": "u4"}, 0
+        sums = {c: (kind, np.zeros(group["n_docs"].iloc[0])) for c, kind in sums.items()}
+        for r in group.itertuples(index=False):
+            doc = np.frombuffer(r.doc, "u4")
+            for c, (kind, sum_) in sums.items():
+                sum_[doc] += np.frombuffer(getattr(r, c), kind)
+            if r.keys is not None:
+                tokens = tokens + np.frombuffer(r.tokens, "u4").astype("f8")
+        heads = group["keys"].dropna()
+        keys, tokens = (heads.iloc[0], tokens.tobytes()) if len(heads) else (None, None)
+        out = {"piece": group["piece"].iloc[:1].to_numpy(), "heads": len(heads), "keys": [keys], "tokens": [tokens]}
+        return pd.DataFrame(out | {c: [sum_.tobytes()] for c, (_, sum_) in sums.items()})[[c.split()[0] for c in ADDED.split(", ")]]
+
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        heads = group[group["keys"].notna()]
-        total_of = lambda c, kind: sum(np.frombuffer(x, kind).astype("f8") for x in group[c] if x is not None) / len(heads)
+        head = group[group["keys"].notna()].iloc[0]
+        total_of = lambda c: sum(np.frombuffer(x, "f8") for x in group[c] if x is not None) / head["heads"]
         return pd.DataFrame({
-            "key": _cut(bytes(heads["keys"].iloc[0])), "_base": total_of("base", "f8"), "_score": total_of("score", "f8"),
-            "_known": total_of("known", "u4").astype(np.int64), "_tokens": total_of("tokens", "u4").astype(np.int64),
+            "key": _cut(bytes(head["keys"])), "_base": total_of("base"), "_score": total_of("score"),
+            "_known": total_of("known").astype(np.int64), "_tokens": total_of("tokens").astype(np.int64),
         })
 
     # without a NULL, whole numbers stay whole numbers in pandas
     none = [F.lit(0).cast("long").alias("piece"), F.lit(0).alias("n_docs")]
-    groups = pairs.where(F.col("kind") == GROUP).select("bucket", *none, "ids", "pairs", "words", "contexts")
-    parts = read.mapInPandas(words_sent, SCORED).unionByName(groups, allowMissingColumns=True)
-    parts = parts.groupBy("bucket").applyInPandas(summed, SUMMED)
+    parts = []
+    for turn, counts in enumerate(counts_of_turns):
+        groups = counts.where(F.col("kind") == GROUP).select("bucket", *none, "ids", "pairs", "words", "contexts")
+        sent = read.mapInPandas(partial(words_sent, turn=turn), SCORED).unionByName(groups, allowMissingColumns=True)
+        sums = sent.groupBy("bucket").applyInPandas(summed, SUMMED).groupBy("piece").applyInPandas(added, ADDED)
+        parts.append(stored(sums, "sums"))
+        del groups, sent, sums
+        discard(counts)
+        forget(docs.sparkSession)
+    parts = _union(parts)
     sums = parts.groupBy("piece").applyInPandas(merged, "key binary, _base double, _score double, _known bigint, _tokens bigint")
     # rows that repeat may lie in different pieces, which sum up in different order
     sums = sums.groupBy("key").agg(*[F.max(n).alias(n) for n in ("_base", "_score", "_known", "_tokens")])

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import gc
 import os
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from helpers import same
 from postsieve.llm import lines, lm, mixing, near, phrases, warc
+from postsieve.llm.common import forget
 from postsieve.llm.components import components
 from postsieve.llm.hashing import PLAIN, word_hashes
 
@@ -457,3 +460,30 @@ def test_components_of_stars_need_no_round(spark, shared, monkeypatch):
     rows = [(str(i), " ".join(f"w{i % 3}x{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(6)]
     near.near_links(spark.createDataFrame(rows, "text_id string, body string")).collect()
     assert len(searches) == 1
+
+
+def test_forget_lets_go_of_plans(spark, shared):
+    """Handles of plans are in reference cycles: without Python's collector, plans and their shuffle files stay."""
+    gc.disable()
+    try:
+        rows = spark.range(10).groupBy("id").count()
+        rows.collect()
+        plan = weakref.ref(rows._jdf)
+        del rows
+        forget(spark)
+        assert plan() is None
+    finally:
+        gc.enable()
+
+
+def test_pairs_are_shuffled_in_turns(spark, shared):
+    """Each shuffle of pairs holds the groups of one turn, and nothing but the tables of the result stays."""
+    rows = spark.createDataFrame([(0, " ".join(f"w{i * j % 50}" for j in range(30))) for i in range(40)], "part int, text string")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    starts = np.array([40])
+    got = lm.pair_counts(rows, np.array([lm.START]), starts, starts, 40 * 31, 12)
+    assert len(got) == lm.TURNS > 1
+    for turn, counts in enumerate(got):
+        assert {r["bucket"] % lm.TURNS for r in counts.where(F.col("kind") == lm.GROUP).collect()} == {turn}
+    assert len(set(os.listdir(base)) - before) == lm.TURNS
