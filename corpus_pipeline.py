@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import delete, disposed, settled, shared_dir, table
+from postsieve.llm.common import delete, disposed, forget, settled, shared_dir, table
 from postsieve.llm.lines import judge_documents, without_lines
 from postsieve.llm.mixing import plan_mix, training_order
 from postsieve.llm.near import near_duplicates
@@ -86,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             delete(spark, before)
-        spark._jvm.System.gc()  # a stage's shuffle files go when the driver forgets its plans
+        forget(spark)  # a stage's shuffle files go when the driver forgets its plans
         docs, before = spark.read.parquet(path), path
     return docs
